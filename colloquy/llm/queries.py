@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from colloquy.llm import exact_dedup, language_id, licenses, sentencepiece_rounds, sharding, token_frames, warc
+from colloquy.llm import decontamination, exact_dedup, language_id, licenses, ngram_join, sentencepiece_rounds, sharding, token_frames, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_token_frames": token_frames.op3_token_frames,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_sharding": sharding.op5_sharding,
     "op6_language_id": language_id.op6_language_id,
     "op8_sentencepiece": sentencepiece_rounds.op8_sentencepiece,
     "op9_licenses": licenses.op9_licenses,
+    "op10_decontamination": decontamination.op10_decontamination,
 }
 ORACLES = {
     "op1_warc": warc.OP1_SQL,
+    "op2_ngram_join": ngram_join.OP2_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op10_decontamination": decontamination.OP10_SQL,
 }
