@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colloquy.llm import decontamination, exact_dedup, language_id, licenses, ngram_join, sentencepiece_rounds, sharding, token_frames, warc
+from colloquy.llm import decontamination, exact_dedup, language_id, licenses, line_dedup, ngram_join, sentencepiece_rounds, sharding, token_frames, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_sharding": sharding.op5_sharding,
     "op6_language_id": language_id.op6_language_id,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_sentencepiece": sentencepiece_rounds.op8_sentencepiece,
     "op9_licenses": licenses.op9_licenses,
     "op10_decontamination": decontamination.op10_decontamination,
@@ -19,5 +20,6 @@ ORACLES = {
     "op1_warc": warc.OP1_SQL,
     "op2_ngram_join": ngram_join.OP2_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op7_line_dedup": line_dedup.OP7_SQL,
     "op10_decontamination": decontamination.OP10_SQL,
 }

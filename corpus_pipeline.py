@@ -1,12 +1,72 @@
-"""Corpus pipeline (in progress)."""
+"""Corpus pipeline: language ID, line dedup, near duplicates, decontamination, SentencePiece.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
+every stage's rows as Parquet to the shared folder and rereads them for the
+next, so a lost executor repeats one stage's tasks at most. All stages but the
+last return the columns of ``documents``; the last adds the ids and the decoded
+text to the ids of the documents that are left.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from colloquy.llm import decontamination, language_id, line_dedup, ngram_join, sentencepiece_rounds
+from colloquy.llm.common import table, written
+
+#: A document whose best language score is below this is in none of the known languages.
+LEAST_SCORE = 0.3
 
-STAGES: list = []
+# SentencePiece encoding can't be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``gone`` (a null doc_id never is)."""
+    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language stay: texts without a letter or with a low score go."""
+    found = language_id.identify(docs, language_id.train(docs))
+    return without(docs, found.where((F.col("lang_pred") == language_id.UNKNOWN) | (F.col("score") < LEAST_SCORE)))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal or nearly equal lines the first stays; documents left without a line go."""
+    out = line_dedup.without_repeats(docs)
+    return out.withColumn("n_chars", F.when(F.col("n_chars").isNull(), None).otherwise(F.char_length("text").cast("long")))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the least id stays."""
+    return without(docs, ngram_join.near_duplicates(docs).where("class_id <> doc_id"))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return without(docs, decontamination.contained_items(docs, table(spark, sf_dir, "benchmark")))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, ids, decoded) of every document."""
+    import public_tokenizers
+
+    return sentencepiece_rounds.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("line_dedup", line_stage),
+    ("ngram_join", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("sentencepiece", encoding_stage),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
