@@ -1 +0,0 @@
-"""See the package README for the operator list."""
