@@ -58,22 +58,20 @@ def windows(edits: int) -> list[tuple[int, int, int]]:
     ]
 
 
-def index_keys(edits: int) -> Column:
-    keys = []
-    for r in range(edits + 1):
-        start, n = segment(F.col("len"), r, edits)
-        keys.append(F.xxhash64("len", F.lit(r), F.substring("line", start, n)))
-    return F.array(*keys)
-
+def line_keys(edits: int, min_chars: int) -> Column:
+    """Keys of a line: its own segments first (edits + 1 of them), then what else it probes.
 
-def probe_keys(edits: int, min_chars: int) -> Column:
+    A probe of the line's own length without a shift is one of its own segments.
+    """
+    shifts = windows(edits)
+    own = [w for w in shifts if w[0] == 0 and w[2] == 0]
     keys = []
-    for d, r, s in windows(edits):
+    for d, r, s in own + [w for w in shifts if w not in own]:
         length = F.col("len") - d
         start, n = segment(length, r, edits)
         ok = (start + s >= 1) & (start + s + n - 1 <= F.col("len")) & (length >= min_chars)
         keys.append(F.when(ok, F.xxhash64(length, F.lit(r), F.substring("line", start + s, n))))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+    return F.array(*keys)
 
 
 def near(x: Column, y: Column, edits: int) -> Column:
@@ -138,10 +136,10 @@ def linked_lines(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     their lines; it gives one edge for each line, however many links it has.
     """
     long_lines = lines.where(F.col("len") >= min_chars)
-    own, probes = index_keys(edits), probe_keys(edits, min_chars)
-    keys = long_lines.select("id", own.alias("own"), F.explode(F.array_union(own, probes)).alias("key")).select("id", "key", F.array_contains("own", F.col("key")).alias("indexed"))
+    keys = long_lines.select("id", F.posexplode(line_keys(edits, min_chars)).alias("place", "key")).where("key IS NOT NULL")
+    keys = keys.select("id", "key", (F.col("place") <= edits).alias("indexed"))
     buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.max("indexed").alias("indexed"))
-    buckets = written(buckets.where("n > 1 AND indexed"), "line-buckets")
+    buckets = written(buckets.where("n > 1 AND indexed AND a <> b"), "line-buckets")
     pairs = written(buckets.where("n = 2").select("a", "b").distinct(), "line-pairs")
     large = buckets.where("n > 2").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     large = F.broadcast(large) if fewer_than(large, BROADCAST_ROWS) else large
