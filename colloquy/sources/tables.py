@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-SEGMENTS = T.StructType.fromDDL("meeting_id string, seg_no int, start_sec double, end_sec double, text string")
-TURNS = T.StructType.fromDDL("meeting_id string, turn_no int, start_sec double, end_sec double, speaker string, speaker_id int")
-CHUNKS = T.StructType.fromDDL("meeting_id string, source_type string, chunk_index int, text string, content_hash string")
+SEGMENTS = "meeting_id string, seg_no int, start_sec double, end_sec double, text string"
+TURNS = "meeting_id string, turn_no int, start_sec double, end_sec double, speaker string, speaker_id int"
+CHUNKS = "meeting_id string, source_type string, chunk_index int, text string, content_hash string"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
