@@ -21,7 +21,6 @@ never looked at.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +34,7 @@ from colloquy.llm.common import ship, table
 DIMS = 1 << 18
 ORDERS = (1, 2, 3, 4)
 MEMO_WORDS = 200_000
+MIX = np.uint64(0x9E3779B97F4A7C15)
 LETTERS = re.compile(r"[^\W\d_]+")
 RESULT = "doc_id long, lang_pred string, score double"
 UNKNOWN = "und"
@@ -42,32 +42,45 @@ UNKNOWN = "und"
 _MEMO: dict[str, np.ndarray] = {}
 
 
-def word_grams(word: str) -> np.ndarray:
-    padded = f" {word} "
-    grams = {padded[i : i + n] for n in ORDERS for i in range(len(padded) - n + 1)} - {" "}
-    return np.unique(np.fromiter((zlib.crc32(g.encode("utf-8", "surrogatepass")) % DIMS for g in grams), np.int32, len(grams)))
-
-
-def presence(text: str | None, marks: np.ndarray) -> np.ndarray:
-    """Sorted places of the n-grams that occur; ``marks`` is scratch space of zeros."""
+def word_grams(words: list[str]) -> list[np.ndarray]:
+    """Hashed n-grams of each word, for all words at once; a place may repeat."""
+    lens = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    flat = "".join([f" {w} " for w in words]).encode("utf-32-le", "surrogatepass")
+    code = np.frombuffer(flat, np.uint32).astype(np.uint64)
+    word, ends = np.repeat(np.arange(len(words)), lens), np.repeat(np.cumsum(lens), lens)
+    at, h = np.arange(len(code)), np.zeros(len(code), np.uint64)
+    owner, found = [], []
+    for n in ORDERS:
+        fits = at[at + n <= ends[at]]
+        h[fits] = (h[fits] ^ code[fits + n - 1]) * MIX
+        h[fits] ^= h[fits] >> np.uint64(29)
+        if n == 1:
+            fits = fits[code[fits] != 32]
+        owner.append(word[fits])
+        found.append((h[fits] % np.uint64(DIMS)).astype(np.int32))
+        at = at[at + n <= ends[at]]
+    owner, found = np.concatenate(owner), np.concatenate(found)
+    order = np.argsort(owner, kind="stable")
+    return [x.copy() for x in np.split(found[order], np.searchsorted(owner[order], np.arange(1, len(words))))]
+
+
+def presences(texts: list[str | None], marks: np.ndarray) -> list[np.ndarray]:
+    """Sorted places of the n-grams that occur in each text; ``marks`` is scratch space of zeros."""
     global _MEMO
     if len(_MEMO) > MEMO_WORDS:
         _MEMO = {}
-    found = []
-    for w in set(LETTERS.findall((text or "").lower())):
-        g = _MEMO.get(w)
-        if g is None:
-            g = word_grams(w)
-            if len(w) < 64:
-                _MEMO[w] = g
-        found.append(g)
-    if not found:
-        return np.zeros(0, np.int32)
-    at = np.concatenate(found)
-    marks[at] = 1
-    places = np.flatnonzero(marks).astype(np.int32)
-    marks[places] = 0
-    return places
+    split = [set(LETTERS.findall((t or "").lower())) for t in texts]
+    new = list(set().union(*split).difference(_MEMO))
+    if new:
+        _MEMO.update(zip(new, word_grams(new), strict=True))
+    out = []
+    for words in split:
+        if words:
+            marks[np.concatenate([_MEMO[w] for w in words])] = 1
+        places = np.flatnonzero(marks).astype(np.int32)
+        marks[places] = 0
+        out.append(places)
+    return out
 
 
 @dataclass
@@ -145,8 +158,9 @@ def train(docs: DataFrame, per_lang: int = 400, most: int = 4000) -> Classifier
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.zeros(DIMS, np.uint8)
         for b in batches:
-            got = [presence(t.as_py(), marks).tobytes() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("u"), pa.array(got, pa.binary())], names=["lang", "u", "grams"])
+            for start in range(0, b.num_rows, 256):
+                got = [x.tobytes() for x in presences(b.column("text").slice(start, 256).to_pylist(), marks)]
+                yield pa.RecordBatch.from_arrays([b.column("lang").slice(start, 256), b.column("u").slice(start, 256), pa.array(got, pa.binary())], names=["lang", "u", "grams"])
 
     drawn = rows.withColumn("u", u).where(F.col("u") < bound).select("lang", "u", "text")
     sample = drawn.mapInArrow(grams, "lang string, u long, grams binary").limit(most).collect()
@@ -165,7 +179,7 @@ def identify(docs: DataFrame, model: Classifier | None) -> DataFrame:
         for b in batches:
             texts = b.column("text")
             for start in range(0, b.num_rows, 256):
-                part = [presence(t.as_py(), marks) for t in texts.slice(start, 256)]
+                part = presences(texts.slice(start, 256).to_pylist(), marks)
                 if c is None:
                     names, best = [UNKNOWN] * len(part), np.zeros(len(part))
                 else:
