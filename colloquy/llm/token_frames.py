@@ -24,6 +24,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,10 @@ CHECKSUM_FLAG = 0x80
 
 #: Plain bytes after which a data frame is closed.
 FRAME_BYTES = 1 << 19
+#: Bytes of text that are split and encoded together.
+SLICE_BYTES = 1 << 23
+#: Places where a text can be split without changing its tokens, besides white space.
+MARK = r"([A-Za-z])([.,;:!?&$*#%])"
 #: Words whose ids a worker remembers.
 MEMO_WORDS = 400_000
 FILE_FIELDS = "part int, path string, docs long, tokens long"
@@ -51,40 +56,62 @@ class WordMemo:
     """Exact encoding by white-space separated chunks, with a memo of chunks.
 
     The tokenizer drops white space and no token spans it, so a text's ids are
-    those of its chunks in turn. A chunk is taken apart further only where its
-    last character is a full stop or comma after a letter, which the tokenizer
-    always separates. The memo is cleared when it is full.
+    those of its chunks in turn. A mark after an ASCII letter always begins
+    another token, so it is a chunk of its own too. A slice of texts is split at
+    once, each of its distinct chunks is looked up once, and the ids are put
+    together by one gather. The memo is cleared when it is full.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {"": []}
-
-    def _ids(self, chunk: str) -> list[int]:
-        low = chunk.lower() if chunk.isascii() and "<|" not in chunk else chunk
-        ids = self.memo.get(low)
-        if ids is None:
-            if len(low) > 1 and low[-1] in ".," and low[-2].isalpha():
-                ids = self._ids(low[:-1]) + self._ids(low[-1])
-            else:
-                ids = self.tokenizer.encode(low, add_special_tokens=False).ids
-            if len(low) < 64:
-                self.memo[low] = ids
-        return ids
-
-    def encode(self, text: str) -> list[int]:
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {"": []}
-        memo, out = self.memo, []
-        for chunk in text.replace("\n", " ").split(" "):
-            ids = memo.get(chunk)
-            if ids is None:
-                ids = self._ids(chunk)
-                if len(chunk) < 64:
-                    memo[chunk] = ids
-            out += ids
-        return out
+        self.tokenizer = Tokenizer.from_file(path)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place, self.pool, self.starts = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _places(self, chunks: list[str]) -> np.ndarray:
+        """Each chunk's place in the memo; those that it lacks go to the tokenizer together."""
+        if len(self.place) > MEMO_WORDS or self.pool.size > 10 * MEMO_WORDS:
+            self._clear()
+        new = [c for c in chunks if c not in self.place]
+        made = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)] if new else []
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+        ends = self.starts[-1] + np.cumsum(np.fromiter(map(len, made), np.int64, len(made)))
+        self.starts = np.concatenate([self.starts, ends])
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(made), np.uint32)])
+        return np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in turn, offsets of the texts' first ids and the end)."""
+        import pyarrow.compute as pc
+
+        spaced = pc.replace_substring_regex(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), MARK, r"\1 \2")
+        split = pc.split_pattern(spaced, " ")
+        coded = split.flatten().dictionary_encode()
+        # a special token's name in capitals is ordinary text and must stay so
+        lower = pc.if_else(pc.match_substring(coded.dictionary, "<|"), coded.dictionary, pc.ascii_lower(coded.dictionary))
+        places = self._places(lower.unique().to_pylist())[pc.index_in(lower, lower.unique()).to_numpy()]
+        codes = places[coded.indices.to_numpy()]
+        first = self.starts[codes]
+        n = self.starts[codes + 1] - first
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = self.pool[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])]
+        return ids, ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+
+
+def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of rows with about ``most`` bytes of text; a longer text is a run of its own."""
+    import pyarrow.compute as pc
+
+    start, size = 0, 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if size and size + n > most:
+            yield start, i
+            start, size = i, 0
+        size += n
+    yield start, len(texts)
 
 
 _ENCODERS: dict[str, WordMemo] = {}
@@ -106,7 +133,7 @@ class FrameWriter:
         self.zstd = zstandard.ZstdCompressor(level=level, write_checksum=True)
         self.open, self.size, self.frames, self.docs, self.tokens = [], 0, [], [], 0
 
-    def add(self, doc_id: int | None, ids: list[int]) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.docs.append((doc_id or 0, doc_id is None, len(self.frames), self.size, len(ids)))
         raw = np.asarray(ids, self.kind).tobytes()
         self.open.append(raw)
@@ -192,10 +219,12 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
                 fs.create_dir(root, recursive=True)
                 path = f"{folder}/tokens-{part:06d}-{uuid.uuid4().hex[:8]}.zst"
                 w = FrameWriter(fs.open_output_stream(filesystem(path)[1], compression=None), max(enc.tokenizer.get_vocab_size() - 1, end_id) > 0xFFFF)
-            texts = b.column("text")
-            for i, doc_id in enumerate(b.column("doc_id").to_pylist()):
-                w.add(doc_id, [*enc.encode(texts[i].as_py()), end_id])
-                n += 1
+            ids_of, texts = b.column("doc_id").to_pylist(), b.column("text")
+            for start, end in slices(texts, SLICE_BYTES) if b.num_rows else ():
+                ids, at = enc.encode(texts.slice(start, end - start))
+                for i, doc_id in enumerate(ids_of[start:end]):
+                    w.add(doc_id, np.append(ids[at[i] : at[i + 1]], end_id))
+                n += end - start
         if w is not None:
             w.close()
             w.sink.close()

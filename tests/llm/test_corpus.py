@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from colloquy.llm import decontamination, exact_dedup, language_id, licenses, line_dedup, ngram_join, sentencepiece_rounds, sharding, token_frames, warc
@@ -90,9 +91,12 @@ def test_word_memo_equals_the_library():
     from tokenizers import Tokenizer
 
     tk, memo, rng = Tokenizer.from_file(words()), token_frames.WordMemo(words()), random.Random(4)
-    for _ in range(1500):
-        t = "".join(rng.choice("abTH e\n.,'sé̂ß日\t \x1c12<|endoftext|>") for _ in range(rng.randint(0, 50)))
-        assert memo.encode(t) == tk.encode(t, add_special_tokens=False).ids
+    texts = ["", "İ. A.b,c a.'s", "<|ENDOFTEXT|> <|endoftext|>.; b!!c ?d", "x" * 5000 + ". y"]
+    texts += ["".join(rng.choice("abTH e\n.,'sé̂ßİ日!\t \x1c12<|endoftext|>") for _ in range(rng.randint(0, 50))) for _ in range(1500)]
+    for start in range(0, len(texts), 100):  # slices of an array, and a memo that earlier slices have filled
+        part = pa.array(texts).slice(start, 100)
+        ids, at = memo.encode(part)
+        assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(part))] == [e.ids for e in tk.encode_batch(part.to_pylist(), add_special_tokens=False)]
 
 
 def test_warc_round_trip(spark):
