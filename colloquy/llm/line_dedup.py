@@ -136,7 +136,9 @@ def linked_lines(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     their lines; it gives one edge for each line, however many links it has.
     """
     long_lines = lines.where(F.col("len") >= min_chars)
-    keys = long_lines.select("id", F.posexplode(line_keys(edits, min_chars)).alias("place", "key")).where("key IS NOT NULL")
+    # written as one array a line: the hashes are read twice below, and cost more to compute than to read
+    hashed = written(long_lines.select("id", line_keys(edits, min_chars).alias("keys")), "line-keys")
+    keys = hashed.select("id", F.posexplode("keys").alias("place", "key")).where("key IS NOT NULL")
     keys = keys.select("id", "key", (F.col("place") <= edits).alias("indexed"))
     buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.max("indexed").alias("indexed"))
     buckets = written(buckets.where("n > 1 AND indexed AND a <> b"), "line-buckets")
