@@ -1,8 +1,8 @@
 """Speaker clustering per meeting (grouped pandas, numpy only).
 
-A meeting's windows are one group; ``most`` guards the quadratic memory of the
-average-linkage step, beyond it the sequential method, whose state is the
-centroids alone, is used.
+A meeting's windows are one group, clustered by average linkage whatever their
+number. The mean distance of two clusters of unit vectors follows from their sums
+and sizes, so memory grows with the windows; time grows with their square.
 """
 
 from __future__ import annotations
@@ -16,38 +16,87 @@ def units(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
+#: Entries of a block of similarities.
+BLOCK = 1 << 20
+
+
+def merges(x: np.ndarray) -> list[tuple[float, int, int]]:
+    """(distance, i, j) of all merges of average linkage, by a chain of nearest neighbours.
+
+    Each cluster stands at the place of one of its members. A merge is never closer
+    than those within its two clusters, so ordering by distance gives the greedy order.
+    """
+    total, size, high, place = x.copy(), np.ones(len(x)), np.zeros(len(x)), np.arange(len(x))
+    chain, out, left = [], [], len(x)
+    while left > 1:
+        if left < 0.8 * len(size):  # what was merged away isn't compared any more
+            alive = size > 0
+            chain = list((np.cumsum(alive) - 1)[chain])
+            total, size, high, place = total[alive], size[alive], high[alive], place[alive]
+        if not chain:
+            chain = [int(np.argmax(size > 0))]
+        i = chain[-1]
+        d = np.full(len(size), np.inf)
+        np.divide(total @ total[i], size * -size[i], out=d, where=size > 0)
+        d[i] = np.inf
+        j = int(np.argmin(d))
+        # of equally near neighbours the one before is taken, so the chain ends
+        if len(chain) > 1 and d[chain[-2]] <= d[j]:
+            j = chain[-2]
+            del chain[-2:]
+            high[i] = max(1 + d[j], high[i], high[j])
+            out.append((high[i], place[i], place[j]))
+            total[i] += total[j]
+            size[i] += size[j]
+            size[j] = 0
+            left -= 1
+        else:
+            chain.append(j)
+    return sorted(out, key=lambda m: m[0])
+
+
 def average_linkage(x: np.ndarray, limit: float | None = None, k: int | None = None) -> np.ndarray:
     """Agglomerative clustering on cosine distance until ``limit`` is passed or ``k`` remain."""
-    d = 1 - x @ x.T
-    np.fill_diagonal(d, np.inf)
-    size, alive, label = np.ones(len(x)), np.ones(len(x), bool), np.arange(len(x))
-    while alive.sum() > (k or 1):
-        i, j = divmod(int(np.argmin(d)), len(x))
-        if k is None and d[i, j] > limit:
-            break
-        i, j = min(i, j), max(i, j)
-        d[i] = d[:, i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i, i] = np.inf
-        d[j] = d[:, j] = np.inf
-        size[i] += size[j]
-        alive[j], label[label == j] = False, i
-    return label
+    found = merges(x)
+    taken = found[: max(0, len(x) - k)] if k else [m for m in found if k is not None or m[0] <= limit]
+    label = np.arange(len(x))
+
+    def root(i: int) -> int:
+        while label[i] != i:
+            label[i] = i = label[label[i]]
+        return i
+
+    for _, i, j in taken:
+        i, j = root(i), root(j)
+        label[max(i, j)] = min(i, j)
+    return np.array([root(i) for i in range(len(x))])
 
 
 def means(x: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    names = np.unique(label)
-    return names, units(np.array([x[label == n].mean(0) for n in names]))
+    names, own, n = np.unique(label, return_inverse=True, return_counts=True)
+    order = np.argsort(own, kind="stable")
+    return names, units(np.add.reduceat(x[order], np.cumsum(n) - n, axis=0) / n[:, None])
 
 
 def merge_centroids(x: np.ndarray, label: np.ndarray, at_least: float) -> np.ndarray:
-    """Merge the first pair of labels whose centroids are that similar; begin again after each."""
+    """Merge the first pair of labels whose centroids are that similar; begin again after each.
+
+    Labels before the one at hand are near no other, so beginning again only has
+    to compare them with the centroid that the merge has moved.
+    """
     label = label.copy()
-    while True:
-        names, c = means(x, label)
-        close = np.argwhere(np.triu(c @ c.T >= at_least, 1))
-        if not len(close):
-            return label
-        label[label == names[close[0][1]]] = names[close[0][0]]
+    names, c = means(x, label)
+    alive, i = np.ones(len(names), bool), 0
+    while i < len(names):
+        close = (c @ c[i] >= at_least) & alive
+        close[i] = False
+        if not alive[i] or not close.any():
+            i += 1
+            continue
+        i, j = sorted((i, int(close.argmax())))
+        label[label == names[j]] = names[i]
+        alive[j], c[i] = False, units(x[label == names[i]].mean(0, keepdims=True))[0]
+    return label
 
 
 def prune(x: np.ndarray, label: np.ndarray, least: int) -> np.ndarray:
@@ -56,7 +105,10 @@ def prune(x: np.ndarray, label: np.ndarray, least: int) -> np.ndarray:
     keep = np.isin(label, major)
     own, c = means(x[keep], label[keep])
     out = label.copy()
-    out[~keep] = own[(x[~keep] @ c.T).argmax(1)] if (~keep).any() else out[~keep]
+    moved, rows = np.flatnonzero(~keep), max(1, BLOCK // len(own))
+    for start in range(0, len(moved), rows):
+        part = moved[start : start + rows]
+        out[part] = own[(x[part] @ c.T).argmax(1)]
     return out
 
 
@@ -82,14 +134,12 @@ def by_appearance(label: np.ndarray) -> np.ndarray:
     return np.argsort(np.argsort(first))[inverse]
 
 
-def cluster(x: np.ndarray, k: int | None = None, threshold: float = 0.8, merge: float = 0.88, least: int = 3, most: int = 4000) -> np.ndarray:
+def cluster(x: np.ndarray, k: int | None = None, threshold: float = 0.8, merge: float = 0.88, least: int = 3) -> np.ndarray:
     if len(x) == 0:
         return np.zeros(0, int)
     x = units(x.astype(float))
     if len(x) == 1 or not x.any():
         return np.zeros(len(x), int)
-    if len(x) > most:
-        return by_appearance(sequential(x, threshold))
     label = average_linkage(x, max(0.05, 1 - threshold), k)
     if k is None:
         label = prune(x, merge_centroids(x, label, merge), least)
