@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,6 +82,40 @@ def prune_satellites(vectors: DataFrame, least: int) -> DataFrame:
     return stay.select("vec_id", "label").unionByName(nearest_centroid(move, centroids(stay)).select("vec_id", "label"))
 
 
+def packed_blocks(vectors: DataFrame, rows: int, name: str) -> DataFrame:
+    """Vectors (vec_id, embedding) as rows of one array each, of about ``rows`` vectors."""
+    n = max(1, -(-vectors.count() // rows))
+    return vectors.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("_b")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias(name)).drop("_b")
+
+
+def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, query_rows: int = 256, vector_rows: int = 2048) -> DataFrame:
+    """(q_id, vec_id, sim): the ``k`` best vectors of each query, ties to the smaller id.
+
+    Blocks of queries meet blocks of vectors as matrix products, so a task holds two
+    blocks; of each pair of blocks ``k`` rows a query are left for the last ranking.
+    """
+
+    def arrays(block: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+        ids, x = block.values.field("vec_id").to_numpy(), np.array(block.values.field("embedding").to_pylist(), float)
+        order, n = np.argsort(ids), np.linalg.norm(x, axis=1, keepdims=True)
+        return ids[order], np.divide(x, n, out=np.zeros_like(x), where=n > 0)[order]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for q, v in zip(b.column("qs"), b.column("vs"), strict=True):
+                (q_ids, q), (v_ids, v) = arrays(q), arrays(v)
+                sims, at = np.round(q @ v.T, 6), np.arange(len(q))
+                for _ in range(min(k, len(v))):
+                    top = sims.argmax(1)
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array(v_ids[top]), pa.array(sims[at, top])], names=["q_id", "vec_id", "sim"])
+                    sims[at, top] = -np.inf
+
+    pairs = packed_blocks(queries, query_rows, "qs").crossJoin(packed_blocks(vectors, vector_rows, "vs"))
+    found = pairs.mapInArrow(best, "q_id long, vec_id long, sim double")
+    rank = F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("sim"), "vec_id"))
+    return found.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
+
+
 def context(found: DataFrame, most_chars: int = 800) -> DataFrame:
     """One row with the labelled excerpts in rank order."""
     rank = F.row_number().over(W.orderBy(F.desc("relevance"), "distance", "chunk_id"))

@@ -117,6 +117,16 @@ def j9(spark, d):
     return rows.withColumn("_r", F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("sim"), "vec_id"))).where("_r <= 3").drop("_r")
 
 
+@query(
+    "j9_vector_join_whole",
+    "SELECT q.vec_id AS q_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS sim FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, e.vec_id) <= 3",
+)
+def j9_whole(spark, d):
+    """Every row whose id is divisible by 50 against all vectors, in blocks."""
+    e = embeddings(spark, d).select("vec_id", "embedding")
+    return S.nearest_vectors(e.where("vec_id % 50 = 0"), e, 3)
+
+
 @query("x3_x4_x7_cluster_pipeline")
 def x7(spark, d):
     w = embeddings(spark, d).select(F.concat(F.lit("m"), (F.col("vec_id") % 5).cast("string")).alias("meeting_id"), F.col("vec_id").alias("idx"), "embedding")
