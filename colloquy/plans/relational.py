@@ -192,6 +192,23 @@ def f33(spark, d):
     return o.select(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), F.try_to_timestamp("o_orderpriority").alias("bad"))
 
 
+#: ISO strings of all orders: naive, of another zone, of UTC, days alone; and what isn't a date.
+ISO_STRINGS = {0: "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')", 1: "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+02:00'", 2: "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || 'Z'", 3: "strftime(o_orderdate, '%Y-%m-%d')", 4: "o_orderpriority"}
+
+
+@query(
+    "f33_date_parsing_whole",
+    f"SELECT o_orderkey AS id, CASE o_orderkey % 5 {' '.join(f'WHEN {k} THEN {v}' for k, v in ISO_STRINGS.items())} END AS iso, CASE o_orderkey % 5 WHEN 1 THEN o_orderdate - INTERVAL 2 HOUR WHEN 3 THEN date_trunc('day', o_orderdate) WHEN 4 THEN NULL ELSE o_orderdate END AS parsed, o_orderkey % 5 = 4 AS bad FROM orders",
+)
+def f33_whole(spark, d):
+    """Strings of all orders are parsed; what has no zone is UTC."""
+    k = F.col("o_orderkey") % 5
+    day, time = F.date_format("o_orderdate", "yyyy-MM-dd"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    iso = F.when(k == 0, time).when(k == 1, F.concat(time, F.lit("+02:00"))).when(k == 2, F.concat(time, F.lit("Z"))).when(k == 3, day).otherwise(F.col("o_orderpriority"))
+    parsed = F.try_to_timestamp("iso")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), iso.alias("iso")).select("id", "iso", parsed.alias("parsed"), parsed.isNull().alias("bad"))
+
+
 @query("x_stream_tumbling", "SELECT time_bucket(INTERVAL '1 hour', ts) AS w_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def tumbling(spark, d):
     return E.windowed(table(spark, d, "events"), "1 hour").withColumn("total", F.round("total", 4))

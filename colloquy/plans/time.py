@@ -93,6 +93,32 @@ def w5(spark, d):
     return U.sliding_windows(v, 20, 10).select("clip_id", "island", "w_start", "w_end")
 
 
+#: Every line is a frame: a clip is 100 orders of 20 frames each, so clips grow with the table.
+ALL_FRAMES = "f AS (SELECT l_orderkey // 100 AS clip_id, ((l_orderkey % 100) * 20 + l_linenumber * 2)::BIGINT AS frame, 2000::BIGINT AS n_frames FROM lineitem GROUP BY ALL)"
+ALL_VAD = VAD.replace(FRAMES, ALL_FRAMES).replace("997", "2000")
+
+
+def all_speech_frames(spark, d):
+    order = F.col("l_orderkey")
+    frame = (order % 100 * 20 + F.col("l_linenumber") * 2).cast("long")
+    return table(spark, d, "lineitem").select(F.floor(order / 100).alias("clip_id"), frame.alias("frame"), F.lit(2000).cast("long").alias("n_frames")).distinct()
+
+
+@query("w4_speech_islands_whole", ALL_VAD + " SELECT * FROM v")
+def w4_whole(spark, d):
+    return U.speech_islands(all_speech_frames(spark, d), 10)
+
+
+@query(
+    "w5_sliding_windows_whole",
+    ALL_VAD + """, w AS (SELECT clip_id, island, end_frame, unnest(CASE WHEN end_frame - first_frame <= 20 THEN [first_frame] ELSE range(first_frame, end_frame - 10, 10) END) AS w_start FROM v)
+SELECT clip_id, island, w_start, least(w_start + 20, end_frame) AS w_end FROM w""",
+)
+def w5_whole(spark, d):
+    v = U.speech_islands(all_speech_frames(spark, d), 10).withColumnsRenamed({"first_frame": "start", "end_frame": "end"})
+    return U.sliding_windows(v, 20, 10).select("clip_id", "island", "w_start", "w_end")
+
+
 OVER = f"""WITH {SEG}, {TURNS}, p AS (SELECT s.meeting_id, s.seg_no, t.turn_no, t.speaker, least(s."end", t."end") - greatest(s."start", t."start") AS overlap
 FROM seg s JOIN tn t ON s.meeting_id = t.meeting_id AND s."start" < t."end" AND t."start" < s."end")"""
 
@@ -130,6 +156,22 @@ def j3(spark, d):
     return U.nearest_speaker(s.where("seg_no % 4 = 3"), turns_of(s))
 
 
+#: Turns of half of the segments, so that there are segments without an overlap.
+SPARSE_NEAR = NEAR.replace("WHERE seg_no % 4 <> 3)", "WHERE seg_no % 4 < 2)")
+
+
+def sparse_turns(seg):
+    return turns_of(seg).where("turn_no % 4 < 2")
+
+
+@query("j3_nearest_speaker_whole", SPARSE_NEAR + " SELECT * FROM nr")
+def j3_whole(spark, d):
+    """All segments without an overlap."""
+    s = segments(spark, d)
+    t = sparse_turns(s)
+    return U.nearest_speaker(s.join(U.overlaps(s, t).select("meeting_id", "seg_no").distinct(), ["meeting_id", "seg_no"], "left_anti"), t)
+
+
 @query(
     "x9_alignment",
     NEAR + """, a AS (SELECT s.*, coalesce(d.speaker, nr.speaker, 'Speaker 1') AS sp FROM seg s LEFT JOIN dom d USING (meeting_id, seg_no) LEFT JOIN nr USING (meeting_id, seg_no) WHERE trim(s.text) <> ''),
