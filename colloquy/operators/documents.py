@@ -149,6 +149,40 @@ def topic_of(sentence: Column, topics: dict[str, list[str]]) -> Column:
     return out
 
 
+def summary(docs: DataFrame, topics: dict[str, list[str]], key: str = "doc_id", others: str = "General Discussion & Collaboration") -> DataFrame:
+    """Overview, topic groups, action items, deadlines and counts of the substantive sentences of each text.
+
+    Topics come in order of their first sentence; what has none is a group only if
+    fewer than two topics matched. A text without a substantive sentence has no overview and empty lists.
+    """
+    sents = sentence_rows(docs, key)
+    point = sents.withColumn("point", T.clean_sentence(F.col("sentence")))
+
+    def listed(rows: DataFrame, k: int, name: str) -> DataFrame:
+        x = F.array_sort(F.collect_list(F.struct("pos", "point")))
+        return first_distinct(rows, key, "point", k).groupBy(key).agg(F.transform(x, lambda s: s["point"]).alias(name))
+
+    grouped = point.select(key, "pos", topic_of(F.col("sentence"), topics).alias("topic"), "point")
+    grouped = grouped.groupBy(key, "topic", "point").agg(F.min("pos").alias("pos"))
+    rank = F.row_number().over(W.partitionBy(key, "topic").orderBy("pos"))
+    lists = grouped.withColumn("_r", rank).where("_r <= 3").groupBy(key, "topic").agg(F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("pos", "point"))).alias("ps"))
+    lists = lists.withColumn("_t", F.count("topic").over(W.partitionBy(key))).where("topic IS NOT NULL OR _t < 2")
+    # the group without a topic is last
+    group = F.struct(F.col("topic").isNull().alias("last"), "pos", F.coalesce("topic", F.lit(others)).alias("topic"), F.transform("ps", lambda s: s["point"]).alias("points"))
+    groups = lists.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(group)), lambda g: F.struct(g["topic"].alias("topic"), g["points"].alias("points"))).alias("topic_groups"))
+    out = docs.select(key, T.n_words(F.col("text")).alias("n_words")).join(overview(sentence_scores(sents, key), key), key, "left").join(groups, key, "left")
+    out = out.join(listed(point.where(T.is_action(F.col("sentence"))), 8, "action_items"), key, "left")
+    out = out.join(listed(point.where(T.has_deadline(F.col("sentence"))), 6, "deadlines"), key, "left")
+    out = out.join(sents.groupBy(key).agg(F.count("*").alias("n_sentences")), key, "left")
+    for name in ("topic_groups", "action_items", "deadlines"):
+        out = out.withColumn(name, F.coalesce(name, F.array().cast(out.schema[name].dataType)))
+    out = out.withColumn("n_words", F.when(F.col("n_sentences").isNull(), 0).otherwise(F.col("n_words")))
+    out = out.withColumn("n_sentences", F.coalesce("n_sentences", F.lit(0).cast("long")))
+    for name, a_minute in (("read_min", 180), ("talk_min", 130)):
+        out = out.withColumn(name, F.when(F.col("n_sentences") == 0, 0).otherwise(F.ceil(F.col("n_words") / a_minute)).cast("int"))
+    return out
+
+
 def edit_distance(ref: Column, hyp: Column) -> Column:
     """Word edit distance of two arrays, one row of the table at a time."""
     start = F.sequence(F.lit(0), F.size(hyp))

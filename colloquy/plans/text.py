@@ -97,6 +97,12 @@ def o3(spark, d):
     return D.overview(D.sentence_scores(D.sentence_rows(docs(spark, d), substantive=False)))
 
 
+@query("x19_summary")
+def x19(spark, d):
+    """The composite, on sentences without small talk."""
+    return D.summary(docs(spark, d), TOPICS)
+
+
 @query("a7_document_stats", f"WITH {SENTS}, n AS (SELECT doc_id, count(*) AS n FROM sents GROUP BY 1) SELECT doc_id, len({WORDS})::INT AS n_words, coalesce(n, 0)::BIGINT AS n_sentences, greatest(1, ceil(len({WORDS}) / 180))::INT AS read_min, greatest(1, ceil(len({WORDS}) / 130))::INT AS talk_min FROM documents LEFT JOIN n USING (doc_id)")
 def a7(spark, d):
     n = T.n_words(F.col("text"))
