@@ -9,8 +9,8 @@ phi, landmarks and weights fold into one n-gram by language matrix, so a batch i
 scored by one sparse-by-dense product.
 
 The classifier is fitted on a bounded sample of labelled rows (parameter
-``per_lang`` for each language, at most ``most`` rows in all); every whole text
-is scored.
+``per_lang`` for each language, fewer if ``most`` rows in all would be exceeded:
+the bound is met evenly, no language is left out); every whole text is scored.
 
 Defined results: null text or a text without a letter is ``und`` with score 0;
 if there is nothing to learn from, every document is ``und``; ties go to the
@@ -27,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import ship, table
@@ -152,6 +153,9 @@ def train(docs: DataFrame, per_lang: int = 400, most: int = 4000) -> Classifier
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
     if not counts:
         return None
+    cap = max(1, most // len(counts))
+    # with more languages than fit, some more are drawn, so that each has rows to fill its share
+    per_lang = per_lang if per_lang <= cap else cap + 4 * cap**0.5 + 8
     u = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30))
     bound = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, per_lang / n) * (1 << 30)))]), F.col("lang"))
 
@@ -163,7 +167,9 @@ def train(docs: DataFrame, per_lang: int = 400, most: int = 4000) -> Classifier
                 yield pa.RecordBatch.from_arrays([b.column("lang").slice(start, 256), b.column("u").slice(start, 256), pa.array(got, pa.binary())], names=["lang", "u", "grams"])
 
     drawn = rows.withColumn("u", u).where(F.col("u") < bound).select("lang", "u", "text")
-    sample = drawn.mapInArrow(grams, "lang string, u long, grams binary").limit(most).collect()
+    drawn = drawn.mapInArrow(grams, "lang string, u long, grams binary")
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("u", "grams"))
+    sample = drawn.withColumn("_r", rank).where(F.col("_r") <= cap).collect()
     sample.sort(key=lambda r: (r["lang"], r["u"]))
     return fit([r["lang"] for r in sample], [np.frombuffer(r["grams"], np.int32) for r in sample])
 
