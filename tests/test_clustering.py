@@ -62,3 +62,20 @@ def test_large_meetings_are_clustered_alike():
     x[[50, 900]] = C.units(rng.normal(size=(2, 16)))  # alone, so pruned to a voice
     assert len(set(C.cluster(x).tolist())) == 3
     assert len(set(C.cluster(x, k=2).tolist())) == 2
+
+
+def test_sequential_equals_plain_loops():
+    x = windows(np.random.default_rng(3), 200, 5, 0.4)
+    cents, want = [], []
+    for v in x.tolist():
+        sims = [sum(a * b for a, b in zip(c, v, strict=True)) for c in cents]
+        if sims and max(sims) >= 0.8:
+            k = sims.index(max(sims))
+            c = [0.8 * a + 0.2 * b for a, b in zip(cents[k], v, strict=True)]
+            n = sum(a * a for a in c) ** 0.5
+            cents[k] = [a / n for a in c]
+        else:
+            k = len(cents)
+            cents.append(v)
+        want.append(k)
+    assert C.sequential(x).tolist() == want
