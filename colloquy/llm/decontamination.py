@@ -1,102 +1,131 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 DataFrame and SQL functions only.
 
-Documents are partitioned by the size of their shingle set (powers of two). A
-partition's signature has as many MinHash bins as its upper size bound asks for:
-one hash for each shingle, the least of each bin is kept (one-permutation
-MinHash, each bin a band of its own), and the number of bins is chosen so that a
-test item of the fewest shingles, contained at the threshold, shares a bin with
-the document with the target recall. Items have one signature for each partition.
-Equal bin minima give candidates, which are verified by exact containment of
-the item's shingles in the document's.
+A short item and a long document have next to no Jaccard similarity, so whole
+documents can't be sketched: long documents are searched by windows of an item's
+size. Items are partitioned by the size of their shingle set; a partition's
+window width is the widest power of two that every text that contains the
+threshold's share of the item must hold intact somewhere (see ``plan``). The
+MinHash of a window is its least shingle hash; a row's signature is the set of its
+windows' MinHashes, about 2 of each width + 1 shingles. A document has the
+signature of the narrowest width in use, which holds those of all wider ones.
+
+1. A document that shares enough MinHashes with an item (``need``, also from the
+   plan, more for larger items) is a candidate for it.
+2. Candidates are verified by exact containment of the item's shingles. Shingle
+   hashes meet the items', never texts: a document's text is not shuffled.
+
+Items' rows are broadcast up to ``BROADCAST_ROWS`` (the count is checked); beyond
+it both sides are shuffled by hash under a salt, so a very common shingle is
+spread over ``SALTS`` tasks.
 
 Defined results: null or empty texts and texts of fewer than ``n`` words have no
-shingles and match nothing; repeated items are separate items; documents that
-repeat a ``doc_id`` count as one set each and give one row with the largest
-containment; an empty table gives no rows; other columns are ignored.
+shingles and match nothing; a null ``doc_id`` or ``item_id`` is an id like others;
+rows that repeat an id are sets of their own, and the result has one row for each
+pair of ids, that of the largest containment (then of the larger item); an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import table, written
+from colloquy.llm.common import all_salts, table, written
 
-#: Rows of item signatures up to which they are broadcast (16 bytes each); beyond it both sides are shuffled.
+#: Rows of items or candidates (8 to 32 bytes each) up to which they are broadcast.
 BROADCAST_ROWS = 2_000_000
-#: Powers of two of set sizes.
-LARGEST = 40
+#: Ways in which the rows of one shingle are dealt out where both sides are shuffled.
+SALTS = 32
 
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def shingle_hashes(ws: Column, n: int) -> Column:
-    """Sorted distinct 64-bit hashes of the n-word shingles."""
-    at = F.when(F.size(ws) >= n, F.sequence(F.lit(1), F.size(ws) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.sort_array(F.array_distinct(F.transform(at, lambda i: F.xxhash64(*[F.element_at(ws, i + k) for k in range(n)]))))
+def shingled(rows: DataFrame, id_col: str, n: int, only: DataFrame | None = None) -> DataFrame:
+    """(id, key, grams): the hashes of a text's n-word shingles in their order; ``key`` is the text's hash.
 
+    ``only`` has the (id, key) of the rows that are wanted.
+    """
+    # a projection for each step: what a lambda reads must be a column, or it is computed at every element
+    out = rows.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
+    if only is not None:
+        out = out.join(only, out["id"].eqNullSafe(only["id"]) & (out["key"] == only["key"]), "left_semi")
+    out = out.select("id", "key", words(F.col("text")).alias("ws"))
+    out = out.select("id", "key", F.transform("ws", lambda w: F.xxhash64(w)).alias("hs")).where(F.size("hs") >= n)
+    return out.select("id", "key", F.transform(F.sequence(F.lit(1), F.size("hs") - (n - 1)), lambda i: F.xxhash64(*[F.element_at("hs", i + k) for k in range(n)])).alias("grams"))
+
+
+def plan(size: Column, n: int, threshold: float) -> tuple[Column, Column, Column]:
+    """(least, width, need) of an item of ``size`` shingles.
+
+    ``least`` shingles are shared at the threshold. A word inserted, left out or
+    replaced within a passage costs n - 1 shingles at least, so the lost ones
+    break the item at (size - least) / (n - 1) places at most, and ``least``
+    shingles lie in one run more than that. A run of r shingles has r / width
+    (rounded down) windows without a common place, each with a MinHash of its own.
+    """
+    least = F.ceil(size * F.lit(threshold) - F.lit(1e-9))
+    runs = F.floor((size - least) / max(1, n - 1)) + 1
+    width = F.pow(F.lit(2), F.floor(F.log2((F.floor((least - 1) / runs) + 1).cast("double")) + F.lit(1e-9)))
+    need = F.greatest(F.lit(1), F.ceil((least - runs * (width - 1)) / width))
+    return least.cast("long"), width.cast("int"), need.cast("long")
 
-def shingled(rows: DataFrame, key: str, n: int) -> DataFrame:
-    ws = rows.select(F.col(key).cast("long").alias(key), words(F.col("text").cast("string")).alias("ws"))
-    return ws.select(key, shingle_hashes(F.col("ws"), n).alias("grams"))
 
+def window_minima(grams: Column, width: Column) -> Column:
+    """The distinct least hashes of all windows of ``width`` shingles (of the whole, if it is shorter)."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(grams) - width + 1))
+    return F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(grams, i, width))))
 
-def size_class(grams: Column) -> Column:
-    """Power of two at or above the set's size."""
-    return F.ceil(F.log2(F.greatest(F.size(grams), F.lit(1)).cast("double"))).cast("int")
 
+def met(rows: DataFrame, wanted: DataFrame, small: bool) -> DataFrame:
+    """``rows`` (id, key, h) joined with the items' rows by ``h``."""
+    if small:
+        return rows.join(F.broadcast(wanted), "h")
+    salt = F.pmod(F.xxhash64("id", "key"), F.lit(SALTS)).cast("int")
+    return rows.withColumn("salt", salt).join(wanted.withColumn("salt", all_salts(SALTS)), ["h", "salt"]).drop("salt")
 
-def bins_for(size: int, fewest: int, threshold: float, recall: float) -> int:
-    """Bins for sets of up to ``size`` shingles, as a power of two.
 
-    With B bins, a bin minimum of the item is the document's too with a chance of
-    at least 1 / (1 + size / B); the item has at least fewest * threshold shingles in it.
-    """
-    tries = max(1.0, fewest * threshold)
-    chance = 1 - (1 - recall) ** (1 / tries)
-    return 1 << max(0, math.ceil(math.log2(size * chance / (1 - chance))))
+def item_rows(items: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(item, item_id, grams, n_item, least, width, need): an item for each id and text."""
+    it = shingled(items, "item_id", n).dropDuplicates(["id", "key"])
+    it = it.select(F.xxhash64("id", "key").alias("item"), F.col("id").alias("item_id"), "grams", F.size(F.array_distinct("grams")).cast("long").alias("n_item"))
+    least, width, need = plan(F.col("n_item"), n, threshold)
+    # where shingles repeat within the item, a lost one may break it more often: one MinHash is asked for
+    return it.select("*", least.alias("least"), width.alias("width"), F.when(F.size("grams") == F.col("n_item"), need).otherwise(F.lit(1).cast("long")).alias("need"))
 
 
-def bin_minima(grams: Column, shift: Column) -> Column:
-    """Least hash of each bin; the bin is the hash's upper bits, so of sorted hashes the first of each run."""
-    spread = lambda x: F.call_function("shiftrightunsigned", x, shift)
-    first = lambda x, i: (i == 0) | (spread(x) != spread(F.element_at(grams, F.greatest(i, F.lit(1)))))
-    return F.filter(grams, first)
+def candidates(docs: DataFrame, it: DataFrame, n: int) -> DataFrame:
+    """(id, key, item) of the documents that share enough MinHashes with an item."""
+    width, sizes = it.agg(F.min("width"), F.sum(F.size("grams"))).first()
+    if width is None:
+        return docs.sparkSession.createDataFrame([], "id long, key long, item long")
+    probe = it.select("item", "need", F.explode(window_minima(F.col("grams"), F.col("width"))).alias("h"))
+    sig = shingled(docs, "doc_id", n).select("id", "key", F.explode(window_minima(F.col("grams"), F.lit(width))).alias("h"))
+    hits = met(sig, probe, sizes <= BROADCAST_ROWS)
+    return hits.groupBy("id", "key", "item", "need").agg(F.count("*").alias("n")).where("n >= need").select("id", "key", "item")
 
 
-def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
+def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) of every item found in a document."""
-    it = written(shingled(items, "item_id", n).where("size(grams) > 0"), "items")
-    n_items, fewest, all_grams = it.agg(F.count("*"), F.min(F.size("grams")), F.sum(F.size("grams"))).first()
-    if not n_items:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_shared long, n_item long, containment double")
-    shifts = [64 - int(math.log2(bins_for(1 << p, fewest, threshold, recall))) for p in range(LARGEST)]
-    shift_of = F.element_at(F.array(*[F.lit(max(1, s)) for s in shifts]), F.col("part") + 1)
-    # one item signature for each width of bin; equal widths are one signature
-    widths = F.explode(F.array_distinct(F.array(*[F.lit(max(1, s)) for s in shifts])))
-    probe = it.select("item_id", "grams", widths.alias("shift"))
-    probe = written(probe.select("item_id", "shift", F.explode(bin_minima(F.col("grams"), F.col("shift"))).alias("h")), "item-bins")
-    keys = probe.select("shift", "h").distinct()
-    sig = shingled(docs, "doc_id", n).withColumn("part", size_class(F.col("grams"))).withColumn("shift", shift_of)
-    bins = sig.select("doc_id", "shift", F.explode(bin_minima(F.col("grams"), F.col("shift"))).alias("h"))
-    small = probe.count() <= BROADCAST_ROWS
-    # 1: which documents share a bin with any item; only these go on
-    hits = written(bins.join(F.broadcast(keys) if small else keys, ["shift", "h"], "left_semi"), "bin-hits")
-    pairs = hits.join(F.broadcast(probe) if small else probe, ["shift", "h"]).select("doc_id", "item_id").distinct()
-    # 2: verify on the whole shingle sets; items are few and sent along where their size allows it
-    small = all_grams <= BROADCAST_ROWS
-    item_sets = it.select("item_id", F.col("grams").alias("wanted"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
-    whole = written(shingled(texts, "doc_id", n), "hit-grams")
-    both = whole.join(pairs, "doc_id").join(F.broadcast(item_sets) if small else item_sets, "item_id")
-    got = both.select("doc_id", "item_id", F.size(F.array_intersect("wanted", "grams")).cast("long").alias("n_shared"), F.size("wanted").cast("long").alias("n_item"))
-    got = got.groupBy("doc_id", "item_id").agg(F.max("n_shared").alias("n_shared"), F.max("n_item").alias("n_item"))
-    return got.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("n_shared") >= threshold * F.col("n_item") - 1e-9)
+    it = written(item_rows(items, n, threshold), "items")
+    pairs = written(candidates(docs, it, n), "item-pairs")
+    n_pairs, all_grams = pairs.count(), it.agg(F.sum("n_item")).first()[0] or 0
+    few = n_pairs <= BROADCAST_ROWS
+    # shingles of the candidate documents (of all, if these are too many to be sent along) against the items'
+    only = F.broadcast(pairs.select("id", "key").distinct()) if few else None
+    grams = shingled(docs, "doc_id", n, only).select("id", "key", F.explode(F.array_distinct("grams")).alias("h"))
+    wanted = it.select("item", "n_item", "least", F.explode(F.array_distinct("grams")).alias("h"))
+    got = met(grams, wanted, all_grams <= BROADCAST_ROWS).groupBy("id", "key", "item", "n_item", "least").agg(F.count("*").alias("n_shared")).where("n_shared >= least")
+    same = reduce(Column.__and__, [got["id"].eqNullSafe(pairs["id"]), got["key"] == pairs["key"], got["item"] == pairs["item"]])
+    got = got.join(F.broadcast(pairs) if few else pairs, same, "left_semi")
+    ids = it.select("item", "item_id")
+    got = got.join(F.broadcast(ids) if all_grams <= BROADCAST_ROWS else ids, "item")
+    best = F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), "n_item", "n_shared")).alias("b")
+    return got.groupBy(F.col("id").alias("doc_id"), "item_id").agg(best).select("doc_id", "item_id", "b.n_shared", "b.n_item", "b.containment")
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
