@@ -16,10 +16,13 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see.
 
     It is what the cluster names in ``spark.checkpoint.dir``. Only where that is
-    unset (a local session, as in tests) a temporary folder is made and set.
+    unset in a local session (as in tests) a temporary folder is made and set; on
+    a cluster a folder of one machine would lose data, so it is an error there.
     """
     named = spark.conf.get(CHECKPOINT_KEY, None)
     if named is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that the driver and all executors see")
         named = "file://" + tempfile.mkdtemp(prefix="colloquy-")
         spark.conf.set(CHECKPOINT_KEY, named)
     return named.rstrip("/")
@@ -42,6 +45,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a folder or file on the shared storage."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fewer_than(df: DataFrame, most: int) -> bool:
+    """Whether ``df`` has at most ``most`` rows; counts no further than that."""
+    return df.limit(most + 1).count() <= most
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

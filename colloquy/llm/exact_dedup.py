@@ -1,13 +1,19 @@
 """Exact deduplication with a persistent digest index.
 
-The index is a Parquet table, bucketed and sorted by digest. New data is reduced
-to one row for each digest first (partial aggregation, so a text that a third of
-all rows share costs one row a task), then anti-joined against the index by
-sort-merge without shuffling the index, and what is new is appended.
+The index is a Parquet table in the shared folder, bucketed and sorted by digest.
+New data is reduced to one row for each digest first (partial aggregation, so a
+text that a third of all rows share costs one row a task), then anti-joined
+against the index by sort-merge without shuffling the index, and what is new is
+appended. ``compact`` makes one sorted file a bucket of what the batches appended,
+with as many buckets as the rows by then ask for.
+
+``deduplicated`` feeds a table to one index in batches of ascending ``doc_id``, so
+that the smallest id of equal texts stays whichever batch it is in.
 
 Defined results: null text counts as empty; a null ``doc_id`` never stays if the
-group has another; rows with equal ``doc_id`` and text are one document and share
-the decision; an empty table gives no rows; other columns are ignored.
+group has another (null ids are the last batch); rows with equal ``doc_id`` and
+text are one document and share the decision; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,9 +23,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import all_salts, salted, table, text_or_empty, written
+from colloquy.llm.common import all_salts, dropped, fresh_path, salted, table, text_or_empty, written
 
 SALTS = 16
+#: Digests (of 40 bytes) for which a bucket is made.
+BUCKET_ROWS = 4_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -31,57 +39,94 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(text_or_empty()), 256)).alias("digest"))
 
 
+def buckets_for(rows: int) -> int:
+    return 1 << max(2, (-(-rows // BUCKET_ROWS) - 1).bit_length())
+
+
 class DigestIndex:
     """Digests seen so far, with the id of the row that stays for each."""
 
-    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int = 32):
+    def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int = 4):
         self.spark, self.buckets = spark, buckets
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
+        self.path = path or fresh_path(spark, "digest-index")
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
 
     def rows(self) -> DataFrame:
+        self.spark.catalog.refreshTable(self.name)  # another session may have appended
         return self.spark.table(self.name)
 
-    def attach(self, path: str) -> None:
-        """Register an index that another session has written at ``path``."""
+    def attach(self) -> None:
+        """Register the index that another session has written at ``path`` with as many ``buckets``."""
         self.spark.sql(
             f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
 
     def append(self, fresh: DataFrame) -> None:
         """One sorted file for each bucket of this batch."""
         dealt = fresh.select("digest", "keep_id").repartition(self.buckets, "digest")
-        dealt.write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
-
-    def ingest(self, docs: DataFrame) -> DataFrame:
+        dealt.write.format("parquet").option("path", self.path).mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
+
+    def compact(self) -> None:
+        """One sorted file for each bucket, in a new folder; the old one goes after the table has been registered anew."""
+        old = self.path
+        rows = self.spark.read.schema("digest BINARY, keep_id BIGINT").parquet(old)
+        self.buckets, self.path = buckets_for(rows.count()), f"{old.rsplit('.', 1)[0]}.{uuid.uuid4().hex[:8]}"
+        made = f"{self.name}_{uuid.uuid4().hex[:8]}"
+        DigestIndex(self.spark, made, self.path, self.buckets).append(rows)
+        self.spark.sql(f"DROP TABLE {made}")  # the table is external: its files stay
+        self.spark.sql(f"DROP TABLE {self.name}")
+        self.attach()
+        dropped(self.spark, old)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        dropped(self.spark, self.path)
+
+    def add(self, groups: DataFrame) -> None:
+        """Append the groups (digest, low_id) whose digest is new: a sort-merge anti-join."""
+        fresh = groups.join(self.rows().hint("merge"), "digest", "left_anti") if self.exists() else groups
+        self.append(written(fresh.select("digest", F.col("low_id").alias("keep_id")), "digest-fresh"))
+
+    def ingest(self, docs: DataFrame, batches: int = 1) -> DataFrame:
         """Add ``docs``; returns a row for each: doc_id, digest, keep_id, group_size, kept.
 
         A digest that the index has keeps the id it has there; of the others the
-        smallest ``doc_id`` stays. ``group_size`` counts the rows of this batch.
+        smallest ``doc_id`` stays. ``group_size`` counts the rows of this call.
         """
         seen = written(digests(docs), "digests")
-        groups = seen.groupBy("digest").agg(F.min("doc_id").alias("low_id"), F.count("*").alias("group_size"))
-        if self.exists():
-            groups = written(groups, "digest-groups")
-            fresh = groups.join(self.rows().hint("merge"), "digest", "left_anti")
-        else:
-            fresh = groups
-        self.append(fresh.select("digest", F.col("low_id").alias("keep_id")))
-        settled = groups.join(self.rows().hint("merge"), "digest").where("group_size > 1 OR NOT keep_id <=> low_id")
+        grouped = lambda rows: rows.groupBy("digest").agg(F.min("doc_id").alias("low_id"), F.count("*").alias("group_size"))
+        cuts = seen.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10_000)).first()[0] if batches > 1 else None
+        if not self.exists():
+            self.buckets = max(self.buckets, buckets_for(seen.count()))
+        batch = F.lit(0)
+        for cut in cuts or []:
+            batch = batch + F.when(F.col("doc_id") <= cut, 0).otherwise(1)  # a null id is in the last batch
+        for k in range(len(cuts or []) + 1):
+            self.add(grouped(seen.where(batch == k)))
+        settled = grouped(seen).join(self.rows().hint("merge"), "digest").where("group_size > 1 OR NOT keep_id <=> low_id")
+        settled = written(settled.select("digest", "keep_id", "group_size"), "digest-settled")
         # only repeated digests come back, each under all salts; a row without one stays by itself
-        right = settled.select("digest", "keep_id", "group_size", F.lit(True).alias("met"), all_salts(SALTS).alias("salt"))
+        right = settled.select("*", F.lit(True).alias("met"), all_salts(SALTS).alias("salt"))
         out = seen.withColumn("salt", salted(F.col("doc_id"), SALTS)).join(right, ["digest", "salt"], "left")
         keep = F.when(F.col("met"), F.col("keep_id")).otherwise(F.col("doc_id"))
         out = out.withColumn("keep_id", keep).withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
         return out.select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
 
 
+def deduplicated(docs: DataFrame, batches: int = 3) -> DataFrame:
+    """``docs`` through a new index in ``batches`` of ascending id; the index goes when all is settled."""
+    index = DigestIndex(docs.sparkSession)
+    out = index.ingest(docs, batches)
+    index.drop()
+    return out
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = DigestIndex(spark).ingest(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    return deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 OP4_SQL = r"""

@@ -12,7 +12,11 @@ The classifier is fitted on a bounded sample of labelled rows (parameter
 ``per_lang`` for each language, fewer if ``most`` rows in all would be exceeded:
 the bound is met evenly, no language is left out); every whole text is scored.
 
-Defined results: null text or a text without a letter is ``und`` with score 0;
+``margin`` is the lead of the best score over the second (1 if there is one language);
+unlike the score it doesn't depend on the number of languages. ``in_known_language``
+rejects by it.
+
+Defined results: null text or a text without a letter is ``und`` with score and margin 0;
 if there is nothing to learn from, every document is ``und``; ties go to the
 language that sorts first; repeated rows get equal answers; other columns are
 never looked at.
@@ -37,7 +41,7 @@ ORDERS = (1, 2, 3, 4)
 MEMO_WORDS = 200_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 LETTERS = re.compile(r"[^\W\d_]+")
-RESULT = "doc_id long, lang_pred string, score double"
+RESULT = "doc_id long, lang_pred string, score double, margin double"
 UNKNOWN = "und"
 
 _MEMO: dict[str, np.ndarray] = {}
@@ -73,7 +77,10 @@ def presences(texts: list[str | None], marks: np.ndarray) -> list[np.ndarray]:
     split = [set(LETTERS.findall((t or "").lower())) for t in texts]
     new = list(set().union(*split).difference(_MEMO))
     if new:
-        _MEMO.update(zip(new, word_grams(new), strict=True))
+        # the pattern also takes number characters that aren't decimal digits; words of these alone have no letter
+        real = [w for w in new if w.isalpha() or any(map(str.isalpha, w))]
+        _MEMO.update(dict.fromkeys(new, np.zeros(0, np.int32)))
+        _MEMO.update(zip(real, word_grams(real), strict=True) if real else ())
     out = []
     for words in split:
         if words:
@@ -174,26 +181,48 @@ def train(docs: DataFrame, per_lang: int = 400, most: int = 4000) -> Classifier
     return fit([r["lang"] for r in sample], [np.frombuffer(r["grams"], np.int32) for r in sample])
 
 
+def judged(texts: list[str | None], model: Classifier | None, marks: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(language, score, margin) of each text."""
+    found = presences(texts, marks)
+    if model is None:
+        return [UNKNOWN] * len(found), np.zeros(len(found)), np.zeros(len(found))
+    s, seen = model.scores(found), np.array([len(x) > 0 for x in found])
+    top = np.sort(s, axis=1)
+    margin = top[:, -1] - top[:, -2] if s.shape[1] > 1 else np.ones(len(s))
+    names = [model.langs[k] if ok else UNKNOWN for k, ok in zip(s.argmax(1), seen, strict=True)]
+    return names, np.where(seen, np.clip(top[:, -1], 0, 1), 0), np.where(seen, margin, 0)
+
+
+def in_known_language(docs: DataFrame, model: Classifier | None, least_margin: float) -> DataFrame:
+    """The rows of ``docs``, all columns, with a letter and a margin of ``least_margin`` at least; one narrow map."""
+    spark = docs.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.broadcast(model)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.zeros(DIMS, np.uint8)
+        for b in batches:
+            for start in range(0, b.num_rows, 256):
+                part = b.slice(start, 256)
+                names, _, margin = judged(part.column("text").to_pylist(), sent.value, marks)
+                yield part.filter(pa.array((np.array(names) != UNKNOWN) & (margin >= least_margin)))
+
+    return docs.mapInArrow(task, docs.schema)
+
+
 def identify(docs: DataFrame, model: Classifier | None) -> DataFrame:
-    """(doc_id, lang_pred, score) of every whole text; one narrow map, no shuffle."""
+    """(doc_id, lang_pred, score, margin) of every whole text; one narrow map, no shuffle."""
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(model)  # DIMS x languages: its size doesn't follow the rows
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, marks = sent.value, np.zeros(DIMS, np.uint8)
+        marks = np.zeros(DIMS, np.uint8)
         for b in batches:
             texts = b.column("text")
             for start in range(0, b.num_rows, 256):
-                part = presences(texts.slice(start, 256).to_pylist(), marks)
-                if c is None:
-                    names, best = [UNKNOWN] * len(part), np.zeros(len(part))
-                else:
-                    s = c.scores(part)
-                    seen = np.array([len(x) > 0 for x in part])
-                    names = [c.langs[k] if ok else UNKNOWN for k, ok in zip(s.argmax(1), seen, strict=True)]
-                    best = np.where(seen, np.clip(s.max(1), 0, 1), 0)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(start, 256), pa.array(names), pa.array(best)], names=["doc_id", "lang_pred", "score"])
+                names, best, margin = judged(texts.slice(start, 256).to_pylist(), sent.value, marks)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(start, 256), pa.array(names), pa.array(best), pa.array(margin)], names=["doc_id", "lang_pred", "score", "margin"])
 
     return docs.selectExpr("CAST(doc_id AS long) AS doc_id", "CAST(text AS string) AS text").mapInArrow(task, RESULT)
 

@@ -12,9 +12,14 @@ A line's class is its connected component of links; the first line of a class (b
 document id, then place) is kept, all others go. Lines shorter than ``min_chars``
 only match equal lines, blank lines are never touched.
 
+A line goes by a 64-bit hash, which a second one guards: where two different lines
+share the first, their ids are made anew of both.
+
 Defined results: null and empty texts have one blank line; a null ``doc_id`` sorts
-first; rows that repeat a ``doc_id`` share its decisions; an empty table gives no
-rows; other columns are ignored; white space around a line doesn't count.
+first; rows that repeat a ``doc_id`` are told apart by the hash of their text (the
+smaller one is first), so equal rows share their decisions and others don't; an
+empty table gives no rows; other columns are ignored; white space around a line
+doesn't count.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import all_salts, components, salted, table, text_or_empty, written
+from colloquy.llm.common import all_salts, components, fewer_than, salted, table, text_or_empty, written
 
 SALTS = 16
 EDITS = 2
@@ -33,10 +38,38 @@ BLOCK = 32
 BROADCAST_ROWS = 1_000_000
 
 
+def row_key() -> Column:
+    return F.xxhash64("text")
+
+
+def line_hash(line: Column) -> Column:
+    return F.xxhash64(line)
+
+
+def distinct_lines(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with a line's ``id``, one row for each different line with its first place, count and text).
+
+    The least and the largest second hash of an id differ only if two lines share
+    it (of 10 billion lines, about three pairs); the loop then runs once more.
+    """
+    ids = rows.select("doc_id", "row", "line_no", line_hash(F.col("line")).alias("id"), F.xxhash64(F.lit(5), "line").alias("guard"), F.char_length("line").alias("len"), "line")
+    for _ in range(8):
+        distinct = ids.groupBy("id").agg(
+            F.min(F.struct("doc_id", "row", "line_no")).alias("first"), F.count("*").alias("n_copies"), F.first("line").alias("line"), F.first("len").alias("len"), F.min("guard").alias("low"), F.max("guard").alias("high")
+        )
+        distinct = written(distinct, "lines")
+        shared = distinct.where("low <> high").select("id", F.lit(True).alias("shared"))
+        if shared.isEmpty():
+            return ids, distinct.select("id", "first", "n_copies", "line", "len")
+        shared = F.broadcast(written(shared, "line-shared")) if fewer_than(shared, BROADCAST_ROWS) else shared
+        ids = ids.join(shared, "id", "left").withColumn("id", F.when(F.col("shared"), F.xxhash64("guard", "id")).otherwise(F.col("id"))).drop("shared")
+    raise RuntimeError("line ids did not settle")
+
+
 def split_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line): trimmed lines of whole texts, from 0."""
+    """(doc_id, row, line_no, line): trimmed lines of whole texts, from 0; ``row`` is the text's hash."""
     lines = F.posexplode(F.split(text_or_empty(), "\n", -1)).alias("line_no", "line")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), lines).withColumn("line", F.trim(F.col("line"), F.lit(" \t\r\f\x0b")))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), lines).withColumn("line", F.trim(F.col("line"), F.lit(" \t\r\f\x0b")))
 
 
 def segment(length: Column, rank: int, edits: int) -> tuple[Column, Column]:
@@ -91,10 +124,6 @@ def may_be_near(x: Column, y: Column, edits: int) -> Column:
     return F.bit_count(x.bitwiseXOR(y)) <= 4 * edits
 
 
-def fewer_than(df: DataFrame, most: int) -> bool:
-    return df.limit(most + 1).count() <= most
-
-
 def forest(block: Column, edits: int) -> Column:
     """For an array of (id, sketch, line): one edge (id, least id of its component within the block).
 
@@ -160,12 +189,9 @@ def linked_lines(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     return found.unionByName(rooted)
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """A row for each line: doc_id, line_no, class_doc, class_line, n_copies, kept."""
-    rows = split_lines(docs).where("line <> ''")
-    ids = rows.select("doc_id", "line_no", F.xxhash64("line").alias("id"), F.char_length("line").alias("len"), "line")
-    distinct = ids.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n_copies"), F.first("line").alias("line"), F.first("len").alias("len"))
-    distinct = written(distinct, "lines")
+def classes_of_rows(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """A row for each line: doc_id, row, line_no, lead (the place of the class's first line), n_copies, kept."""
+    ids, distinct = distinct_lines(split_lines(docs).where("line <> ''"))
     links = written(linked_lines(distinct, edits, min_chars), "line-links")
     classes = components(links)
     of_line = distinct.select("id", "first", "n_copies").join(classes.withColumnRenamed("node", "id"), "id", "left")
@@ -173,16 +199,17 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     firsts = of_line.groupBy("root").agg(F.min("first").alias("lead"))
     settled = of_line.join(firsts, "root").where("n_copies > 1 OR linked")
     right = settled.select("id", "lead", "n_copies", F.lit(True).alias("met"), all_salts(SALTS).alias("salt"))
-    every = ids.select("doc_id", "line_no", "id", salted(F.struct("doc_id", "line_no"), SALTS).alias("salt"))
-    out = every.join(right, ["id", "salt"], "left").withColumn("lead", F.when(F.col("met"), F.col("lead")).otherwise(F.struct("doc_id", "line_no")))
-    return out.select(
-        "doc_id",
-        "line_no",
-        F.col("lead.doc_id").alias("class_doc"),
-        F.col("lead.line_no").alias("class_line"),
-        F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
-        (F.col("lead.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("lead.line_no") == F.col("line_no"))).alias("kept"),
-    )
+    place = F.struct("doc_id", "row", "line_no")
+    every = ids.select("doc_id", "row", "line_no", "id", salted(place, SALTS).alias("salt"))
+    out = every.join(right, ["id", "salt"], "left").withColumn("lead", F.when(F.col("met"), F.col("lead")).otherwise(place))
+    kept = F.col("lead.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("lead.row") == F.col("row")) & (F.col("lead.line_no") == F.col("line_no"))
+    return out.select("doc_id", "row", "line_no", "lead", F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), kept.alias("kept"))
+
+
+def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """A row for each line: doc_id, line_no, class_doc, class_line, n_copies, kept."""
+    out = classes_of_rows(docs, edits, min_chars)
+    return out.select("doc_id", "line_no", F.col("lead.doc_id").alias("class_doc"), F.col("lead.line_no").alias("class_line"), "n_copies", "kept")
 
 
 def without_repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -190,13 +217,12 @@ def without_repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CH
 
     A document that loses all its lines (every one stands elsewhere) goes.
     """
-    gone = line_classes(docs, edits, min_chars).where("NOT kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    gone = classes_of_rows(docs, edits, min_chars).where("NOT kept").groupBy(F.col("doc_id").alias("_line_doc"), F.col("row").alias("_line_row")).agg(F.collect_set("line_no").alias("_line_gone"))
     lines = F.split("text", "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.element_at(lines, i + 1)), "\n"))
-    gone = gone.withColumnRenamed("doc_id", "_line_doc")
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_line_doc")), "left").withColumn("text", text)
-    kept = out.where("gone IS NULL OR trim(text) <> ''")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_line_gone"))
+    text = F.when(F.col("_line_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.element_at(lines, i + 1)), "\n"))
+    out = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_line_doc")) & (F.xxhash64(docs["text"]) == F.col("_line_row")), "left").withColumn("text", text)
+    kept = out.where("_line_gone IS NULL OR trim(text) <> ''")
     return kept.select(*docs.columns)
 
 

@@ -20,6 +20,7 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -52,6 +53,22 @@ DOC_FIELDS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 DOC_ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("frame", "<u4"), ("offset", "<u8"), ("n_tokens", "<u8")])
 
 
+def splits_at_space(settings: dict) -> bool:
+    """Whether a tokenizer folds case and white space, and then takes runs of letters, digits or marks alone."""
+    steps = (settings.get("normalizer") or {}).get("normalizers", [])
+    before = (settings.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    split = before[0]
+    return (
+        [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]
+        and (steps[1]["pattern"], steps[1]["content"]) == ({"Regex": r"\s+"}, " ")
+        and (split.get("type"), split.get("behavior"), split.get("invert")) == ("Split", "Removed", True)
+        and split["pattern"].get("Regex", "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        and [(x["type"], x.get("use_regex")) for x in before[1:]] == [("ByteLevel", False)]
+        and not before[1]["add_prefix_space"]
+        and settings["model"].get("dropout") is None
+    )
+
+
 class WordMemo:
     """Exact encoding by white-space separated chunks, with a memo of chunks.
 
@@ -60,12 +77,16 @@ class WordMemo:
     another token, so it is a chunk of its own too. A slice of texts is split at
     once, each of its distinct chunks is looked up once, and the ids are put
     together by one gather. The memo is cleared when it is full.
+
+    All this follows from the tokenizer's settings, which are looked at when the
+    file is read; where they differ, whole texts go to the library.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_chunks = splits_at_space(json.loads(self.tokenizer.to_str()))
         self._clear()
 
     def _clear(self) -> None:
@@ -87,6 +108,9 @@ class WordMemo:
         """(ids of all texts in turn, offsets of the texts' first ids and the end)."""
         import pyarrow.compute as pc
 
+        if not self.by_chunks:
+            made = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.uint32), *made]), np.cumsum([0, *map(len, made)])
         spaced = pc.replace_substring_regex(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), MARK, r"\1 \2")
         split = pc.split_pattern(spaced, " ")
         coded = split.flatten().dictionary_encode()

@@ -31,7 +31,8 @@ from colloquy.llm.common import all_salts, filesystem, fresh_path, salted, ship,
 #: Ways in which the rows of one payload are dealt out before they meet their group's decision.
 SALTS = 16
 CHUNK = 1 << 18
-HEADER_LIMIT = 1 << 20
+#: The most that a string column can hold: no header of ours is longer, and a file without headers is refused.
+HEADER_LIMIT = 1 << 31
 #: zlib window bits for gzip framing.
 GZIP = 31
 WRITTEN = "path string, records long"

@@ -119,6 +119,41 @@ def test_shards_are_even_and_gapless(spark):
     assert (by.n == by.top + 1).all() and (by.n == by.u).all()
 
 
+def test_shards_column_by_column(spark):
+    """Sizes, checksums and slots against plain Python; small groups whole, a heavy one spread, though its ids are equal."""
+    rng = random.Random(12)
+    rows = [(rng.choice([None, i]), f"group {rng.randrange(900)} é") for i in range(3000)] + [(None, None)] * 40 + [(7, "a heavy text " * 3)] * 2000 + [(1, "x" * 9000)]
+    rng.shuffle(rows)
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 6, ranges_per_shard=8).collect()
+    size = lambda t: len((t or "").encode()) + 8
+    crc = lambda t: None if t is None else zlib.crc32(t.encode())
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(key((r.doc_id, r["size"], r.text_crc32)) for r in out) == sorted(key((i, size(t), crc(t))) for i, t in rows)
+    by, groups = {}, {}
+    for r in out:
+        by.setdefault(r.shard, []).append(r)
+        groups.setdefault(r.text_crc32, set()).add(r.shard)
+    total = sum(size(t) for _, t in rows)
+    for own in by.values():
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+        assert abs(sum(r["size"] for r in own) - total / 6) < 0.1 * total / 6 + 9008
+    assert all(len(s) == 1 for c, s in groups.items() if c != crc("a heavy text " * 3))
+    assert len(groups[crc("a heavy text " * 3)]) > 1
+
+
+def test_rows_that_repeat_an_id_lose_only_their_own_lines(spark):
+    rows = [(1, "the very first line of them all\nunique to the first row of this"), (2, "the very first line of them all\nonly here in document two"), (2, "another row with the same id\nits unique second line, kept"), (None, "the very first line of them all\nno id here"), (None, None), (3, "")]
+    out = [tuple(r) for r in line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text").collect()]
+    assert sorted(out, key=str) == sorted([(1, "unique to the first row of this"), (2, "only here in document two"), rows[2], rows[3], rows[4], rows[5]], key=str)
+
+
+def test_lines_that_share_a_hash_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "line_hash", lambda line: line_dedup.F.pmod(line_dedup.F.xxhash64(line), line_dedup.F.lit(5)))
+    rows = [(i, f"{chr(97 + i % 23) * 25} {i % 23}") for i in range(60)]
+    got = line_dedup.line_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.class_doc) for r in got} == {(i, i % 23) for i, _ in rows}
+
+
 def test_edit_join_equals_brute_force(spark):
     rng = random.Random(6)
 
@@ -201,4 +236,31 @@ def test_digest_index_across_batches(spark):
     got = {r.doc_id: (r.keep_id, r.kept) for r in index.ingest(b).collect()}
     assert got == {1: (5, False), 7: (7, True), 8: (7, False)}
     assert index.rows().count() == 3
-    assert hashlib.sha256(b"x y").digest() in {bytes(r.digest) for r in index.rows().collect()}
+    other = exact_dedup.DigestIndex(spark, path=index.path, buckets=4)  # as another session would
+    other.attach()
+    c = spark.createDataFrame([(0, "x y"), (None, "new"), (9, "z"), (2, None), (None, "")], "doc_id long, text string")
+    assert sorted(other.ingest(c).select("doc_id", "keep_id").na.fill(-1).collect()) == [(-1, 2), (-1, 7), (0, 5), (2, 2), (9, 6)]
+    plan = index.rows().join(other.rows().hint("merge"), "digest", "left_anti")._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan.split("== Physical Plan ==")[1]
+    rows = sorted(map(tuple, index.rows().collect()))
+    index.compact()
+    assert sorted(map(tuple, index.rows().collect())) == rows and len(rows) == 4
+    files = index.rows().select("_metadata.file_path").distinct().count()
+    assert files <= index.buckets
+
+
+def test_batches_of_one_index_equal_one_batch(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice([None, rng.randrange(500)]), rng.choice([None, "", "a b", "a  b", f"t{rng.randrange(60)}"])) for _ in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    low, size = {}, {}
+    for i, t in rows:
+        t = " ".join((t or "").split(" ")) if not t or "  " not in t else "a b"
+        size[t] = size.get(t, 0) + 1
+        low[t] = min([x for x in (low.get(t), i) if x is not None], default=None)
+    for batches in (1, 3):
+        got = exact_dedup.deduplicated(docs, batches).collect()
+        assert len(got) == len(rows)
+        want = {hashlib.sha256(t.encode()).hexdigest(): (low[t], n) for t, n in size.items()}
+        assert {(bytes(r.digest).hex(), r.keep_id, r.group_size) for r in got} == {(h, *x) for h, x in want.items()}
+        assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
