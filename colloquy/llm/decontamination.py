@@ -109,8 +109,8 @@ def candidates(docs: DataFrame, it: DataFrame, n: int) -> DataFrame:
     return hits.groupBy("id", "key", "item", "need").agg(F.count("*").alias("n")).where("n >= need").select("id", "key", "item")
 
 
-def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, item_id, n_shared, n_item, containment) of every item found in a document."""
+def contained(docs: DataFrame, items: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(id, key, item_id, n_shared, n_item) of every document row and item that it contains."""
     it = written(item_rows(items, n, threshold), "items")
     pairs = written(candidates(docs, it, n), "item-pairs")
     n_pairs, all_grams = pairs.count(), it.agg(F.sum("n_item")).first()[0] or 0
@@ -123,11 +123,21 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, threshold: fl
     same = reduce(Column.__and__, [got["id"].eqNullSafe(pairs["id"]), got["key"] == pairs["key"], got["item"] == pairs["item"]])
     got = got.join(F.broadcast(pairs) if few else pairs, same, "left_semi")
     ids = it.select("item", "item_id")
-    got = got.join(F.broadcast(ids) if all_grams <= BROADCAST_ROWS else ids, "item")
+    return got.join(F.broadcast(ids) if all_grams <= BROADCAST_ROWS else ids, "item").select("id", "key", "item_id", "n_shared", "n_item")
+
+
+def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(doc_id, item_id, n_shared, n_item, containment) of every item found in a document."""
     best = F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), "n_item", "n_shared")).alias("b")
+    got = contained(docs, items, n, threshold)
     return got.groupBy(F.col("id").alias("doc_id"), "item_id").agg(best).select("doc_id", "item_id", "b.n_shared", "b.n_item", "b.containment")
 
 
+def contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(doc_id, text_key) of the rows of ``docs`` that contain an item; the key is the text's hash."""
+    return contained(docs, items, n, threshold).select(F.col("id").alias("doc_id"), F.col("key").alias("text_key")).distinct()
+
+
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

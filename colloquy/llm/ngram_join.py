@@ -3,22 +3,28 @@
 1. Every text becomes its set of word n-grams (64-bit hashes); texts with equal
    sets are one class from here on and are joined through one representative.
 2. Band and row counts follow from the threshold and the target recall; each
-   representative has one hash for each band.
-3. Band hashes that at least two representatives share link their members to the
-   least one: rows, not pairs, so a bucket of any size gives as many rows as it
-   has members. Connected components of these rows hold all candidate pairs.
-4. Components are dealt into blocks of bounded size by a hash of the id, and all
+   representative has one hash for each band, and those that share a band hash are
+   a bucket. Buckets of the same members (near copies share most bands) are one,
+   under the least of their bands: found by a fingerprint, without gathering them.
+3. A bucket is dealt into blocks of bounded size by a hash of the member, and the
    pairs of each two blocks are verified on the full n-gram sets by products of
-   presence matrices. A block pair returns one row for each member (its number of
-   links there and the least member it reaches), never the pairs.
+   presence matrices. A pair is looked at in the bucket of the least band that it
+   shares and nowhere else. A block pair returns one row for each member (its
+   number of links there and the least member it reaches), never the pairs.
+4. Classes are the connected components of links.
 
 A link joins two different n-gram sets with a Jaccard similarity at or above the
-threshold; a class is a connected component of links.
+threshold. The work on a bucket of n different sets grows with n squared (as
+matrix products; rows grow with n squared / ``BLOCK_MEMBERS``), as exact counts of
+links within it need; it doesn't depend on what the bucket's members are
+otherwise near to. Texts of candidates alone are read again, by their ids where
+these can be sent along; only beyond ``BROADCAST_ROWS`` are all texts shuffled.
 
 Defined results: a text with fewer words than n has one n-gram, all its words; a
 text without words (null, empty) is a class of its own, without links; rows that
-repeat a ``doc_id`` share its decision; an empty table gives no rows; other
-columns are ignored.
+repeat a ``doc_id`` are told apart by their text's hash; null ids are rows like
+others, but a class is named by an id if a member has one; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,10 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import all_salts, components, salted, ship, table, written
+from colloquy.llm.common import all_salts, components, fewer_than, salted, ship, table, written
 
 WORDS = re.compile(r"[^\W_]+")
 SALTS = 16
+#: Candidates (of about 200 bytes, with their band hashes) up to which they are broadcast.
+BROADCAST_ROWS = 200_000
 #: A block holds at most about so many n-grams and members (a single larger set is a block).
 BLOCK_GRAMS, BLOCK_MEMBERS = 400_000, 512
 COLUMNS = 4096
@@ -100,8 +108,13 @@ def band_hashes(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def with_key(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, text): the key tells rows of one id apart."""
+    return docs.selectExpr("CAST(doc_id AS long) AS doc_id", "CAST(text AS string) AS text").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+
+
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, set_key, size, bands); the key of an empty set is null."""
+    """(doc_id, text_key, set_key, size, bands); the key of an empty set is null."""
     ship(docs.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,8 +122,8 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
-                texts, keys, sizes, hashes = batch.column("text").slice(start, 512), [], [], []
-                for t in texts:
+                part, keys, sizes, hashes = batch.slice(start, 512), [], [], []
+                for t in part.column("text"):
                     g = gram_set(t.as_py(), n)
                     keys.append(xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None)
                     sizes.append(len(g))
@@ -118,32 +131,40 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 offsets = np.cumsum([0, *map(len, hashes)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(hashes)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(start, 512), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), lists], names=["doc_id", "set_key", "size", "bands"]
+                    [part.column("doc_id"), part.column("text_key"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), lists], names=["doc_id", "text_key", "set_key", "size", "bands"]
                 )
 
-    texts = docs.selectExpr("CAST(doc_id AS long) AS doc_id", "CAST(text AS string) AS text")
-    return texts.mapInArrow(task, "doc_id long, set_key binary, size int, bands array<long>")
+    return with_key(docs).mapInArrow(task, "doc_id long, text_key long, set_key binary, size int, bands array<long>")
 
 
-def candidate_components(reps: DataFrame) -> DataFrame:
-    """(node, root) of the representatives that share a band hash with another."""
-    banded = reps.select("rep", F.posexplode("bands").alias("band", "h"))
-    shared = banded.groupBy("band", "h").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1")
-    shared = shared.select("band", "h", "low", all_salts(SALTS).alias("salt"))
-    edges = banded.withColumn("salt", salted(F.col("rep"), SALTS)).join(shared, ["band", "h", "salt"])
-    return components(edges.select(F.col("rep").alias("a"), F.col("low").alias("b")))
+def bucket_members(reps: DataFrame) -> DataFrame:
+    """(band, h, rep, block, blocks) of the buckets, each set of members once."""
+    banded = reps.select("rep", "size", F.posexplode("bands").alias("band", "h"))
+    mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "rep"))
+    shared = banded.groupBy("band", "h").agg(F.count("*").alias("n"), F.sum("size").alias("grams"), mark(1).alias("m1"), mark(2).alias("m2")).where("n > 1")
+    kept = shared.groupBy("n", "grams", "m1", "m2").agg(F.min(F.struct("band", "h")).alias("b"))
+    blocks = F.greatest(F.ceil(F.col("grams") / BLOCK_GRAMS), F.ceil(F.col("n") / BLOCK_MEMBERS)).cast("int")
+    kept = kept.select("b.band", "b.h", blocks.alias("blocks"), all_salts(SALTS).alias("salt"))
+    dealt = banded.select("rep", "band", "h", salted(F.col("rep"), SALTS).alias("salt")).join(kept, ["band", "h", "salt"])
+    return dealt.select("band", "h", "rep", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "blocks")
 
 
-def gram_rows(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, grams) with the n-gram set as 64-bit words."""
+def gram_rows(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(rep, bands, grams) of the ``wanted`` rows (doc_id, text_key, rep, bands), the sets as 64-bit words."""
+    wanted = wanted.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_key", "_key")
+    wanted = F.broadcast(wanted) if fewer_than(wanted, BROADCAST_ROWS) else wanted.hint("merge")
+    texts = with_key(docs)
+    found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_id"]) & (texts["text_key"] == wanted["_key"])).select("rep", "bands", "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start in range(0, b.num_rows, 512):
-                got = [gram_set(t.as_py(), n).tobytes() for t in b.column("text").slice(start, 512)]
-                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(start, 512) for c in ("node", "root", "block", "blocks")], pa.array(got, pa.binary())], names=["node", "root", "block", "blocks", "grams"])
+                part = b.slice(start, 512)
+                got = [gram_set(t.as_py(), n).tobytes() for t in part.column("text")]
+                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("bands"), pa.array(got, pa.binary())], names=["rep", "bands", "grams"])
 
-    return docs.select("node", "root", "block", "blocks", "text").mapInArrow(task, "node long, root long, block int, blocks int, grams binary")
+    # rows that repeat id and text are equal
+    return found.mapInArrow(task, "rep long, bands array<long>, grams binary").dropDuplicates(["rep"])
 
 
 def linked(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -168,77 +189,89 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], threshold: float) ->
     return common >= threshold * total - 1e-6
 
 
-def verified(candidates: DataFrame, threshold: float) -> DataFrame:
+def owned(left: np.ndarray, right: np.ndarray, band: int) -> np.ndarray:
+    """Boolean matrix of the pairs (rows of band hashes) whose least shared band is ``band``."""
+    out = left[:, band, None] == right[None, :, band]
+    for b in range(band):
+        out &= left[:, b, None] != right[None, :, b]
+    return out
+
+
+def verified(members: DataFrame, threshold: float) -> DataFrame:
     """(node, low, links) for each member and block pair."""
 
-    def block_pair(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("node").reset_index(drop=True)
-        sets = [np.frombuffer(g, np.uint64) for g in pdf["grams"]]
-        nodes, n = pdf["node"].to_numpy(), len(pdf)
-        if pdf["i"].iloc[0] == pdf["j"].iloc[0]:
-            ok = linked(sets, sets, threshold)
-            np.fill_diagonal(ok, False)
-        else:
-            first = np.flatnonzero(pdf["block"].to_numpy() == pdf["i"].iloc[0])
-            second = np.flatnonzero(pdf["block"].to_numpy() == pdf["j"].iloc[0])
-            ok = np.zeros((n, n), bool)
-            if len(first) and len(second):
-                part = linked([sets[k] for k in first], [sets[k] for k in second], threshold)
-                ok[np.ix_(first, second)] = part
-                ok[np.ix_(second, first)] = part.T
+    def block_pair(t: pa.Table) -> pa.Table:
+        nodes = t.column("rep").to_numpy()
+        order = np.argsort(nodes)
+        nodes, block, n = nodes[order], t.column("block").to_numpy()[order], len(nodes)
+        band, i, j = (t.column(c)[0].as_py() for c in ("band", "i", "j"))
+        hashes = t.column("bands").combine_chunks().flatten().to_numpy().reshape(n, -1)[order]
+        grams = t.column("grams")
+        first, second = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        own = owned(hashes[first], hashes[second], band)
+        if i == j:
+            np.fill_diagonal(own, False)
+        rows, cols = np.flatnonzero(own.any(1)), np.flatnonzero(own.any(0))
+        ok = np.zeros((n, n), bool)
+        if len(rows):
+            sets = {k: np.frombuffer(grams[int(order[k])].as_py(), np.uint64) for k in {*first[rows].tolist(), *second[cols].tolist()}}
+            near = linked([sets[k] for k in first[rows]], [sets[k] for k in second[cols]], threshold) & own[np.ix_(rows, cols)]
+            ok[np.ix_(first[rows], second[cols])] = near
+            ok[np.ix_(second[cols], first[rows])] |= near.T
         low = np.arange(n)
-        while True:  # least member reached; each pass at least doubles the reach along a path
-            near = np.where(ok, low[None, :], n).min(1, initial=n)
-            new = np.minimum(low, near)
+        while ok.any():  # least member reached; each pass at least doubles the reach along a path
+            new = np.minimum(low, np.where(ok, low[None, :], n).min(1, initial=n))
             new = np.minimum(new, new[new])
             if (new == low).all():
                 break
             low = new
-        return pd.DataFrame({"node": nodes, "low": nodes[low], "links": ok.sum(1)})
+        return pa.table({"node": nodes, "low": nodes[low], "links": ok.sum(1)})
 
-    pairs = candidates.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("root", "node", "block", "grams", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return pairs.groupBy("root", "i", "j").applyInPandas(block_pair, "node long, low long, links long")
+    pairs = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.select("band", "h", "rep", "block", "bands", "grams", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return pairs.groupBy("band", "h", "i", "j").applyInArrow(block_pair, "node long, low long, links long")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995) -> DataFrame:
-    """(doc_id, class_id, n_links, n_copies): class_id is the least doc_id of the class.
+    """(doc_id, text_key, class_id, n_links, n_copies, kept): class_id is the least doc_id of the class.
 
     ``n_links`` counts the different n-gram sets that link to the document's own;
-    ``n_copies`` the documents with the same set.
+    ``n_copies`` the documents with the same set. ``kept`` is the row that names the
+    class (of equal ids, that of the smaller ``text_key``, the hash of its text).
     """
     bands, rows = band_plan(threshold, recall)
-    sig = written(signatures(docs, n, bands, rows), "ngram-sig")
-    sets = sig.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("doc_id", "size", "bands")).alias("r"), F.count("*").alias("n_copies"))
-    reps = written(sets.select("set_key", "n_copies", F.col("r.doc_id").alias("rep"), F.col("r.size").alias("size"), F.col("r.bands").alias("bands")), "ngram-reps")
-    comp = candidate_components(reps)
-    comp = written(comp.join(reps.select(F.col("rep").alias("node"), "size"), "node"), "ngram-comp")
-    blocks = comp.groupBy("root").agg(
-        F.greatest(F.ceil(F.sum("size") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK_MEMBERS)).cast("int").alias("blocks")
-    )
-    dealt = comp.join(blocks, "root").select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    texts = docs.selectExpr("CAST(doc_id AS long) AS node", "CAST(text AS string) AS text")
-    candidates = gram_rows(texts.join(dealt.hint("merge"), "node"), n).dropDuplicates(["node"])
-    found = written(verified(candidates, threshold), "ngram-links")
-    classes = components(found.where("links > 0 AND low <> node").select(F.col("node").alias("a"), F.col("low").alias("b")))
+    sig = written(signatures(docs, n, bands, rows).withColumn("row", F.monotonically_increasing_id()), "ngram-sig")
+    lead = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    sets = sig.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("row", "doc_id", "text_key", "size", "bands")).alias("r"), F.min(lead).alias("lead"), F.count("*").alias("n_copies"))
+    reps = written(sets.select("set_key", "n_copies", "lead", F.col("r.row").alias("rep"), "r.doc_id", "r.text_key", "r.size", "r.bands"), "ngram-reps")
+    members = written(bucket_members(reps), "ngram-members")
+    met = members.select("rep").distinct()
+    wanted = written(reps.select("doc_id", "text_key", "rep", "bands").join(met, "rep", "left_semi"), "ngram-wanted")
+    found = written(verified(members.join(gram_rows(docs, wanted, n), "rep"), threshold).where("links > 0"), "ngram-links")
+    classes = components(found.where("low <> node").select(F.col("node").alias("a"), F.col("low").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
-    of_rep = reps.select("set_key", "n_copies", F.col("rep").alias("node")).join(links, "node", "left").join(classes, "node", "left")
-    of_rep = written(of_rep.select("set_key", "n_copies", F.coalesce("root", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "ngram-classes")
+    linked_sets = reps.select("lead", F.col("rep").alias("node")).join(links, "node").join(classes, "node")
+    linked_sets = written(linked_sets, "ngram-linked")
+    leads = linked_sets.groupBy("root").agg(F.min("lead").alias("class_lead"))
+    of_class = linked_sets.join(leads, "root").select(F.col("node").alias("rep"), "class_lead", "n_links")
+    of_rep = reps.select("set_key", "n_copies", "lead", "rep").join(of_class, "rep", "left")
+    of_rep = of_rep.select("set_key", "n_copies", F.coalesce("class_lead", "lead").alias("lead"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     # sets with one document and no link answer for themselves; the others meet their documents under a salt
-    right = of_rep.where("n_copies > 1 OR n_links > 0").select("set_key", "n_copies", "class_id", "n_links", all_salts(SALTS).alias("salt"))
-    out = sig.select("doc_id", "set_key", salted(F.col("doc_id"), SALTS).alias("salt")).join(right, ["set_key", "salt"], "left")
+    right = written(of_rep.where("n_copies > 1 OR n_links > 0"), "ngram-classes").select("*", F.lit(True).alias("met"), all_salts(SALTS).alias("salt"))
+    out = sig.select("doc_id", "text_key", "set_key", salted(F.col("row"), SALTS).alias("salt")).join(right, ["set_key", "salt"], "left")
+    first = F.col("lead.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("lead.text_key") == F.col("text_key"))
     return out.select(
         "doc_id",
-        F.coalesce("class_id", "doc_id").alias("class_id"),
+        "text_key",
+        F.when(F.col("met"), F.col("lead.doc_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
+        F.when(F.col("met"), first).otherwise(F.lit(True)).alias("kept"),
     )
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 OP2_SQL = r"""

@@ -212,6 +212,24 @@ def test_jaccard_blocks_equal_brute_force(spark, monkeypatch):
         assert got[i] == (links, sum(o == s for o in sets.values()))
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    rows = [(None, a), (None, a), (None, a), (5, a), (7, a), (9, b), (9, a + " more"), (None, "alone in the world"), (None, "alone in the  world"), (None, None), (3, None)]
+    out = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows)
+    got = sorted(((r.doc_id, r.class_id, r.n_links, r.n_copies, r.kept) for r in out), key=str)
+    alone = sorted(r.kept for r in out if r.n_copies == 2)
+    assert alone == [False, True]
+    assert [x for x in got if x[3] != 2] == sorted([(None, 5, 1, 5, False)] * 3 + [(5, 5, 1, 5, True), (7, 5, 1, 5, False), (9, 9, 0, 1, True), (9, 5, 1, 1, False), (None, None, 0, 1, True), (3, 3, 0, 1, True)], key=str)
+
+
+def test_pairs_are_owned_by_their_least_shared_band():
+    rng = np.random.default_rng(3)
+    left, right = rng.integers(0, 3, (40, 6)), rng.integers(0, 3, (30, 6))
+    every = sum(ngram_join.owned(left, right, b).astype(int) for b in range(6))
+    assert (every == (left[:, None, :] == right[None, :, :]).any(2)).all()
+
+
 @pytest.mark.parametrize(
     ("text", "labels"),
     [("This work is now released under the MIT License.", ["mit"]), ("Licensed under the Apache License, Version 2.0.", ["apache-2"]), ("licensed under GNU General Public License, version 3", ["gpl-3"]), ("licensed under the GNU public license version 3", []), ("cc-by-nc", ["cc-by-nc"])],
