@@ -7,11 +7,11 @@ last return the columns of ``documents``; the last adds the ids and the decoded
 text to the ids of the documents that are left.
 
 Defined results, all stages: an empty table gives an empty table; extra columns
-stay; equal rows share their fate (in the near-duplicate stage rows that repeat a
-``doc_id`` do, as it decides by id). By stage: a null or letterless text goes in
-the language stage; a null ``doc_id`` is an id like others in the line and
-decontamination stages, and is never a near duplicate's loser, as it has no id to
-be named by; of ties in the near-duplicate stage the least ``doc_id`` stays.
+stay; rows that repeat a ``doc_id`` are told apart by their text, and rows that are
+equal in both share their fate; a null ``doc_id`` is an id like others. By stage: a
+null or letterless text goes in the language stage; of ties in the near-duplicate
+stage the least ``doc_id`` stays, then the smaller hash of the text, and null ids
+only where no member has an id.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from colloquy.llm.common import fewer_than, table, written
 #: A document whose best language leads by less than this is in no language for sure: of held-out
 #: texts below it (6 of 10,000 at sf0.1: fragments of a word or two, mixed texts) 4 were named rightly.
 LEAST_MARGIN = 0.05
-#: Ids (of 8 bytes) up to which the list of documents to drop is sent along; beyond it both sides are shuffled.
+#: Rows (of 16 bytes) up to which the list of documents to drop is sent along; beyond it both sides are shuffled.
 BROADCAST_ROWS = 2_000_000
 
 # SentencePiece encoding can't be expressed in SQL; tests hold the stages against brute force.
@@ -33,10 +33,11 @@ ORACLE_SQL = None
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``gone`` (null ids are equal)."""
-    ids = written(gone.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    ids = F.broadcast(ids) if fewer_than(ids, BROADCAST_ROWS) else ids
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_gone"]), "left_anti").select(*docs.columns)
+    """``docs`` without the rows in ``gone`` (doc_id, text_key); null ids are equal."""
+    rows = written(gone.select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")), "gone")
+    rows = F.broadcast(rows) if fewer_than(rows, BROADCAST_ROWS) else rows
+    same = docs["doc_id"].cast("long").eqNullSafe(rows["_gone"]) & (F.xxhash64(docs["text"]) == rows["_key"])
+    return docs.join(rows, same, "left_anti").select(*docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,12 +53,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least id stays."""
-    return without(docs, ngram_join.near_duplicates(docs).where("class_id <> doc_id"))
+    return without(docs, ngram_join.near_duplicates(docs).where("NOT kept"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
-    return without(docs, decontamination.contained_items(docs, table(spark, sf_dir, "benchmark")))
+    return without(docs, decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
