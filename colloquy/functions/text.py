@@ -120,6 +120,11 @@ def shortened(text: Column, most: int) -> Column:
     return F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
 
 
+def iso_or_blank(at: Column) -> Column:
+    """ISO form of an instant, the empty text for null."""
+    return F.coalesce(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(""))
+
+
 def html_escaped(text: Column) -> Column:
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         text = F.replace(text, F.lit(raw), F.lit(safe))

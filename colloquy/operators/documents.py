@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,17 +12,31 @@ from colloquy.functions import text as T
 
 
 def packed(units: Column, most: int, sep: str = "\n\n") -> Column:
-    """Greedy packing: a chunk grows while its word estimate stays within ``most``."""
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
+    """Greedy packing: a chunk grows while its word estimate stays within ``most``.
 
-    def step(s: Column, u: Column) -> Column:
-        n = T.n_words(u)
-        fits = (s["n"] == 0) | (((s["n"] + n) * F.lit(1.3)).cast("int") <= most)
-        return F.when(
-            fits, F.struct(s["done"].alias("done"), F.when(s["open"] == "", u).otherwise(F.concat(s["open"], F.lit(sep), u)).alias("open"), (s["n"] + n).alias("n"))
-        ).otherwise(F.struct(F.array_append(s["done"], s["open"]).alias("done"), u.alias("open"), n.alias("n")))
+    The fold is over the units' word counts and keeps where chunks begin; each
+    chunk is then joined once.
+    """
+    counts = F.transform(units, T.n_words)
+    state = F.struct(F.array(F.lit(1)).alias("starts"), F.lit(0).alias("n"), F.lit(0).alias("at"))
 
-    return F.aggregate(units, state, step, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.array_append(s["done"], s["open"])))
+    def step(s: Column, n: Column) -> Column:
+        at = s["at"] + 1
+        fits = (s["n"] == 0) | (((s["n"] + n) * F.lit(1.3)).cast("int") <= most)
+        return F.when(fits, F.struct(s["starts"].alias("starts"), (s["n"] + n).alias("n"), at.alias("at"))).otherwise(
+            F.struct(F.array_append(s["starts"], at).alias("starts"), n.alias("n"), at.alias("at"))
+        )
+
+    starts = F.aggregate(counts, state, step, lambda s: s["starts"])
+    return F.when(F.size(units) == 0, F.array().cast("array<string>")).otherwise(
+        F.element_at(
+            F.transform(
+                F.array(F.struct(units.alias("u"), starts.alias("s"))),
+                lambda b: F.transform(b["s"], lambda x, i: F.array_join(F.slice(b["u"], x, F.when(i + 1 < F.size(b["s"]), F.get(b["s"], i + 1)).otherwise(F.size(b["u"]) + 1) - x), sep)),
+            ),
+            1,
+        )
+    )
 
 
 def llm_units(text: Column) -> Column:
@@ -43,32 +59,59 @@ def embedding_units(text: Column) -> Column:
 
 
 def embedding_chunks(text: Column, most: int = 300, overlap: int = 50) -> Column:
-    """Packing with carried-over trailing units of at most ``overlap`` tokens."""
-    joined = lambda parts: F.array_join(parts, "\n\n")
+    """Packing with carried-over trailing units of at most ``overlap`` tokens.
+
+    The fold is over the units' (characters, words), from which the estimate of a
+    joined text follows; it keeps each chunk's first unit and last, and the texts
+    are joined once at the end. Only the carried units are looked at again.
+    """
     none = F.array().cast("array<string>")
+    bound = lambda c, f: F.element_at(F.transform(F.array(c), f), 1)
+    estimate = lambda chars, words: F.greatest(F.floor(chars / 4).cast("int"), words)
+
+    def carried(sizes: Column, start: Column, last: Column) -> Column:
+        """First unit of the longest tail of start..last within ``overlap`` tokens; last + 1 if there is none."""
+        state = F.struct(F.lit(0).alias("size"), (last + 1).alias("first"), F.lit(True).alias("open"))
+
+        def back(s: Column, i: Column) -> Column:
+            u = F.element_at(sizes, i)
+            size = s["size"] + estimate(u["c"], u["w"])
+            return F.when(s["open"] & (size <= overlap), F.struct(size.alias("size"), i.alias("first"), F.lit(True).alias("open"))).otherwise(
+                F.struct(s["size"].alias("size"), s["first"].alias("first"), F.lit(False).alias("open"))
+            )
 
-    def carried(parts: Column) -> Column:
-        state = F.struct(none.alias("keep"), F.lit(0).alias("size"), F.lit(True).alias("open"))
+        # a tail holds a unit of one token at least for each token, so it has no more than ``overlap`` units
+        tail = F.sequence(last, F.greatest(start, last - overlap), F.lit(-1))
+        return F.aggregate(tail, state, back, lambda s: s["first"])
 
-        def back(s: Column, p: Column) -> Column:
-            n = T.tokens_by_length(p)
-            ok = s["open"] & (s["size"] + n <= overlap)
-            return F.when(ok, F.struct(F.array_prepend(s["keep"], p).alias("keep"), (s["size"] + n).alias("size"), F.lit(True).alias("open"))).otherwise(
-                F.struct(s["keep"].alias("keep"), s["size"].alias("size"), F.lit(False).alias("open"))
-            )
+    def chunks(units: Column) -> Column:
+        sized = F.transform(units, lambda u: F.struct(F.char_length(u).alias("c"), T.n_words(u).alias("w")))
+        return bound(F.struct(units.alias("u"), sized.alias("z")), folded)
+
+    def folded(b: Column) -> Column:
+        state = F.struct(F.lit(1).alias("start"), F.lit(0).alias("c"), F.lit(0).alias("w"), F.array().cast("array<struct<a:int,b:int>>").alias("done"))
+
+        def step(s: Column, i: Column) -> Column:
+            u = F.element_at(b["z"], i)
+            empty = s["start"] == i
+            c, w = F.when(empty, u["c"]).otherwise(s["c"] + 2 + u["c"]), s["w"] + u["w"]
+            full = F.struct(s["start"].alias("start"), c.alias("c"), w.alias("w"), s["done"].alias("done"))
 
-        return F.aggregate(F.reverse(parts), state, back, lambda s: s["keep"])
+            def cut(start: Column) -> Column:
+                kept = F.slice(b["z"], start, i - start + 1)
+                chars = F.aggregate(kept, F.lit(-2), lambda t, x: t + x["c"] + 2)
+                words = F.aggregate(kept, F.lit(0), lambda t, x: t + x["w"])
+                return F.struct(start.alias("start"), chars.alias("c"), words.alias("w"), F.array_append(s["done"], F.struct(s["start"].alias("a"), (i - 1).alias("b"))).alias("done"))
 
-    def step(s: Column, u: Column) -> Column:
-        more = F.array_append(s["parts"], u)
-        full = F.struct(more.alias("parts"), s["done"].alias("done"))
-        cut = F.struct(F.array_append(carried(s["parts"]), u).alias("parts"), F.array_append(s["done"], joined(s["parts"])).alias("done"))
-        first = F.struct(F.array(u).alias("parts"), s["done"].alias("done"))
-        return F.when(T.tokens_by_length(joined(more)) <= most, full).when(F.size(s["parts"]) == 0, first).otherwise(cut)
+            return F.when(empty | (estimate(c, w) <= most), full).otherwise(bound(carried(b["z"], s["start"], i - 1), cut))
+
+        n = F.size(b["u"])
+        spans = F.aggregate(F.sequence(F.lit(1), n), state, step, lambda s: F.array_append(s["done"], F.struct(s["start"].alias("a"), n.alias("b"))))
+        return F.transform(spans, lambda x: F.array_join(F.slice(b["u"], x["a"], x["b"] - x["a"] + 1), "\n\n"))
 
-    folded = F.aggregate(embedding_units(text), F.struct(none.alias("parts"), none.alias("done")), step, lambda s: F.when(F.size(s["parts"]) == 0, s["done"]).otherwise(F.array_append(s["done"], joined(s["parts"]))))
     whole = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    return F.when(F.coalesce(whole, F.lit("")) == "", none).when(T.tokens_by_length(whole) <= most, F.array(whole)).otherwise(folded)
+    units = embedding_units(text)
+    return F.when(F.coalesce(whole, F.lit("")) == "", none).when(T.tokens_by_length(whole) <= most, F.array(whole)).otherwise(chunks(units))
 
 
 def chunk_meetings(meetings: DataFrame, most: int = 300, overlap: int = 50) -> DataFrame:
@@ -112,17 +155,20 @@ def sentence_rows(docs: DataFrame, key: str = "doc_id", substantive: bool = True
 def sentence_scores(sents: DataFrame, key: str = "doc_id") -> DataFrame:
     """tf/max tf * ln((N+1)/(df+1)) over word occurrences, by length ** 0.3; no word: 0.
 
-    Term and sentence frequencies are two partial aggregations of one exploded
-    frame; all joins are on the document and word.
+    A score lives within one document, so the words are dealt by document once;
+    the windows over (document, word) and (document) and the sums by sentence follow
+    from one sort. A sentence travels with its first word alone.
     """
-    w = sents.select(key, "pos", F.explode(T.scoring_words(F.col("sentence"))).alias("word"))
-    per = w.groupBy(key, "pos", "word").agg(F.count("*").alias("c"))
-    terms = per.groupBy(key, "word").agg(F.sum("c").alias("tf"), F.count("*").alias("df"))
-    doc = sents.groupBy(key).agg(F.count("*").alias("n")).join(terms.groupBy(key).agg(F.max("tf").alias("top")), key)
-    j = per.join(terms, [key, "word"]).join(doc, key)
-    weight = F.sum(F.col("c") * F.col("tf") / F.col("top") * F.ln((F.col("n") + 1) / (F.col("df") + 1)))
-    scored = j.groupBy(key, "pos").agg((weight / F.pow(F.sum("c"), F.lit(0.3))).alias("score"))
-    return sents.join(scored, [key, "pos"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    w = sents.select(key, "pos", "sentence", F.posexplode_outer(T.scoring_words(F.col("sentence"))).alias("at", "word"))
+    first = F.coalesce(F.col("at"), F.lit(0)) == 0
+    w = w.select(key, "pos", "word", first.alias("first"), F.when(first, F.col("sentence")).alias("sentence")).repartition(key)
+    by_word, by_doc = W.partitionBy(key, "word"), W.partitionBy(key)
+    new = ~F.lag("pos").over(by_word.orderBy("pos")).eqNullSafe(F.col("pos"))
+    w = w.withColumn("tf", F.count("word").over(by_word)).withColumn("new", new.cast("int")).withColumn("df", F.sum("new").over(by_word))
+    w = w.withColumn("top", F.max("tf").over(by_doc)).withColumn("n", F.sum(F.col("first").cast("int")).over(by_doc))
+    weight = F.when(F.col("word").isNotNull(), F.col("tf") / F.col("top") * F.ln((F.col("n") + 1) / (F.col("df") + 1)))
+    out = w.withColumn("x", weight).groupBy(key, "pos").agg(F.max("sentence").alias("sentence"), F.sum("x").alias("x"), F.count("word").alias("len"))
+    return out.select(key, "pos", "sentence", F.when(F.col("len") == 0, 0.0).otherwise(F.col("x") / F.pow(F.col("len").cast("double"), F.lit(0.3))).alias("score"))
 
 
 def overview(scored: DataFrame, key: str = "doc_id", k: int = 3) -> DataFrame:
@@ -138,6 +184,17 @@ def first_distinct(rows: DataFrame, key: str, value: str, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy("pos"))).where(F.col("rank") <= k)
 
 
+# The topics of meetings with their keywords.
+MEETING_TOPICS = {
+    "Project Planning & Roadmap": "project plan roadmap kickoff milestone phase agenda scope objective timeline schedule deliverable goals".split(),
+    "Design & User Interface": "design ui ux interface wireframe prototype layout look feel colors buttons screen frontend style".split(),
+    "Budget & Financials": "budget cost price expense financial fund money dollar allocation estimate pricing resources".split(),
+    "Technical Architecture & Development": "code database backend api server architecture system module data software hardware tool integration infrastructure".split(),
+    "Testing, Quality & Review": "test testing qa review feedback bug issue verify validation performance check assessment evaluation".split(),
+    "Marketing & Client Requirements": "market marketing client customer user requirement sales presentation demo release launch competitor".split(),
+}
+
+
 def topic_of(sentence: Column, topics: dict[str, list[str]]) -> Column:
     """The topic that shares most keywords with the sentence; the first wins ties; else null."""
     ws = F.array_distinct(T.letter_words(sentence))
@@ -149,7 +206,7 @@ def topic_of(sentence: Column, topics: dict[str, list[str]]) -> Column:
     return out
 
 
-def summary(docs: DataFrame, topics: dict[str, list[str]], key: str = "doc_id", others: str = "General Discussion & Collaboration") -> DataFrame:
+def summary(docs: DataFrame, topics: dict[str, list[str]] = MEETING_TOPICS, key: str = "doc_id", others: str = "General Discussion & Collaboration") -> DataFrame:
     """Overview, topic groups, action items, deadlines and counts of the substantive sentences of each text.
 
     Topics come in order of their first sentence; what has none is a group only if
@@ -183,28 +240,80 @@ def summary(docs: DataFrame, topics: dict[str, list[str]], key: str = "doc_id",
     return out
 
 
-def edit_distance(ref: Column, hyp: Column) -> Column:
-    """Word edit distance of two arrays, one row of the table at a time."""
-    start = F.sequence(F.lit(0), F.size(hyp))
+def edit_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
+    """(substitutions, deletions, insertions) of a shortest word edit script.
 
-    def row(prev: Column, r: Column) -> Column:
-        first = F.array(F.element_at(prev, 1) + 1)
-        cells = F.sequence(F.lit(1), F.size(hyp))
-
-        def cell(done: Column, j: Column) -> Column:
-            change = F.element_at(prev, j) + F.when(F.element_at(hyp, j) == r, 0).otherwise(1)
-            return F.array_append(done, F.least(change, F.element_at(prev, j + 1) + 1, F.element_at(done, -1) + 1))
-
-        return F.when(F.size(hyp) == 0, first).otherwise(F.aggregate(cells, first, cell))
-
-    return F.element_at(F.aggregate(ref, start, row), -1)
-
-
-def word_error_rate(pairs: DataFrame, ref: str = "reference", hyp: str = "hypothesis", passes: float = 90.0) -> DataFrame:
-    """Adds ref_words, hyp_words, edits, wer (4 places), accuracy (2 places) and passed."""
-    r, h = T.words(T.transcript_normal(F.col(ref))), T.words(T.transcript_normal(F.col(hyp)))
+    Cells of one antidiagonal depend on the two before it alone, so each is one numpy
+    step and memory is a few rows. Of equally short scripts the one that keeps or
+    replaces is preferred, then the one that deletes, then the one that inserts.
+    """
+    n, m = len(ref), len(hyp)
+    names = {w: i for i, w in enumerate(dict.fromkeys([*ref, *hyp]))}
+    a, b = np.array([names[w] for w in ref], int), np.array([names[w] for w in hyp], int)
+    far = np.iinfo(np.int64).max // 2
+    # rows: cost, substitutions, deletions, insertions; column i: the cell of i reference words on the diagonal
+    before, last = np.full((4, n + 1), far), np.full((4, n + 1), far)
+    last[:, 0] = 0
+    for d in range(1, n + m + 1):
+        now = np.full((4, n + 1), far)
+        low, high = max(0, d - m), min(n, d)
+        i = np.arange(low, high + 1)
+        if low == 0:  # no reference word: all inserted
+            now[:, 0] = (d, 0, 0, d)
+        if high == d:  # no word of the other: all deleted
+            now[:, d] = (d, 0, d, 0)
+        i = i[(i > 0) & (i < d)]
+        if len(i):
+            differ = (a[i - 1] != b[d - i - 1]).astype(np.int64)
+            keep, gone, new = before[:, i - 1].copy(), last[:, i - 1].copy(), last[:, i].copy()
+            keep[0] += differ
+            keep[1] += differ
+            gone[[0, 2]] += 1
+            new[[0, 3]] += 1
+            best = np.where(keep[0] <= np.minimum(gone[0], new[0]), keep, np.where(gone[0] <= new[0], gone, new))
+            now[:, i] = best
+        before, last = last, now
+    return tuple(int(x) for x in last[1:, n])
+
+
+def edit_struct(ref: Column, hyp: Column) -> Column:
+    """(s, d, i) for two arrays of words, in Arrow batches."""
+
+    def task(refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
+        rows = [edit_counts(list(r), list(h)) for r, h in zip(refs, hyps, strict=True)]
+        return pd.DataFrame(rows, columns=["s", "d", "i"])
+
+    return F.pandas_udf(task, "s int, d int, i int")(ref, hyp)
+
+
+def word_error_rate(pairs: DataFrame, ref: str = "reference", hyp: str = "hypothesis", passes: float = 90.0, normal: bool = True) -> DataFrame:
+    """Adds ref_words, hyp_words, substitutions, deletions, insertions, edits, wer (4 places), accuracy (2 places) and passed.
+
+    ``normal=False`` only folds case, as a quick script would, and leaves punctuation in place.
+    """
+    fold = T.transcript_normal if normal else F.lower
+    r, h = (T.words(fold(F.coalesce(F.col(c), F.lit("")))) for c in (ref, hyp))
     p = pairs.withColumn("_r", r).withColumn("_h", h).withColumn("ref_words", F.size("_r")).withColumn("hyp_words", F.size("_h"))
-    p = p.withColumn("edits", edit_distance(F.col("_r"), F.col("_h")))
+    p = p.withColumn("_e", edit_struct(F.col("_r"), F.col("_h")))
+    p = p.withColumn("substitutions", F.col("_e.s")).withColumn("deletions", F.col("_e.d")).withColumn("insertions", F.col("_e.i")).withColumn("edits", F.col("_e.s") + F.col("_e.d") + F.col("_e.i"))
     wer = F.when((F.col("ref_words") == 0) & (F.col("hyp_words") == 0), 0.0).when(F.col("ref_words") == 0, 1.0).otherwise(F.col("edits") / F.col("ref_words"))
     acc = F.greatest(F.lit(0.0), (1 - F.col("_w")) * 100)
-    return p.withColumn("_w", wer).withColumn("wer", F.bround("_w", 4)).withColumn("accuracy", F.bround(acc, 2)).withColumn("passed", acc >= passes).drop("_r", "_h", "_w")
+    return p.withColumn("_w", wer).withColumn("wer", F.bround("_w", 4)).withColumn("accuracy", F.bround(acc, 2)).withColumn("passed", acc >= passes).drop("_r", "_h", "_w", "_e")
+
+
+def evaluation(runs: DataFrame, model: str = "base") -> DataFrame:
+    """The evaluation's rows for (recording, duration_sec, reference, hypothesis, error).
+
+    A run that failed (``error``, or no hypothesis) is an ERROR row with a word
+    error rate of 1 and no counts; it doesn't end the others.
+    """
+    bad = F.col("error").isNotNull() | F.col("hypothesis").isNull() | F.col("reference").isNull()
+    w = word_error_rate(runs.withColumn("_bad", bad))
+    ok = lambda c, other: F.when(F.col("_bad"), F.lit(other)).otherwise(c)
+    verdict = F.when(F.col("_bad"), "ERROR").when(F.col("passed"), "PASS").otherwise("FAIL")
+    return w.select(
+        "recording", F.lit(model).alias("model"), ok(F.bround("duration_sec", 1), 0.0).alias("duration_sec"),
+        *[ok(F.col(c), 0).alias(n) for c, n in (("ref_words", "ref_words"), ("hyp_words", "gen_words"), ("substitutions", "substitutions"), ("deletions", "deletions"), ("insertions", "insertions"))],
+        ok(F.col("wer"), 1.0).alias("wer"), ok(F.col("accuracy"), 0.0).alias("accuracy_pct"), verdict.alias("pass_fail"),
+        F.when(F.col("_bad"), F.coalesce("error", F.lit("no transcript"))).otherwise("").alias("notes"),
+    )

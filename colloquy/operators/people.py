@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 # Badges taken out of names, assignees that name nobody, roles by keyword.
 BADGES = "Host|Co-host|Presenter|Speaker|Guest|Admin|Moderator"
 NOBODY = ["", "unassigned", "none", "tbd", "unknown"]
+# Suffixes of recordings.
+VIDEO = {".mp4", ".mkv", ".mov", ".avi", ".webm"}
+AUDIO = {".mp3", ".wav", ".m4a", ".ogg", ".flac"}
 ROLES = [
     ("Project Manager", ["manager", "pm"]),
     ("Team Leader", ["lead", "leader"]),
@@ -113,8 +116,7 @@ def summary_issues(summary: Column, key_points: Column) -> Column:
 def file_problem(name: Column, size: Column, probe: Column) -> Column:
     """First failing check of a media file, null if all pass."""
     suffix = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))
-    # Video, then audio suffixes.
-    kinds = [".mp4", ".mkv", ".mov", ".avi", ".webm", ".mp3", ".wav", ".m4a", ".ogg", ".flac"]
+    kinds = sorted(VIDEO | AUDIO)
     streams = F.from_json(probe, "streams array<struct<codec_type:string>>")["streams"]
     return (
         F.when(suffix == "", "no suffix").when(~suffix.isin(kinds), "unsupported suffix")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hmac
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from colloquy.functions import vectors as V
 from colloquy.functions.text import shortened
 
 SOURCE_TYPES = ("transcript", "summary", "decision", "action_item")
-NOTHING_FOUND = "I could not find relevant information in the indexed meetings."
+NOTHING_FOUND = "I could not find relevant information in the stored meetings."
 
 
 def check_request(query: str, top_k: int, most: int = 50, source_type: str | None = None) -> None:
@@ -27,6 +28,18 @@ def check_request(query: str, top_k: int, most: int = 50, source_type: str | Non
         raise ValueError(f"unknown source type {source_type}")
 
 
+def check_page(limit: int, offset: int, most: int = 500) -> None:
+    if not 1 <= limit <= most:
+        raise ValueError(f"limit must be in 1..{most}")
+    if offset < 0:
+        raise ValueError("offset must not be negative")
+
+
+def authorised(token: str | None, expected: str | None) -> bool:
+    """Whether a request's token is the expected one; without an expected one nobody is let in."""
+    return bool(expected) and hmac.compare_digest((token or "").encode(), expected.encode())
+
+
 def top_k(vectors: DataFrame, query: list[float], k: int, where: Column | None = None, id_col: str = "chunk_id") -> DataFrame:
     """Exact cosine top-k: the query is a literal, so this is a projection and a take-ordered."""
     rows = vectors if where is None else vectors.where(where)
@@ -60,17 +73,19 @@ def cluster_sizes(vectors: DataFrame, least: int, label: str = "label") -> DataF
     return n.withColumn("_b", best).where((F.col("n") >= least) | ((F.col("_b.n") < least) & (F.col(label) == -F.col("_b.l")))).select(label, "n")
 
 
-def nearest_centroid(vectors: DataFrame, cents: DataFrame, id_col: str = "vec_id", most_centroids: int = 10_000) -> DataFrame:
+def nearest_centroid(vectors: DataFrame, cents: DataFrame, id_col: str = "vec_id", block: int = 4096) -> DataFrame:
     """Each vector's best centroid by cosine; ties go to the smaller label.
 
-    The centroids travel as one array column of a single row, whose size is
-    checked: a projection instead of a pairing of rows.
+    Up to ``block`` centroids travel as one array column of a single row: a
+    projection instead of a pairing of rows. More are several such rows, each
+    vector meets each row, and its best of all rows is taken.
     """
-    if cents.limit(most_centroids + 1).count() > most_centroids:
-        raise ValueError("too many centroids for one row")
-    packed = cents.agg(F.array_sort(F.collect_list(F.struct(F.col("label").alias("l"), "centroid"))).alias("cs"))
+    n = max(1, -(-cents.count() // block))
+    packed = cents.groupBy(F.pmod(F.xxhash64("label"), F.lit(n))).agg(F.array_sort(F.collect_list(F.struct(F.col("label").alias("l"), "centroid"))).alias("cs")).select("cs")
     best = F.array_max(F.transform("cs", lambda c: F.struct(V.cosine(F.col("embedding"), c["centroid"]).alias("sim"), (-c["l"]).alias("neg"))))
-    out = vectors.join(F.broadcast(packed)).withColumn("best", best)
+    out = vectors.join(F.broadcast(packed) if n == 1 else packed).select(id_col, best.alias("best"))
+    if n > 1:
+        out = out.groupBy(id_col).agg(F.max("best").alias("best"))
     return out.select(id_col, (-F.col("best.neg")).alias("label"), F.col("best.sim").alias("similarity"))
 
 
@@ -129,8 +144,8 @@ def context(found: DataFrame, most_chars: int = 800) -> DataFrame:
 
 
 def answer(found: DataFrame, question: str, generate: Callable[[str], str], template: str) -> DataFrame:
-    """Grounded answer: the generator is called once on the executors, never on an empty result."""
+    """Grounded answer: the generator is asked once, on an executor, and never about an empty result."""
     ctx = context(found)
     prompt = F.replace(F.replace(F.lit(template), F.lit("{context}"), F.col("context")), F.lit("{question}"), F.lit(question))
-    said = F.pandas_udf(lambda s: s.map(generate), "string")(prompt)
-    return ctx.select(F.when(F.col("n_sources") == 0, NOTHING_FOUND).otherwise(said).alias("answer"), "meeting_ids", "n_sources")
+    said = F.pandas_udf(lambda s: s.map(lambda p: generate(p).strip(), na_action="ignore"), "string")(F.when(F.col("n_sources") > 0, prompt))
+    return ctx.select(F.coalesce(said, F.lit(NOTHING_FOUND)).alias("answer"), "meeting_ids", "n_sources")

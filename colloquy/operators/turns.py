@@ -121,28 +121,54 @@ def dominant_speaker(pairs: DataFrame) -> DataFrame:
 
 
 def nearest_speaker(segments: DataFrame, turns: DataFrame) -> DataFrame:
-    """For segments: the turn whose edge is nearest; ties go to the first turn."""
-    t = turns.select("meeting_id", "turn_no", "speaker", F.col("start").alias("t0"), F.col("end").alias("t1"))
-    gap = F.least(F.abs(F.col("start") - F.col("t1")), F.abs(F.col("end") - F.col("t0")))
-    best = segments.select("meeting_id", "seg_no", "start", "end").join(t, "meeting_id").groupBy("meeting_id", "seg_no").agg(F.min(F.struct(gap.alias("gap"), "turn_no", "speaker")).alias("b"))
-    return best.select("meeting_id", "seg_no", F.col("b.speaker").alias("speaker"), F.col("b.gap").alias("gap"))
+    """For segments: the turn whose edge is nearest; ties go to the first turn.
+
+    An edge of a turn meets the other edge of the segment, so the nearest is one of
+    four: the last end before the segment's start and the first after it, and the
+    same of starts and the segment's end. Each pair comes from one ordered pass over
+    the meeting's edges; segments and turns are never paired.
+    """
+
+    def beside(edge: str, at: str, name: str) -> DataFrame:
+        t = turns.groupBy("meeting_id", F.col(edge).alias("at")).agg(F.min(F.struct("turn_no", "speaker")).alias("t"))
+        t = t.select("meeting_id", "at", F.lit(0).alias("kind"), F.struct("at", "t.turn_no", "t.speaker").alias("t"), F.lit(None).cast(segments.schema["seg_no"].dataType).alias("seg_no"))
+        s = segments.select("meeting_id", F.col(at).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(t.schema["t"].dataType).alias("t"), "seg_no")
+        w = W.partitionBy("meeting_id").orderBy("at", "kind")
+        both = t.unionByName(s).withColumn("a", F.last("t", ignorenulls=True).over(w.rowsBetween(*SO_FAR)))
+        both = both.withColumn("b", F.first("t", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))).where("kind = 1")
+        near = F.transform(F.filter(F.array("a", "b"), lambda x: x.isNotNull()), lambda x: F.struct(F.abs(F.col("at") - x["at"]).alias("gap"), x["turn_no"].alias("turn_no"), x["speaker"].alias("speaker")))
+        return both.select("meeting_id", "seg_no", F.array_min(near).alias(name))
+
+    found = beside("end", "start", "x").join(beside("start", "end", "y"), ["meeting_id", "seg_no"]).withColumn("b", F.least("x", "y")).where("b IS NOT NULL")
+    return found.select("meeting_id", "seg_no", F.col("b.speaker").alias("speaker"), F.col("b.gap").alias("gap"))
 
 
-def align(segments: DataFrame, turns: DataFrame) -> DataFrame:
-    """Segments with text get a speaker (overlap, else nearest, else Speaker 1); runs are joined."""
+def align(segments: DataFrame, turns: DataFrame, bucket: int = 1000) -> DataFrame:
+    """Segments with text get a speaker (overlap, else nearest, else Speaker 1); runs are joined.
+
+    ``bucket`` is the width of the time buckets, in units of the axis, that the
+    overlap join deals a meeting into.
+    """
     s = segments.where(F.trim("text") != "").drop("speaker")
-    by_overlap = dominant_speaker(overlaps(s, turns)).select("meeting_id", "seg_no", "speaker")
+    by_overlap = dominant_speaker(overlaps(s, turns, bucket)).select("meeting_id", "seg_no", "speaker")
     rest = s.join(by_overlap, ["meeting_id", "seg_no"], "left_anti")
     found = by_overlap.unionByName(nearest_speaker(rest, turns).select("meeting_id", "seg_no", "speaker"))
     return group_adjacent(s.join(found, ["meeting_id", "seg_no"], "left").withColumn("speaker", F.coalesce("speaker", F.lit("Speaker 1"))))
 
 
-def speaker_statistics(turns: DataFrame) -> DataFrame:
-    """Per meeting and speaker: time, turns, words, share of the summed speech in percent."""
+def speaker_statistics(turns: DataFrame, units: int | None = None, duration: Column | None = None) -> DataFrame:
+    """Per meeting and speaker: time, turns, words, share of the summed speech in percent.
+
+    The time is rounded to one place before its share is taken, and is summed in
+    whole ``units`` a second where these are given. Without any speech the shares
+    are of ``duration`` (of the recording), else of 1.
+    """
     length = F.greatest(F.lit(0), F.col("end") - F.col("start"))
-    by = turns.groupBy("meeting_id", "speaker").agg(F.sum(length).alias("time"), F.count("*").alias("n_turns"), F.sum(n_words(F.col("text"))).alias("n_words"), F.min("seg_no").alias("first_turn"))
-    total = F.sum("time").over(W.partitionBy("meeting_id"))
-    return by.withColumn("share", F.when(total > 0, F.bround(F.col("time") * 100 / total, 1)).otherwise(0.0))
+    time = F.sum(length) if units is None else F.sum(length) / units
+    by = turns.groupBy("meeting_id", "speaker").agg(time.alias("time"), F.count("*").alias("n_turns"), F.sum(n_words(F.col("text"))).alias("n_words"), F.min("seg_no").alias("first_turn"))
+    total = F.sum(F.col("time") if units is None else F.round(F.col("time") * units).cast("long")).over(W.partitionBy("meeting_id")) / (units or 1)
+    whole = F.when(total > 0, total).otherwise(F.coalesce(duration, F.lit(1.0)) if duration is not None else F.lit(1.0))
+    return by.withColumn("share", F.bround(F.bround("time", 1) * 100 / whole, 1))
 
 
 def meeting_totals(stats: DataFrame) -> DataFrame:

@@ -171,8 +171,8 @@ def k3(spark, d):
 @query("k7_item_table", "SELECT rpad(p_name, (SELECT max(length(p_name)) FROM part)::INT, ' ') || ' | ' || p_brand AS line FROM part")
 def k7(spark, d):
     p = table(spark, d, "part")
-    width = F.max(F.length("p_name")).over(W.partitionBy(F.lit(0)))
-    return p.withColumn("w", width).select(F.concat(F.rpad("p_name", F.col("w"), F.lit(" ")), F.lit(" | "), "p_brand").alias("line"))
+    width = p.agg(F.max(F.length("p_name")).alias("w"))  # one row
+    return p.join(F.broadcast(width)).select(F.concat(F.rpad("p_name", F.col("w"), F.lit(" ")), F.lit(" | "), "p_brand").alias("line"))
 
 
 @query("k8_json_rows", "SELECT to_json({'id': n_nationkey, 'name': n_name})::VARCHAR AS body FROM nation")
