@@ -21,4 +21,4 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from colloquy.plans import people, relational, text, time, vector  # noqa: E402, F401
+from colloquy.plans import composites, people, relational, text, time, vector  # noqa: E402, F401

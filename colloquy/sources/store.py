@@ -108,7 +108,7 @@ def write_transcripts(rows: DataFrame, folder: str, stamp: str) -> None:
 
 def read_transcripts(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
     """(name, text) of whole text files."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(folder)
+    files = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)
     return files.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), F.col("value").alias("text"))
 
 
