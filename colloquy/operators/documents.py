@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -66,7 +69,6 @@ def embedding_chunks(text: Column, most: int = 300, overlap: int = 50) -> Column
     are joined once at the end. Only the carried units are looked at again.
     """
     none = F.array().cast("array<string>")
-    bound = lambda c, f: F.element_at(F.transform(F.array(c), f), 1)
     estimate = lambda chars, words: F.greatest(F.floor(chars / 4).cast("int"), words)
 
     def carried(sizes: Column, start: Column, last: Column) -> Column:
@@ -147,35 +149,69 @@ def index_counts(chunks: DataFrame, index: DataFrame) -> DataFrame:
     return j.groupBy("meeting_id").agg(F.count_if(F.col("known").isNull()).alias("indexed"), F.count_if(F.col("known").isNotNull()).alias("skipped"))
 
 
-def sentence_rows(docs: DataFrame, key: str = "doc_id", substantive: bool = True) -> DataFrame:
-    s = docs.select(key, F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
-    return s.where(T.is_substantive(F.col("sentence"))) if substantive else s
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, where a lambda reads it more often."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def sentence_scores(sents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """tf/max tf * ln((N+1)/(df+1)) over word occurrences, by length ** 0.3; no word: 0.
+def placed_sentences(text: Column, substantive: bool = True) -> Column:
+    """Array of (pos, sentence) of one text."""
+    every = F.transform(T.sentences(text), lambda s, i: F.struct(i.alias("pos"), s.alias("sentence")))
+    return F.filter(every, lambda x: T.is_substantive(x["sentence"])) if substantive else every
 
-    A score lives within one document, so the words are dealt by document once;
-    the windows over (document, word) and (document) and the sums by sentence follow
-    from one sort. A sentence travels with its first word alone.
+
+def sentence_rows(docs: DataFrame, key: str = "doc_id", substantive: bool = True) -> DataFrame:
+    return docs.select(key, F.explode(placed_sentences(F.col("text"), substantive)).alias("x")).select(key, "x.pos", "x.sentence")
+
+
+def scores_of(words: pa.ListArray) -> list[np.ndarray]:
+    """Scores of the sentences (arrays of words) of each text: tf/max tf * ln((N+1)/(df+1)) over word occurrences, by length ** 0.3; no word: 0."""
+    sents = words.flatten()
+    flat = sents.flatten()
+    per_doc, per_sent = np.diff(words.offsets.to_numpy()), np.diff(sents.offsets.to_numpy())
+    doc_of = np.repeat(np.arange(len(per_doc)), per_doc)
+    sent = np.repeat(np.arange(len(per_sent)), per_sent)
+    score = np.zeros(len(per_sent))
+    if len(flat):
+        coded = flat.dictionary_encode()
+        code, size = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+        term, at, tf = np.unique(doc_of[sent] * size + code, return_inverse=True, return_counts=True)
+        once = np.unique(sent * size + code)
+        df = np.bincount(np.searchsorted(term, doc_of[once // size] * size + once % size), minlength=len(term))
+        top = np.zeros(len(per_doc), np.int64)
+        np.maximum.at(top, term // size, tf)
+        weight = tf / top[term // size] * np.log((per_doc[term // size] + 1) / (df + 1))
+        summed = np.bincount(sent, weights=weight[at], minlength=len(per_sent))
+        score = np.divide(summed, per_sent**0.3, out=score, where=per_sent > 0)
+    return np.split(score, np.cumsum(per_doc)[:-1]) if len(per_doc) else []
+
+
+def scored_sentences(docs: DataFrame, key: str = "doc_id", substantive: bool = True) -> DataFrame:
+    """(key, ss): each text's sentences as an array of (pos, sentence, score).
+
+    A score lives within one text, so this is one narrow map without a shuffle:
+    words are split on the JVM, counted in Arrow batches.
     """
-    w = sents.select(key, "pos", "sentence", F.posexplode_outer(T.scoring_words(F.col("sentence"))).alias("at", "word"))
-    first = F.coalesce(F.col("at"), F.lit(0)) == 0
-    w = w.select(key, "pos", "word", first.alias("first"), F.when(first, F.col("sentence")).alias("sentence")).repartition(key)
-    by_word, by_doc = W.partitionBy(key, "word"), W.partitionBy(key)
-    new = ~F.lag("pos").over(by_word.orderBy("pos")).eqNullSafe(F.col("pos"))
-    w = w.withColumn("tf", F.count("word").over(by_word)).withColumn("new", new.cast("int")).withColumn("df", F.sum("new").over(by_word))
-    w = w.withColumn("top", F.max("tf").over(by_doc)).withColumn("n", F.sum(F.col("first").cast("int")).over(by_doc))
-    weight = F.when(F.col("word").isNotNull(), F.col("tf") / F.col("top") * F.ln((F.col("n") + 1) / (F.col("df") + 1)))
-    out = w.withColumn("x", weight).groupBy(key, "pos").agg(F.max("sentence").alias("sentence"), F.sum("x").alias("x"), F.count("word").alias("len"))
-    return out.select(key, "pos", "sentence", F.when(F.col("len") == 0, 0.0).otherwise(F.col("x") / F.pow(F.col("len").cast("double"), F.lit(0.3))).alias("score"))
+    d = docs.select(F.col(key), placed_sentences(F.col("text"), substantive).alias("ss"))
+    d = d.withColumn("ss", F.coalesce("ss", F.array().cast("array<struct<pos:int,sentence:string>>")))
+    d = d.withColumn("words", F.transform("ss", lambda x: T.scoring_words(x["sentence"])))
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [pa.array(x) for x in scores_of(b.column("words"))]
+            offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+            scores = pa.ListArray.from_arrays(offsets, pa.concat_arrays([pa.array([], pa.float64()), *found]))
+            yield pa.RecordBatch.from_arrays([b.column(key), b.column("ss"), scores], names=[key, "ss", "scores"])
 
-def overview(scored: DataFrame, key: str = "doc_id", k: int = 3) -> DataFrame:
-    """The best sentences (ties: earlier) in document order."""
-    best = scored.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(F.desc(F.round("score", 9)), "pos"))).where(F.col("_r") <= k)
-    x = F.array_sort(F.collect_list(F.struct("pos", T.clean_sentence(F.col("sentence")).alias("s"))))
-    return best.groupBy(key).agg(F.array_join(F.transform(x, lambda s: s["s"]), " ").alias("overview"))
+    out = d.mapInArrow(task, f"`{key}` {dict(docs.dtypes)[key]}, ss array<struct<pos:int,sentence:string>>, scores array<double>")
+    return out.select(key, F.zip_with("ss", "scores", lambda x, y: F.struct(x["pos"].alias("pos"), x["sentence"].alias("sentence"), y.alias("score"))).alias("ss"))
+
+
+def overview(ss: Column, k: int = 3) -> Column:
+    """The best sentences (ties: earlier) in document order; null if there is none."""
+    ranked = F.array_sort(F.transform(ss, lambda x: F.struct((-F.round(x["score"], 9)).alias("r"), x["pos"].alias("pos"), x["sentence"].alias("sentence"))))
+    best = F.array_sort(F.transform(F.slice(ranked, 1, k), lambda x: F.struct(x["pos"].alias("pos"), x["sentence"].alias("sentence"))))
+    return F.when(F.size(ss) > 0, F.array_join(F.transform(best, lambda x: T.clean_sentence(x["sentence"])), " "))
 
 
 def first_distinct(rows: DataFrame, key: str, value: str, k: int) -> DataFrame:
@@ -197,47 +233,48 @@ MEETING_TOPICS = {
 
 def topic_of(sentence: Column, topics: dict[str, list[str]]) -> Column:
     """The topic that shares most keywords with the sentence; the first wins ties; else null."""
-    ws = F.array_distinct(T.letter_words(sentence))
-    hits = {t: F.size(F.array_intersect(ws, F.array(*[F.lit(k) for k in ks]))) for t, ks in topics.items()}
-    top = F.greatest(*hits.values())
-    out = F.when(top == 0, F.lit(None).cast("string"))
-    for t, h in hits.items():
-        out = out.when(h == top, t)
-    return out
+
+    def best(ws: Column) -> Column:
+        hits = F.array(*[F.size(F.array_intersect(ws, F.array(*[F.lit(k) for k in ks]))) for ks in topics.values()])
+        names = F.array(*[F.lit(t) for t in topics])
+        return bound(hits, lambda h: F.when(F.array_max(h) > 0, F.get(names, (F.array_position(h, F.array_max(h)) - 1).cast("int"))))
+
+    return bound(F.array_distinct(T.letter_words(sentence)), best)
+
+
+def topic_groups(points: Column, others: str, k: int = 3) -> Column:
+    """Array of (topic, points) of (topic, point) in order: topics by their first point, ``k`` different points each.
+
+    What has no topic is the last group, and only if fewer than two topics matched.
+    """
+    of = lambda same: F.slice(F.array_distinct(F.transform(F.filter(points, same), lambda x: x["point"])), 1, k)
+    names = F.array_distinct(F.filter(F.transform(points, lambda x: x["topic"]), lambda t: t.isNotNull()))
+    groups = F.transform(names, lambda t: F.struct(t.alias("topic"), of(lambda x: x["topic"] == t).alias("points")))
+    rest = F.array(F.struct(F.lit(others).alias("topic"), of(lambda x: x["topic"].isNull()).alias("points")))
+    return F.when((F.size(names) < 2) & F.exists(points, lambda x: x["topic"].isNull()), F.concat(groups, rest)).otherwise(groups)
 
 
 def summary(docs: DataFrame, topics: dict[str, list[str]] = MEETING_TOPICS, key: str = "doc_id", others: str = "General Discussion & Collaboration") -> DataFrame:
     """Overview, topic groups, action items, deadlines and counts of the substantive sentences of each text.
 
     Topics come in order of their first sentence; what has none is a group only if
-    fewer than two topics matched. A text without a substantive sentence has no overview and empty lists.
+    fewer than two topics matched. A text without a substantive sentence has no
+    overview and empty lists. Each text is split once, and all parts are array
+    functions in its row: no shuffle.
     """
-    sents = sentence_rows(docs, key)
-    point = sents.withColumn("point", T.clean_sentence(F.col("sentence")))
-
-    def listed(rows: DataFrame, k: int, name: str) -> DataFrame:
-        x = F.array_sort(F.collect_list(F.struct("pos", "point")))
-        return first_distinct(rows, key, "point", k).groupBy(key).agg(F.transform(x, lambda s: s["point"]).alias(name))
-
-    grouped = point.select(key, "pos", topic_of(F.col("sentence"), topics).alias("topic"), "point")
-    grouped = grouped.groupBy(key, "topic", "point").agg(F.min("pos").alias("pos"))
-    rank = F.row_number().over(W.partitionBy(key, "topic").orderBy("pos"))
-    lists = grouped.withColumn("_r", rank).where("_r <= 3").groupBy(key, "topic").agg(F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("pos", "point"))).alias("ps"))
-    lists = lists.withColumn("_t", F.count("topic").over(W.partitionBy(key))).where("topic IS NOT NULL OR _t < 2")
-    # the group without a topic is last
-    group = F.struct(F.col("topic").isNull().alias("last"), "pos", F.coalesce("topic", F.lit(others)).alias("topic"), F.transform("ps", lambda s: s["point"]).alias("points"))
-    groups = lists.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(group)), lambda g: F.struct(g["topic"].alias("topic"), g["points"].alias("points"))).alias("topic_groups"))
-    out = docs.select(key, T.n_words(F.col("text")).alias("n_words")).join(overview(sentence_scores(sents, key), key), key, "left").join(groups, key, "left")
-    out = out.join(listed(point.where(T.is_action(F.col("sentence"))), 8, "action_items"), key, "left")
-    out = out.join(listed(point.where(T.has_deadline(F.col("sentence"))), 6, "deadlines"), key, "left")
-    out = out.join(sents.groupBy(key).agg(F.count("*").alias("n_sentences")), key, "left")
-    for name in ("topic_groups", "action_items", "deadlines"):
-        out = out.withColumn(name, F.coalesce(name, F.array().cast(out.schema[name].dataType)))
-    out = out.withColumn("n_words", F.when(F.col("n_sentences").isNull(), 0).otherwise(F.col("n_words")))
-    out = out.withColumn("n_sentences", F.coalesce("n_sentences", F.lit(0).cast("long")))
-    for name, a_minute in (("read_min", 180), ("talk_min", 130)):
-        out = out.withColumn(name, F.when(F.col("n_sentences") == 0, 0).otherwise(F.ceil(F.col("n_words") / a_minute)).cast("int"))
-    return out
+    words = docs.select(F.struct(F.col(key), T.n_words(F.coalesce("text", F.lit(""))).alias("n_words")).alias(key), "text")
+    s = scored_sentences(words, key).select(f"{key}.{key}", f"{key}.n_words", "ss", F.transform("ss", lambda x: T.clean_sentence(x["sentence"])).alias("clean"))
+    at = lambda i: F.get("clean", i)
+    points = F.transform("ss", lambda x, i: F.struct(topic_of(x["sentence"], topics).alias("topic"), at(i).alias("point")))
+    listed = lambda test, k: F.slice(F.array_distinct(F.filter(F.transform("ss", lambda x, i: F.when(test(x["sentence"]), at(i))), lambda p: p.isNotNull())), 1, k)
+    none = F.size("ss") == 0
+    minutes = lambda per: F.when(none, 0).otherwise(F.ceil(F.col("n_words") / per)).cast("int")
+    s = s.withColumn("points", points)
+    return s.select(
+        key, F.when(none, 0).otherwise(F.col("n_words")).alias("n_words"), overview(F.col("ss")).alias("overview"),
+        topic_groups(F.col("points"), others).alias("topic_groups"), listed(T.is_action, 8).alias("action_items"), listed(T.has_deadline, 6).alias("deadlines"),
+        F.size("ss").cast("long").alias("n_sentences"), minutes(180).alias("read_min"), minutes(130).alias("talk_min"),
+    )
 
 
 def edit_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:

@@ -86,7 +86,8 @@ scored AS (SELECT doc_id, pos, sentence, coalesce(score, 0) AS score FROM sents
 
 @query("a5_sentence_scores", SCORES + " SELECT doc_id, pos, round(score, 6) AS score FROM scored")
 def a5(spark, d):
-    return D.sentence_scores(D.sentence_rows(docs(spark, d), substantive=False)).select("doc_id", "pos", F.round("score", 6).alias("score"))
+    s = D.scored_sentences(docs(spark, d), substantive=False).select("doc_id", F.explode("ss").alias("x"))
+    return s.select("doc_id", "x.pos", F.round("x.score", 6).alias("score"))
 
 
 @query(
@@ -94,7 +95,7 @@ def a5(spark, d):
     SCORES + f", r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, pos) AS k FROM scored) SELECT doc_id, string_agg({CLEAN.format('sentence')}, ' ' ORDER BY pos) AS overview FROM r WHERE k <= 3 GROUP BY doc_id",
 )
 def o3(spark, d):
-    return D.overview(D.sentence_scores(D.sentence_rows(docs(spark, d), substantive=False)))
+    return D.scored_sentences(docs(spark, d), substantive=False).select("doc_id", D.overview(F.col("ss")).alias("overview")).where("overview IS NOT NULL")
 
 
 @query("x19_summary")
