@@ -173,8 +173,8 @@ def scores_of(words: pa.ListArray) -> list[np.ndarray]:
     sent = np.repeat(np.arange(len(per_sent)), per_sent)
     score = np.zeros(len(per_sent))
     if len(flat):
-        coded = flat.dictionary_encode()
-        code, size = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+        _, code = np.unique(flat.to_numpy(), return_inverse=True)
+        size = code.max() + 1
         term, at, tf = np.unique(doc_of[sent] * size + code, return_inverse=True, return_counts=True)
         once = np.unique(sent * size + code)
         df = np.bincount(np.searchsorted(term, doc_of[once // size] * size + once % size), minlength=len(term))
@@ -194,7 +194,8 @@ def scored_sentences(docs: DataFrame, key: str = "doc_id", substantive: bool = T
     """
     d = docs.select(F.col(key), placed_sentences(F.col("text"), substantive).alias("ss"))
     d = d.withColumn("ss", F.coalesce("ss", F.array().cast("array<struct<pos:int,sentence:string>>")))
-    d = d.withColumn("words", F.transform("ss", lambda x: T.scoring_words(x["sentence"])))
+    # words count only as equal or not, so they travel as 64-bit hashes
+    d = d.withColumn("words", F.transform("ss", lambda x: F.transform(T.scoring_words(x["sentence"]), lambda w: F.xxhash64(w))))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
