@@ -60,6 +60,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` for a costly map: a table with fewer partitions than there are cores is dealt out anew, others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def salted(key: Column, ways: int) -> Column:
     """Salt in 0..ways-1 that depends on ``key`` alone."""
     return F.pmod(F.xxhash64(key), F.lit(ways)).cast("int")

@@ -33,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import all_salts, table, written
+from colloquy.llm.common import all_salts, spread, table, written
 
 #: Rows of items or candidates (8 to 32 bytes each) up to which they are broadcast.
 BROADCAST_ROWS = 2_000_000
@@ -104,7 +104,7 @@ def candidates(docs: DataFrame, it: DataFrame, n: int) -> DataFrame:
     if width is None:
         return docs.sparkSession.createDataFrame([], "id long, key long, item long")
     probe = it.select("item", "need", F.explode(window_minima(F.col("grams"), F.col("width"))).alias("h"))
-    sig = shingled(docs, "doc_id", n).select("id", "key", F.explode(window_minima(F.col("grams"), F.lit(width))).alias("h"))
+    sig = shingled(spread(docs.select("doc_id", "text")), "doc_id", n).select("id", "key", F.explode(window_minima(F.col("grams"), F.lit(width))).alias("h"))
     hits = met(sig, probe, sizes <= BROADCAST_ROWS)
     return hits.groupBy("id", "key", "item", "need").agg(F.count("*").alias("n")).where("n >= need").select("id", "key", "item")
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import ship, table
+from colloquy.llm.common import ship, spread, table
 
 DIMS = 1 << 18
 ORDERS = (1, 2, 3, 4)
@@ -207,7 +207,7 @@ def in_known_language(docs: DataFrame, model: Classifier | None, least_margin: f
                 names, _, margin = judged(part.column("text").to_pylist(), sent.value, marks)
                 yield part.filter(pa.array((np.array(names) != UNKNOWN) & (margin >= least_margin)))
 
-    return docs.mapInArrow(task, docs.schema)
+    return spread(docs).mapInArrow(task, docs.schema)
 
 
 def identify(docs: DataFrame, model: Classifier | None) -> DataFrame:
@@ -224,7 +224,7 @@ def identify(docs: DataFrame, model: Classifier | None) -> DataFrame:
                 names, best, margin = judged(texts.slice(start, 256).to_pylist(), sent.value, marks)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(start, 256), pa.array(names), pa.array(best), pa.array(margin)], names=["doc_id", "lang_pred", "score", "margin"])
 
-    return docs.selectExpr("CAST(doc_id AS long) AS doc_id", "CAST(text AS string) AS text").mapInArrow(task, RESULT)
+    return spread(docs.selectExpr("CAST(doc_id AS long) AS doc_id", "CAST(text AS string) AS text")).mapInArrow(task, RESULT)
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

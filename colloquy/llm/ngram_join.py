@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import all_salts, components, fewer_than, salted, ship, table, written
+from colloquy.llm.common import all_salts, components, fewer_than, salted, ship, spread, table, written
 
 WORDS = re.compile(r"[^\W_]+")
 SALTS = 16
@@ -134,7 +134,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     [part.column("doc_id"), part.column("text_key"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), lists], names=["doc_id", "text_key", "set_key", "size", "bands"]
                 )
 
-    return with_key(docs).mapInArrow(task, "doc_id long, text_key long, set_key binary, size int, bands array<long>")
+    return spread(with_key(docs)).mapInArrow(task, "doc_id long, text_key long, set_key binary, size int, bands array<long>")
 
 
 def bucket_members(reps: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import ship, table
+from colloquy.llm.common import ship, spread, table
 
 SPACE = "▁"
 NEVER = np.iinfo(np.int32).max
@@ -214,7 +214,7 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(start, len(texts)), lists, pa.array([c.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return docs.selectExpr("CAST(doc_id AS long) AS doc_id", "CAST(text AS string) AS text").mapInArrow(task, RESULT)
+    return spread(docs.selectExpr("CAST(doc_id AS long) AS doc_id", "CAST(text AS string) AS text")).mapInArrow(task, RESULT)
 
 
 def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:
