@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
+from colloquy.sources.tables import spread
 
 
 def packed(units: Column, most: int, sep: str = "\n\n") -> Column:
@@ -189,10 +190,10 @@ def scores_of(words: pa.ListArray) -> list[np.ndarray]:
 def scored_sentences(docs: DataFrame, key: str = "doc_id", substantive: bool = True) -> DataFrame:
     """(key, ss): each text's sentences as an array of (pos, sentence, score).
 
-    A score lives within one text, so this is one narrow map without a shuffle:
+    A score lives within one text, so this is one map without a shuffle by word:
     words are split on the JVM, counted in Arrow batches.
     """
-    d = docs.select(F.col(key), placed_sentences(F.col("text"), substantive).alias("ss"))
+    d = spread(docs).select(F.col(key), placed_sentences(F.col("text"), substantive).alias("ss"))
     d = d.withColumn("ss", F.coalesce("ss", F.array().cast("array<struct<pos:int,sentence:string>>")))
     # words count only as equal or not, so they travel as 64-bit hashes
     d = d.withColumn("words", F.transform("ss", lambda x: F.transform(T.scoring_words(x["sentence"]), lambda w: F.xxhash64(w))))

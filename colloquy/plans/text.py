@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from colloquy.functions import text as T
 from colloquy.operators import documents as D
 from colloquy.plans.registry import query
-from colloquy.sources.tables import table
+from colloquy.sources.tables import spread, table
 
 WORDS = r"list_filter(regexp_split_to_array(text, '[\s\x1c-\x1f\x{85}\p{Z}]+'), lambda w: w <> '')"
 #: DuckDB rows of sentences: RE2 has no look-behind, so ends are marked first.
@@ -179,12 +179,12 @@ SELECT doc_id, (chunk - 1)::INT AS chunk_no, max(n)::INT AS n_words FROM f GROUP
 )
 def w10(spark, d):
     chunks = D.packed(D.llm_units(F.col("text")), 200)
-    return docs(spark, d).select("doc_id", F.posexplode(chunks).alias("chunk_no", "chunk")).select("doc_id", "chunk_no", T.n_words(F.col("chunk")).alias("n_words"))
+    return spread(docs(spark, d)).select("doc_id", F.posexplode(chunks).alias("chunk_no", "chunk")).select("doc_id", "chunk_no", T.n_words(F.col("chunk")).alias("n_words"))
 
 
 @query("w11_x10_embedding_chunks")
 def w11(spark, d):
-    c = docs(spark, d).select("doc_id", F.posexplode(D.embedding_chunks(F.col("text"))).alias("chunk_index", "text"))
+    c = spread(docs(spark, d)).select("doc_id", F.posexplode(D.embedding_chunks(F.col("text"))).alias("chunk_index", "text"))
     return c.select("doc_id", "chunk_index", T.tokens_by_length(F.col("text")).alias("tokens"), T.content_hash(F.col("text")).alias("content_hash"))
 
 
