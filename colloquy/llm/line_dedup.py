@@ -5,8 +5,11 @@ lines within the threshold share at least one segment at a place that the
 length difference and the segment's rank allow, so segments are indexed under
 (length, rank, content) and each line probes the indexes of its own and of
 slightly shorter lengths. Lines that share a key are verified by a banded edit
-distance; of a key that many lines share, blocks of lines are compared inside one
-expression, which returns one edge for each line and not the pairs.
+distance; of a key that several lines share, blocks of lines are compared inside one
+expression, which returns one edge for each line and not the pairs. A key that more
+than ``LARGE`` lines share doesn't say enough: what is left of these lines without
+the shared segment is within the threshold too, so it is split again, and only
+lines that share a second segment there are compared.
 
 A line's class is its connected component of links; the first line of a class (by
 document id, then place) is kept, all others go. Lines shorter than ``min_chars``
@@ -34,6 +37,8 @@ EDITS = 2
 MIN_CHARS = 20
 #: Lines of one key that are compared in one row with those of another block.
 BLOCK = 32
+#: Lines of one key beyond which a second shared segment is asked for.
+LARGE = 128
 #: Rows (of 8 to 16 bytes) up to which a table of keys or ids is broadcast; beyond it both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -91,22 +96,38 @@ def windows(edits: int) -> list[tuple[int, int, int]]:
     ]
 
 
-def line_keys(edits: int, min_chars: int) -> Column:
-    """Keys of a line: its own segments first (edits + 1 of them), then what else it probes.
+def places(edits: int) -> list[tuple[int, int, int]]:
+    """``windows`` in the order of a line's keys: its own segments first (edits + 1 of them), then what else it probes.
 
     A probe of the line's own length without a shift is one of its own segments.
     """
     shifts = windows(edits)
     own = [w for w in shifts if w[0] == 0 and w[2] == 0]
+    return own + [w for w in shifts if w not in own]
+
+
+def line_keys(edits: int, min_chars: int, scope: Column | None = None) -> Column:
+    """Keys of a line (columns ``line`` and ``len``), null where a place doesn't fit; lines of different ``scope`` share none."""
     keys = []
-    for d, r, s in own + [w for w in shifts if w not in own]:
+    for d, r, s in places(edits):
         length = F.col("len") - d
         start, n = segment(length, r, edits)
         ok = (start + s >= 1) & (start + s + n - 1 <= F.col("len")) & (length >= min_chars)
-        keys.append(F.when(ok, F.xxhash64(length, F.lit(r), F.substring("line", start + s, n))))
+        within = [] if scope is None else [scope]
+        keys.append(F.when(ok, F.xxhash64(*within, length, F.lit(r), F.substring("line", start + s, n))))
     return F.array(*keys)
 
 
+def without_segment(edits: int) -> Column:
+    """What is left of ``line`` without the segment of the key at ``place``."""
+    left = None
+    for k, (d, r, s) in enumerate(places(edits)):
+        start, n = segment(F.col("len") - d, r, edits)
+        rest = F.concat(F.substring("line", F.lit(1), start + s - 1), F.substr("line", start + s + n))
+        left = F.when(F.col("place") == k, rest) if left is None else left.when(F.col("place") == k, rest)
+    return left
+
+
 def near(x: Column, y: Column, edits: int) -> Column:
     """Banded edit distance at most ``edits`` (the built-in gives -1 beyond the band)."""
     return F.levenshtein(x, y, edits) >= 0
@@ -157,27 +178,34 @@ def forest(block: Column, edits: int) -> Column:
     return F.element_at(F.transform(F.array(labels), edges), 1)
 
 
-def linked_lines(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """(a, b): links between different lines (id, line, len), as many as connect what is linked.
-
-    Keys with two lines give that pair. Of a key with more, the lines are dealt
-    into blocks of about ``BLOCK`` and each two blocks are one row that holds
-    their lines; it gives one edge for each line, however many links it has.
-    """
-    long_lines = lines.where(F.col("len") >= min_chars)
-    # written as one array a line: the hashes are read twice below, and cost more to compute than to read
-    hashed = written(long_lines.select("id", line_keys(edits, min_chars).alias("keys")), "line-keys")
+def key_rows(hashed: DataFrame, edits: int) -> DataFrame:
+    """(id, key, place, indexed) of the rows (id, keys)."""
     keys = hashed.select("id", F.posexplode("keys").alias("place", "key")).where("key IS NOT NULL")
-    keys = keys.select("id", "key", (F.col("place") <= edits).alias("indexed"))
+    return keys.withColumn("indexed", F.col("place") <= edits)
+
+
+def buckets_of(keys: DataFrame) -> DataFrame:
+    """(key, n, a, b) of the keys that two lines share, one of them as an index."""
     buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.max("indexed").alias("indexed"))
-    buckets = written(buckets.where("n > 1 AND indexed AND a <> b"), "line-buckets")
+    return written(buckets.where("n > 1 AND indexed AND a <> b").drop("indexed"), "line-buckets")
+
+
+def sent_along(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if fewer_than(df, BROADCAST_ROWS) else df
+
+
+def bucket_links(keys: DataFrame, buckets: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """(a, b): links between lines of a bucket, as many as connect what is linked.
+
+    Buckets of two lines give that pair. The lines of one with more are dealt into
+    blocks of about ``BLOCK`` and each two blocks are one row that holds their
+    lines; it gives one edge for each line, however many links it has.
+    """
     pairs = written(buckets.where("n = 2").select("a", "b").distinct(), "line-pairs")
     large = buckets.where("n > 2").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    large = F.broadcast(large) if fewer_than(large, BROADCAST_ROWS) else large
-    members = written(keys.join(large, "key").select("key", "id", "blocks"), "line-members")
+    members = written(keys.join(sent_along(large), "key").select("key", "id", "blocks").distinct(), "line-members")
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id")).distinct(), "line-ids")
-    ids = F.broadcast(ids) if fewer_than(ids, BROADCAST_ROWS) else ids
-    used = long_lines.select("id", "line").join(ids, "id", "left_semi")
+    used = lines.select("id", "line").join(sent_along(ids), "id", "left_semi")
     used = written(used.select("id", sketch(F.col("line")).alias("sketch"), "line"), "line-texts")
     both = pairs.join(used.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(used.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     found = both.where(near(F.col("x"), F.col("y"), edits)).select("a", "b")
@@ -189,6 +217,23 @@ def linked_lines(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     return found.unionByName(rooted)
 
 
+def linked_lines(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """(a, b): links between different lines (id, line, len), as many as connect what is linked."""
+    long_lines = lines.where(F.col("len") >= min_chars)
+    # written as one array a line: the hashes are read twice below, and cost more to compute than to read
+    keys = key_rows(written(long_lines.select("id", line_keys(edits, min_chars).alias("keys")), "line-keys"), edits)
+    buckets = buckets_of(keys)
+    out = bucket_links(keys, buckets.where(F.col("n") <= LARGE), long_lines, edits)
+    large = buckets.where(F.col("n") > LARGE).select("key")
+    if large.isEmpty():
+        return out
+    wide = written(keys.join(sent_along(large), "key").select("id", "key", "place"), "line-wide")
+    rests = long_lines.select("id", "line", "len").join(wide, "id").select("id", "key", without_segment(edits).alias("line"))
+    rests = rests.distinct().withColumn("len", F.char_length("line"))
+    second = key_rows(written(rests.select("id", line_keys(edits, 0, F.col("key")).alias("keys")), "line-rest-keys"), edits)
+    return out.unionByName(bucket_links(second, buckets_of(second), long_lines, edits))
+
+
 def classes_of_rows(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """A row for each line: doc_id, row, line_no, lead (the place of the class's first line), n_copies, kept."""
     ids, distinct = distinct_lines(split_lines(docs).where("line <> ''"))

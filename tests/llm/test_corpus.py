@@ -154,7 +154,9 @@ def test_lines_that_share_a_hash_stay_apart(spark, monkeypatch):
     assert {(r.doc_id, r.class_doc) for r in got} == {(i, i % 23) for i, _ in rows}
 
 
-def test_edit_join_equals_brute_force(spark):
+@pytest.mark.parametrize("large", [128, 2])
+def test_edit_join_equals_brute_force(spark, monkeypatch, large):
+    monkeypatch.setattr(line_dedup, "LARGE", large)  # beyond it a second shared segment is asked for
     rng = random.Random(6)
 
     def edited(s, k):
