@@ -70,7 +70,7 @@ def word_grams(words: list[str]) -> list[np.ndarray]:
 
 
 def presences(texts: list[str | None], marks: np.ndarray) -> list[np.ndarray]:
-    """Sorted places of the n-grams that occur in each text; ``marks`` is scratch space of zeros."""
+    """Sorted places of the n-grams that occur in each text; ``marks`` is scratch space, all false."""
     global _MEMO
     if len(_MEMO) > MEMO_WORDS:
         _MEMO = {}
@@ -84,9 +84,9 @@ def presences(texts: list[str | None], marks: np.ndarray) -> list[np.ndarray]:
     out = []
     for words in split:
         if words:
-            marks[np.concatenate([_MEMO[w] for w in words])] = 1
+            marks[np.concatenate([_MEMO[w] for w in words])] = True
         places = np.flatnonzero(marks).astype(np.int32)
-        marks[places] = 0
+        marks[places] = False
         out.append(places)
     return out
 
@@ -167,7 +167,7 @@ def train(docs: DataFrame, per_lang: int = 400, most: int = 4000) -> Classifier
     bound = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, per_lang / n) * (1 << 30)))]), F.col("lang"))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.zeros(DIMS, np.uint8)
+        marks = np.zeros(DIMS, bool)
         for b in batches:
             for start in range(0, b.num_rows, 256):
                 got = [x.tobytes() for x in presences(b.column("text").slice(start, 256).to_pylist(), marks)]
@@ -200,7 +200,7 @@ def in_known_language(docs: DataFrame, model: Classifier | None, least_margin: f
     sent = spark.sparkContext.broadcast(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.zeros(DIMS, np.uint8)
+        marks = np.zeros(DIMS, bool)
         for b in batches:
             for start in range(0, b.num_rows, 256):
                 part = b.slice(start, 256)
@@ -217,7 +217,7 @@ def identify(docs: DataFrame, model: Classifier | None) -> DataFrame:
     sent = spark.sparkContext.broadcast(model)  # DIMS x languages: its size doesn't follow the rows
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.zeros(DIMS, np.uint8)
+        marks = np.zeros(DIMS, bool)
         for b in batches:
             texts = b.column("text")
             for start in range(0, b.num_rows, 256):

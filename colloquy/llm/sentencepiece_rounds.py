@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -83,7 +84,8 @@ class Model:
         # isolated line feeds are words of their own
         self.alone = "" if any("\n" in pieces[i] and len(pieces[i]) > 1 for i in normal) else "\n"
         self.word = re.compile(f"{SPACE}*[^{SPACE}{self.alone}]+|{SPACE}+|{self.alone or '$'}")
-        self.plain = [b"" if sp.is_control(i) else " ⁇ ".encode() if sp.is_unknown(i) else bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        plain = [b"" if sp.is_control(i) else " ⁇ ".encode() if sp.is_unknown(i) else bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.plain, self.plain_starts = np.frombuffer(b"".join(plain), np.uint8), np.cumsum([0, *map(len, plain)])
 
     def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, symbol made) of pairs; ``NEVER`` where they don't merge."""
@@ -93,8 +95,8 @@ class Model:
         return np.where(hit, self.rank[at], NEVER).astype(np.int32), self.made[at]
 
 
-def merge_rounds(m: Model, words: list[str]) -> list[np.ndarray]:
-    """Piece ids of each word."""
+def merge_rounds(m: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(piece ids of all words in turn, how many each has)."""
     lens = np.fromiter(map(len, words), np.int64, len(words))
     chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
     sym, char, word = m.symbol_of[chars], chars.copy(), np.repeat(np.arange(len(words)), lens)
@@ -129,20 +131,22 @@ def merge_rounds(m: Model, words: list[str]) -> list[np.ndarray]:
         moved = np.cumsum(keep) - 1
         at = moved[at]
         sym, char, word, rank, made = (x[keep] for x in (sym, char, word, rank, made))
-        again = np.unique(np.concatenate([at, at[at > 0] - 1]))
+        touched = np.zeros(len(sym), bool)
+        touched[at] = touched[np.maximum(at, 1) - 1] = True
+        again = np.flatnonzero(touched)
         inner = again[again < len(sym) - 1]
         rank[again] = NEVER
         inner = inner[word[inner] == word[inner + 1]]
         rank[inner], made[inner] = m.pairs(sym[inner], sym[inner + 1])
     if not done:
-        return [np.zeros(0, np.int32)] * len(words)
+        return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
     word, sym, char = (np.concatenate(x) for x in zip(*done, strict=True))
     order = np.argsort(word, kind="stable")
     word, sym, char = word[order], sym[order], char[order]
     ids = m.id_of[sym]
     if (ids < 0).any():
         word, ids = fall_back(m, word, ids, char)
-    return np.split(ids, np.searchsorted(word, np.arange(1, len(words))))
+    return ids, np.bincount(word, minlength=len(words))
 
 
 def fall_back(m: Model, word: np.ndarray, ids: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,27 +160,67 @@ def fall_back(m: Model, word: np.ndarray, ids: np.ndarray, char: np.ndarray) ->
     return word, out
 
 
+def gathered(pool: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the runs of ``pool`` numbered ``at`` in turn; where each begins, and the end)."""
+    first = starts[at]
+    n = starts[at + 1] - first
+    ends = np.concatenate([[0], np.cumsum(n)])
+    return pool[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])], ends
+
+
 class Coder:
-    """Encodes and decodes whole texts, with a memo of words that is cleared when full."""
+    """Encodes and decodes whole texts, with a memo of words that is cleared when full.
 
-    def __init__(self, path: str):
-        self.model, self.memo = Model(path), {}
+    The pieces of all known words are one array; a group of texts is split, each of
+    its words looked up, and the ids put together by one gather; their bytes by
+    another.
+    """
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def __init__(self, path: str):
+        self.model = Model(path)
+        self._clear()
+
+    def _clear(self) -> None:
+        # no word is the end of a text
+        self.place = {None: 0}
+        self.pool, self.starts = np.array([self.model.end_id], np.int32), np.array([0, 1])
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.place) > MEMO_WORDS:
+            self._clear()
+        new = list(words.difference(self.place))
+        if not new:
+            return
+        ids, n = merge_rounds(self.model, new)
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(n)])
+        self.pool = np.concatenate([self.pool, ids])
+
+    def coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """(ids of all texts in turn, each with its end; offsets of the texts' ids; the texts that the ids decode to)."""
         m = self.model
         split = [m.word.findall((SPACE + t).replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
-        memo = self.memo
-        new = list({w for words in split for w in words if w not in memo})
-        if new:
-            memo.update(zip(new, merge_rounds(m, new), strict=True))
-        end = np.array([m.end_id], np.int32)
-        return [np.concatenate([*map(memo.__getitem__, words), end]) for words in split]
+        self._learn(set().union(*split))
+        for words in split:
+            words.append(None)
+        lens = np.fromiter(map(len, split), np.int64, len(split))
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64, int(lens.sum()))
+        ids, ends = gathered(self.pool, self.starts, at)
+        ends = ends[np.concatenate([[0], np.cumsum(lens)])]
+        return ids, ends, self.plain(ids, ends)
+
+    def plain(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of the runs of ids that end there."""
+        raw, at = gathered(self.model.plain, self.model.plain_starts, ids)
+        raw, at = raw.tobytes(), at[ends].tolist()
+        return [raw[a:b].removeprefix(b" ").decode("utf-8", "replace") for a, b in zip(at, at[1:], strict=False)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        ids, at, _ = self.coded(texts)
+        return np.split(ids, at[1:-1]) if texts else []
 
     def decode(self, ids: np.ndarray) -> str:
-        raw = b"".join(map(self.model.plain.__getitem__, ids.tolist())).removeprefix(b" ")
-        return raw.decode("utf-8", "replace")
+        return self.plain(ids, np.array([0, len(ids)]))[0]
 
 
 _CODERS: dict[str, Coder] = {}
@@ -209,10 +253,9 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
         c = coder(model_path)
         for b in batches:
             for start, texts in groups(b.column("text")):
-                ids = c.encode(texts)
-                offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(start, len(texts)), lists, pa.array([c.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"])
+                ids, at, plain = c.coded(texts)
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(start, len(texts)), lists, pa.array(plain, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return spread(docs.selectExpr("CAST(doc_id AS long) AS doc_id", "CAST(text AS string) AS text")).mapInArrow(task, RESULT)
 
