@@ -21,6 +21,7 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import json
+import os
 import struct
 import uuid
 import zlib
@@ -47,7 +48,9 @@ SLICE_BYTES = 1 << 23
 #: Places where a text can be split without changing its tokens, besides white space.
 MARK = r"([A-Za-z])([.,;:!?&$*#%])"
 #: Words whose ids a worker remembers.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 600_000
+#: Words of letters alone that go to the tokenizer as one text.
+JOINED = 500
 FILE_FIELDS = "part int, path string, docs long, tokens long"
 DOC_FIELDS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 DOC_ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("frame", "<u4"), ("offset", "<u8"), ("n_tokens", "<u8")])
@@ -86,22 +89,46 @@ class WordMemo:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_chunks = splits_at_space(json.loads(self.tokenizer.to_str()))
+        settings = json.loads(self.tokenizer.to_str())
+        self.by_chunks = splits_at_space(settings)
+        suffix, vocabulary = settings["model"].get("end_of_word_suffix"), self.tokenizer.get_vocab()
+        #: Whether a token ends a word, where the vocabulary says so.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
         self._clear()
 
     def _clear(self) -> None:
         self.place, self.pool, self.starts = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def _encoded(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(the chunks in another order; their ids in turn; how many each has).
+
+        A chunk of letters is one word for the tokenizer, so many of them go as one
+        text, which is cut after each token that ends a word; if that doesn't give as
+        many words as there are chunks, each goes alone.
+        """
+        letters = [c for c in chunks if c.isalpha()]
+        texts = [" ".join(letters[i : i + JOINED]) for i in range(0, len(letters), JOINED)]
+        ids = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), np.uint32)
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(letters):
+            letters, ids, last = [], ids[:0], last[:0]
+        others = [c for c in chunks if not (letters and c.isalpha())]
+        made = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)] if others else []
+        n = np.concatenate([np.diff(last, prepend=-1), np.fromiter(map(len, made), np.int64, len(made))])
+        return letters + others, np.concatenate([ids, np.fromiter(chain.from_iterable(made), np.uint32)]), n
+
     def _places(self, chunks: list[str]) -> np.ndarray:
         """Each chunk's place in the memo; those that it lacks go to the tokenizer together."""
         if len(self.place) > MEMO_WORDS or self.pool.size > 10 * MEMO_WORDS:
             self._clear()
         new = [c for c in chunks if c not in self.place]
-        made = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)] if new else []
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-        ends = self.starts[-1] + np.cumsum(np.fromiter(map(len, made), np.int64, len(made)))
-        self.starts = np.concatenate([self.starts, ends])
-        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(made), np.uint32)])
+        if new:
+            new, ids, n = self._encoded(new)
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(n)])
+            self.pool = np.concatenate([self.pool, ids])
         return np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -143,6 +170,7 @@ _ENCODERS: dict[str, WordMemo] = {}
 
 def encoder(path: str) -> WordMemo:
     if path not in _ENCODERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         _ENCODERS[path] = WordMemo(path)
     return _ENCODERS[path]
 

@@ -91,8 +91,10 @@ def test_word_memo_equals_the_library():
     from tokenizers import Tokenizer
 
     tk, memo, rng = Tokenizer.from_file(words()), token_frames.WordMemo(words()), random.Random(4)
-    texts = ["", "İ. A.b,c a.'s", "<|ENDOFTEXT|> <|endoftext|>.; b!!c ?d", "x" * 5000 + ". y"]
+    texts = ["", "İ x a\u0301 \u0301b Ǆ ﬁ ª ʰ ㅎㅏ がㄱ ǈ ß ᾳ", "İ. A.b,c a.'s", "<|ENDOFTEXT|> <|endoftext|>.; b!!c ?d", "x" * 5000 + ". y"]
     texts += ["".join(rng.choice("abTH e\n.,'sé̂ßİ日!\t \x1c12<|endoftext|>") for _ in range(rng.randint(0, 50))) for _ in range(1500)]
+    accents = "aeiouéèêöüßñçåø\u0301\u0308İıſǅ한がабв"
+    texts += [" ".join("".join(rng.choice(accents) for _ in range(rng.randint(1, 7))) for _ in range(9)) for _ in range(400)]
     for start in range(0, len(texts), 100):  # slices of an array, and a memo that earlier slices have filled
         part = pa.array(texts).slice(start, 100)
         ids, at = memo.encode(part)
