@@ -13,8 +13,7 @@ The classifier is fitted on a bounded sample of labelled rows (parameter
 the bound is met evenly, no language is left out); every whole text is scored.
 
 ``margin`` is the lead of the best score over the second (1 if there is one language);
-unlike the score it doesn't depend on the number of languages. ``in_known_language``
-rejects by it.
+unlike the score it doesn't depend on the number of languages. ``unclear`` rejects by it.
 
 Defined results: null text or a text without a letter is ``und`` with score and margin 0;
 if there is nothing to learn from, every document is ``und``; ties go to the
@@ -41,7 +40,7 @@ ORDERS = (1, 2, 3, 4)
 MEMO_WORDS = 200_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 LETTERS = re.compile(r"[^\W\d_]+")
-RESULT = "doc_id long, lang_pred string, score double, margin double"
+RESULT = "doc_id long, text_key long, lang_pred string, score double, margin double"
 UNKNOWN = "und"
 
 _MEMO: dict[str, np.ndarray] = {}
@@ -193,25 +192,13 @@ def judged(texts: list[str | None], model: Classifier | None, marks: np.ndarray)
     return names, np.where(seen, np.clip(top[:, -1], 0, 1), 0), np.where(seen, margin, 0)
 
 
-def in_known_language(docs: DataFrame, model: Classifier | None, least_margin: float) -> DataFrame:
-    """The rows of ``docs``, all columns, with a letter and a margin of ``least_margin`` at least; one narrow map."""
-    spark = docs.sparkSession
-    ship(spark)
-    sent = spark.sparkContext.broadcast(model)
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.zeros(DIMS, bool)
-        for b in batches:
-            for start in range(0, b.num_rows, 256):
-                part = b.slice(start, 256)
-                names, _, margin = judged(part.column("text").to_pylist(), sent.value, marks)
-                yield part.filter(pa.array((np.array(names) != UNKNOWN) & (margin >= least_margin)))
-
-    return spread(docs).mapInArrow(task, docs.schema)
+def unclear(found: DataFrame, least_margin: float) -> DataFrame:
+    """(doc_id, text_key) of identified rows without a letter or with a margin below ``least_margin``."""
+    return found.where((F.col("lang_pred") == UNKNOWN) | (F.col("margin") < least_margin)).select("doc_id", "text_key").distinct()
 
 
 def identify(docs: DataFrame, model: Classifier | None) -> DataFrame:
-    """(doc_id, lang_pred, score, margin) of every whole text; one narrow map, no shuffle."""
+    """(doc_id, text_key, lang_pred, score, margin) of every whole text, the key its hash; one narrow map, no shuffle."""
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(model)  # DIMS x languages: its size doesn't follow the rows
@@ -222,9 +209,10 @@ def identify(docs: DataFrame, model: Classifier | None) -> DataFrame:
             texts = b.column("text")
             for start in range(0, b.num_rows, 256):
                 names, best, margin = judged(texts.slice(start, 256).to_pylist(), sent.value, marks)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(start, 256), pa.array(names), pa.array(best), pa.array(margin)], names=["doc_id", "lang_pred", "score", "margin"])
+                ids = [b.column(c).slice(start, 256) for c in ("doc_id", "text_key")]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(names), pa.array(best), pa.array(margin)], names=["doc_id", "text_key", "lang_pred", "score", "margin"])
 
-    return spread(docs.selectExpr("CAST(doc_id AS long) AS doc_id", "CAST(text AS string) AS text")).mapInArrow(task, RESULT)
+    return spread(docs.selectExpr("CAST(doc_id AS long) AS doc_id", "xxhash64(text) AS text_key", "CAST(text AS string) AS text")).mapInArrow(task, RESULT)
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
