@@ -42,7 +42,7 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language stay: texts without a letter or without a clear language go."""
-    return language_id.in_known_language(docs, language_id.train(docs), LEAST_MARGIN)
+    return without(docs, language_id.unclear(language_id.identify(docs, language_id.train(docs)), LEAST_MARGIN))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
