@@ -37,7 +37,7 @@ from colloquy.llm.common import ship, spread, table
 
 DIMS = 1 << 18
 ORDERS = (1, 2, 3, 4)
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 LETTERS = re.compile(r"[^\W\d_]+")
 RESULT = "doc_id long, text_key long, lang_pred string, score double, margin double"

@@ -46,7 +46,7 @@ BROADCAST_ROWS = 200_000
 #: A block holds at most about so many n-grams and members (a single larger set is a block).
 BLOCK_GRAMS, BLOCK_MEMBERS = 400_000, 512
 COLUMNS = 4096
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 _MEMO: dict[str, int] = {}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
