@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from colloquy.operators import documents as D
 from colloquy.operators import people as P
 from colloquy.plans.registry import query
+from colloquy.sources.store import scratch
 from colloquy.sources.tables import recording_pairs, table
 from colloquy.streaming import events as E
 
@@ -209,16 +210,30 @@ def f33_whole(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), iso.alias("iso")).select("id", "iso", parsed.alias("parsed"), parsed.isNull().alias("bad"))
 
 
-@query("x_stream_tumbling", "SELECT time_bucket(INTERVAL '1 hour', ts) AS w_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+TUMBLING = "SELECT time_bucket(INTERVAL '1 hour', ts) AS w_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
+SESSIONS = """WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, min(ts) AS s_start, max(ts) + INTERVAL '30 minutes' AS s_end, count(*) AS n FROM s GROUP BY user_id, k"""
+
+
+@query("x_stream_tumbling", TUMBLING)
 def tumbling(spark, d):
     return E.windowed(table(spark, d, "events"), "1 hour").withColumn("total", F.round("total", 4))
 
 
-@query(
-    "x_stream_sessions",
-    """WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
-SELECT user_id, min(ts) AS s_start, max(ts) + INTERVAL '30 minutes' AS s_end, count(*) AS n FROM s GROUP BY user_id, k""",
-)
+@query("x_stream_sessions", SESSIONS)
 def sessions(spark, d):
     return E.sessions(table(spark, d, "events"), "30 minutes")
+
+
+@query("x_stream_tumbling_live", TUMBLING)
+def tumbling_live(spark, d):
+    """The same windows, read as a stream."""
+    out = E.settled(E.windowed(E.event_stream(spark, d), "1 hour"), scratch(spark, "stream"))
+    return out.withColumn("total", F.round("total", 4))
+
+
+@query("x_stream_sessions_live", SESSIONS)
+def sessions_live(spark, d):
+    """The same sessions, read as a stream."""
+    return E.settled(E.sessions(E.event_stream(spark, d), "30 minutes"), scratch(spark, "stream"))

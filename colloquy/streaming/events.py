@@ -27,3 +27,14 @@ def sessions(events: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame
     e = events.withWatermark("ts", late) if events.isStreaming else events
     out = e.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
     return out.select("user_id", F.col("w.start").alias("s_start"), F.col("w.end").alias("s_end"), "n")
+
+
+def settled(stream: DataFrame, folder: str) -> DataFrame:
+    """Run a stream over all that is there and read its result: complete after the last batch, written by the executors."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/result")
+
+    run = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/result")
