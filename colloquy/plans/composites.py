@@ -357,8 +357,10 @@ def f35(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), T.iso_or_blank(at).alias("created_at"))
 
 
+#: RE2's word boundary knows ASCII letters alone; other letters become one of these before a pattern with boundaries is matched.
+ASCII = r"regexp_replace(sentence, '[^\x00-\x7F\p{P}\p{S}\p{Z}]', 'q', 'g')"
 GROUPS = (
-    TOPIC_SQL.replace("FROM sents)", rf"FROM sents WHERE len(list_filter(regexp_split_to_array(sentence, '[\s\x1c-\x1f\x{{85}}\p{{Z}}]+'), lambda w: w <> '')) >= 4 AND NOT regexp_matches(lower(trim(sentence)), '{T.SMALL_TALK.replace(chr(39), chr(39) * 2)}') AND lower(trim(sentence)) NOT IN ({', '.join(repr(p) for p in T.PLEASANTRIES)}))", 1)
+    TOPIC_SQL.replace("FROM sents)", rf"FROM sents WHERE len(list_filter(regexp_split_to_array(sentence, '[\s\x1c-\x1f\x{{85}}\p{{Z}}]+'), lambda w: w <> '')) >= 4 AND NOT regexp_matches(lower(trim({ASCII})), '{T.SMALL_TALK.replace(chr(39), chr(39) * 2)}') AND lower(trim(sentence)) NOT IN ({', '.join(repr(p) for p in T.PLEASANTRIES)}))", 1)
     + f""", p AS (SELECT doc_id, topic, {CLEAN.format('sentence')} AS point, min(pos) AS pos FROM t GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, topic ORDER BY pos) AS rank FROM p QUALIFY rank <= 3),
 g AS (SELECT doc_id, topic, min(pos) AS pos FROM r GROUP BY ALL), n AS (SELECT doc_id, count(topic) AS n FROM g GROUP BY 1),
 o AS (SELECT g.doc_id, g.topic, row_number() OVER (PARTITION BY g.doc_id ORDER BY g.topic IS NULL, g.pos) - 1 AS place FROM g JOIN n USING (doc_id) WHERE g.topic IS NOT NULL OR n.n < 2)"""
@@ -396,7 +398,7 @@ def f10_topics(spark, d):
 
 PATTERN = {name: p.replace("'", "''") for name, p in (("talk", T.SMALL_TALK), ("action", T.ACTION), ("deadline", T.DEADLINE))}
 FOUR = "len(list_filter(regexp_split_to_array({0}, '[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+'), lambda w: w <> '')) >= 4"
-TALK = f"(regexp_matches(lower(trim(sentence)), '{PATTERN['talk']}') OR lower(trim(sentence)) IN ({', '.join(repr(p) for p in T.PLEASANTRIES)}))"
+TALK = f"(regexp_matches(lower(trim({ASCII})), '{PATTERN['talk']}') OR lower(trim(sentence)) IN ({', '.join(repr(p) for p in T.PLEASANTRIES)}))"
 #: Orders as sentences, beside those of the documents, so that the predicates have something to find.
 ALL_SENTENCES = f"""{SENTS}, s AS (SELECT doc_id, pos, sentence FROM sents UNION ALL SELECT -o_orderkey - 1, 0, CASE o_orderkey % 6 WHEN 0 THEN 'Good morning, how are you?' WHEN 1 THEN 'We will send order ' || o_orderkey || ' by Friday' WHEN 2 THEN 'Thanks'
   WHEN 3 THEN 'The review is due on day ' || o_orderkey WHEN 4 THEN 'Order ' || o_orderkey || ' went well for all of us' ELSE 'confirm it' END FROM orders)"""
@@ -404,7 +406,7 @@ ALL_SENTENCES = f"""{SENTS}, s AS (SELECT doc_id, pos, sentence FROM sents UNION
 
 @query(
     "p5_p8_predicates_of_all_sentences",
-    f"WITH {ALL_SENTENCES} SELECT doc_id, pos, {TALK} AS small_talk, {FOUR.format('sentence')} AND NOT {TALK} AS substantive, regexp_matches(sentence, '{PATTERN['action']}', 'i') AND {FOUR.format('sentence')} AS action, regexp_matches(sentence, '{PATTERN['deadline']}', 'i') AS deadline FROM s",
+    f"WITH {ALL_SENTENCES} SELECT doc_id, pos, {TALK} AS small_talk, {FOUR.format('sentence')} AND NOT {TALK} AS substantive, regexp_matches({ASCII}, '{PATTERN['action']}', 'i') AND {FOUR.format('sentence')} AS action, regexp_matches({ASCII}, '{PATTERN['deadline']}', 'i') AS deadline FROM s",
 )
 def p5_all(spark, d):
     k = F.col("o_orderkey")
