@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colloquy.llm import decontamination, exact_dedup, language_id, licenses, line_dedup, ngram_join, sentencepiece_rounds, sharding, token_frames, warc
+from colloquy.llm import decontamination, exact_dedup, language_id, licenses, line_dedup, ngram_join, sentencepiece_rounds, sharding, spelling_variants, token_frames, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sentencepiece": sentencepiece_rounds.op8_sentencepiece,
     "op9_licenses": licenses.op9_licenses,
     "op10_decontamination": decontamination.op10_decontamination,
+    "op11_spelling_variants": spelling_variants.op11_spelling_variants,
 }
 ORACLES = {
     "op1_warc": warc.OP1_SQL,
@@ -22,4 +23,5 @@ ORACLES = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op10_decontamination": decontamination.OP10_SQL,
+    "op11_spelling_variants": spelling_variants.OP11_SQL,
 }
