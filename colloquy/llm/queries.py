@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colloquy.llm import decontamination, exact_dedup, language_id, licenses, line_dedup, ngram_join, sentencepiece_rounds, sharding, spelling_variants, token_frames, warc
+from colloquy.llm import decontamination, exact_dedup, language_id, licenses, line_dedup, ngram_join, sentencepiece_rounds, sharding, spelling_variants, token_frames, vector_codes, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_licenses": licenses.op9_licenses,
     "op10_decontamination": decontamination.op10_decontamination,
     "op11_spelling_variants": spelling_variants.op11_spelling_variants,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
 }
 ORACLES = {
     "op1_warc": warc.OP1_SQL,
@@ -24,4 +25,5 @@ ORACLES = {
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op10_decontamination": decontamination.OP10_SQL,
     "op11_spelling_variants": spelling_variants.OP11_SQL,
+    "op12_vector_codes": vector_codes.OP12_SQL,
 }
