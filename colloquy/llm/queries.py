@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colloquy.llm import decontamination, exact_dedup, language_id, licenses, line_dedup, ngram_join, sentencepiece_rounds, sharding, spelling_variants, token_frames, vector_codes, warc
+from colloquy.llm import bpe_queue, decontamination, exact_dedup, language_id, licenses, line_dedup, ngram_join, sentencepiece_rounds, sharding, spelling_variants, token_frames, vector_codes, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_decontamination": decontamination.op10_decontamination,
     "op11_spelling_variants": spelling_variants.op11_spelling_variants,
     "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_bpe": bpe_queue.op13_bpe,
 }
 ORACLES = {
     "op1_warc": warc.OP1_SQL,
