@@ -66,6 +66,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def unused(names: list[str], columns: list[str]) -> list[str]:
+    """``names``, each with as many underscores before it as it takes to differ from all ``columns`` (in any case)."""
+    there, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in there:
+            name = f"_{name}"
+        out.append(name)
+        there.add(name.lower())
+    return out
+
+
 def salted(key: Column, ways: int) -> Column:
     """Salt in 0..ways-1 that depends on ``key`` alone."""
     return F.pmod(F.xxhash64(key), F.lit(ways)).cast("int")

@@ -11,6 +11,9 @@ scored by one sparse-by-dense product.
 The classifier is fitted on a bounded sample of labelled rows (parameter
 ``per_lang`` for each language, fewer if ``most`` rows in all would be exceeded:
 the bound is met evenly, no language is left out); every whole text is scored.
+Rows are drawn by a hash of id and text, so ids that repeat or are null don't tie
+rows together; a language that the draw missed gives its first row by that hash.
+A drawn row reaches the driver as its set of places, at most ``DIMS / 8`` bytes.
 
 ``margin`` is the lead of the best score over the second (1 if there is one language);
 unlike the score it doesn't depend on the number of languages. ``unclear`` rejects by it.
@@ -152,8 +155,23 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
+def packed(places: np.ndarray) -> bytes:
+    """A set of places as a list of them or as a bit map, whichever is smaller."""
+    if 4 * len(places) < DIMS // 8:
+        return places.tobytes()
+    marks = np.zeros(DIMS, bool)
+    marks[places] = True
+    return np.packbits(marks).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    if len(raw) < DIMS // 8:
+        return np.frombuffer(raw, np.int32)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8))).astype(np.int32)
+
+
 def train(docs: DataFrame, per_lang: int = 400, most: int = 4000) -> Classifier | None:
-    """Fit on about ``per_lang`` rows of each language, drawn by a hash of the id."""
+    """Fit on about ``per_lang`` rows of each language, drawn by a hash of id and text."""
     ship(docs.sparkSession)
     rows = learnable(docs).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
@@ -162,22 +180,26 @@ def train(docs: DataFrame, per_lang: int = 400, most: int = 4000) -> Classifier
     cap = max(1, most // len(counts))
     # with more languages than fit, some more are drawn, so that each has rows to fill its share
     per_lang = per_lang if per_lang <= cap else cap + 4 * cap**0.5 + 8
-    u = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30))
+    u = F.pmod(F.xxhash64(F.lit(7), "doc_id", "text"), F.lit(1 << 30))
     bound = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, per_lang / n) * (1 << 30)))]), F.col("lang"))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.zeros(DIMS, bool)
         for b in batches:
             for start in range(0, b.num_rows, 256):
-                got = [x.tobytes() for x in presences(b.column("text").slice(start, 256).to_pylist(), marks)]
+                got = [packed(x) for x in presences(b.column("text").slice(start, 256).to_pylist(), marks)]
                 yield pa.RecordBatch.from_arrays([b.column("lang").slice(start, 256), b.column("u").slice(start, 256), pa.array(got, pa.binary())], names=["lang", "u", "grams"])
 
-    drawn = rows.withColumn("u", u).where(F.col("u") < bound).select("lang", "u", "text")
-    drawn = drawn.mapInArrow(grams, "lang string, u long, grams binary")
+    as_grams = lambda some: some.select("lang", "u", "text").mapInArrow(grams, "lang string, u long, grams binary")
+    drawn = as_grams(rows.withColumn("u", u).where(F.col("u") < bound))
     rank = F.row_number().over(W.partitionBy("lang").orderBy("u", "grams"))
     sample = drawn.withColumn("_r", rank).where(F.col("_r") <= cap).collect()
+    missed = sorted(set(counts).difference(r["lang"] for r in sample))
+    if missed:
+        first = rows.where(F.col("lang").isin(missed)).withColumn("u", u).groupBy("lang").agg(F.min("u").alias("u"), F.min_by("text", "u").alias("text"))
+        sample += as_grams(first).collect()
     sample.sort(key=lambda r: (r["lang"], r["u"]))
-    return fit([r["lang"] for r in sample], [np.frombuffer(r["grams"], np.int32) for r in sample])
+    return fit([r["lang"] for r in sample], [unpacked(r["grams"]) for r in sample])
 
 
 def judged(texts: list[str | None], model: Classifier | None, marks: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import all_salts, components, fewer_than, salted, table, text_or_empty, written
+from colloquy.llm.common import all_salts, components, fewer_than, salted, table, text_or_empty, unused, written
 
 SALTS = 16
 EDITS = 2
@@ -262,12 +262,13 @@ def without_repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CH
 
     A document that loses all its lines (every one stands elsewhere) goes.
     """
-    gone = classes_of_rows(docs, edits, min_chars).where("NOT kept").groupBy(F.col("doc_id").alias("_line_doc"), F.col("row").alias("_line_row")).agg(F.collect_set("line_no").alias("_line_gone"))
+    doc, row, lost = unused(["line_doc", "line_row", "line_gone"], docs.columns)
+    gone = classes_of_rows(docs, edits, min_chars).where("NOT kept").groupBy(F.col("doc_id").alias(doc), F.col("row").alias(row)).agg(F.collect_set("line_no").alias(lost))
     lines = F.split("text", "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_line_gone"))
-    text = F.when(F.col("_line_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.element_at(lines, i + 1)), "\n"))
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_line_doc")) & (F.xxhash64(docs["text"]) == F.col("_line_row")), "left").withColumn("text", text)
-    kept = out.where("_line_gone IS NULL OR trim(text) <> ''")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(lost))
+    text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.element_at(lines, i + 1)), "\n"))
+    out = docs.join(gone, docs["doc_id"].eqNullSafe(F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(row)), "left").withColumn("text", text)
+    kept = out.where(F.col(lost).isNull() | (F.trim("text") != ""))
     return kept.select(*docs.columns)
 
 

@@ -39,3 +39,30 @@ def test_only_letterless_texts_are_unknown(spark):
 
     for r in language_id.identify(docs, language_id.train(docs)).collect():
         assert r.lang_pred == ("und" if r.doc_id == 99 else "en" if r.doc_id % 2 else "de")
+
+
+def lines_of(n, lang, seed):
+    w = WORDS[lang].split()
+    return " ".join(w[(seed * 7 + j * (1 + seed // 9)) % 9] + ("" if j % 3 else chr(97 + seed % 26) + chr(97 + seed // 26)) for j in range(n))
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, _line_doc long, _line_row string, _line_gone string, line_doc int, LINE_GONE int, gone_doc string, gone_key int, text_key int, kept string"
+
+
+def test_every_stage_on_null_ids_clashing_columns_and_no_rows(spark, tmp_path):
+    spark.createDataFrame([(0, "seven green lanterns hang above the quiet harbour tonight"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(i if i % 4 else None, lines_of(40, "en" if i % 2 else "de", i) + f"\nthis line stands in all {i % 2} of them", "en" if i % 2 else "de") for i in range(60)]
+    rows += [(None, None, None), (None, "", "en"), (5, rows[5][1], "en"), (None, "they say seven green lanterns hang above the quiet harbour tonight and more words", "en")]
+    docs = spark.createDataFrame([(i, t, x, "s", None, 1, "r", "g", 1, 2, "d", 3, 4, "k") for i, t, x in rows], CLASHING)
+    for none in (False, True):
+        now = docs.limit(0) if none else docs
+        for name, stage in corpus_pipeline.STAGES:
+            at = f"{tmp_path}/{none}-{name}"
+            stage(spark, now, str(tmp_path)).write.parquet(at)
+            now, before = spark.read.parquet(at), now
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert now.columns == docs.columns, name
+            assert none or 50 < now.count() <= before.count(), name
+        assert now.columns == ["doc_id", "ids", "decoded"]
+        assert now.count() == 0 if none else now.where("doc_id IS NULL").count() > 10
+        assert none or not [r for r in now.collect() if "lanterns" in r.decoded]
