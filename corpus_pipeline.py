@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import decontamination, language_id, line_dedup, ngram_join, sentencepiece_rounds
-from colloquy.llm.common import fewer_than, table, written
+from colloquy.llm.common import fewer_than, table, unused, written
 
 #: A document whose best language leads by less than this is in no language for sure: of held-out
 #: texts below it (6 of 10,000 at sf0.1: fragments of a word or two, mixed texts) 4 were named rightly.
@@ -34,9 +34,10 @@ ORACLE_SQL = None
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the rows in ``gone`` (doc_id, text_key); null ids are equal."""
-    rows = written(gone.select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")), "gone")
+    doc, key = unused(["gone_doc", "gone_key"], docs.columns)
+    rows = written(gone.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)), "gone")
     rows = F.broadcast(rows) if fewer_than(rows, BROADCAST_ROWS) else rows
-    same = docs["doc_id"].cast("long").eqNullSafe(rows["_gone"]) & (F.xxhash64(docs["text"]) == rows["_key"])
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key))
     return docs.join(rows, same, "left_anti").select(*docs.columns)
 
 
