@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import logging
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colloquy.operators.clustering import cluster_meetings
 from colloquy.operators.turns import absorb_micro_turns, merge_turns, relabel, speech_islands
-from colloquy.sources.media import FRAME_MS, frame_energies
+from colloquy.sources.media import frame_energies, frame_size, over_ranges
+from colloquy.sources.store import written
 
+LOG = logging.getLogger(__name__)
 Voice = Callable[[np.ndarray, int], np.ndarray]
 PAD_FRAMES = 10
 WINDOW_SEC, STEP_SEC, LEAST_SPEECH_SEC, LEAST_CLIP_SEC = 2, 1, 0.5, 0.1
@@ -28,42 +32,43 @@ def spectrum_voice(samples: np.ndarray, rate: int) -> np.ndarray:
 
 
 def speech_windows(audio: DataFrame) -> DataFrame:
-    """(name, rate, idx, start, end): sample ranges of the windows of decoded audio's speech.
+    """(name, idx, start, end): sample ranges of the windows of recordings' speech, numbered by time.
 
     A recording without a speech frame is one interval; speech of less than
     ``LEAST_SPEECH_SEC`` is left out.
     """
-    a = audio.where("n_frames > 0")
-    n_frames = F.floor(F.col("n_frames") / (F.col("rate") * FRAME_MS / 1000).cast("int")).cast("long")
-    frames = frame_energies(a).where("speech").join(a.select("name", n_frames.alias("n")), "name").select(F.col("name").alias("clip_id"), F.col("frame").cast("long").alias("frame"), F.col("n").alias("n_frames"))
+    a = audio.where("n_frames > 0").select("name", "rate", "n_frames", frame_size().alias("size"))
+    n = F.floor(F.col("n_frames") / F.col("size")).cast("long")
+    frames = frame_energies(audio).where("speech").join(a.select("name", n.alias("n")), "name").select(F.col("name").alias("clip_id"), "frame", F.col("n").alias("n_frames"))
     found = speech_islands(frames, PAD_FRAMES).select(F.col("clip_id").alias("name"), "first_frame", "end_frame")
-    size = (F.col("rate") * FRAME_MS / 1000).cast("int")
-    j = a.select("name", "rate", "n_frames").join(found, "name", "left")
-    j = j.select("name", "rate", F.coalesce(F.col("first_frame") * size, F.lit(0)).cast("long").alias("start"), F.least(F.coalesce(F.col("end_frame") * size, F.col("n_frames")), F.col("n_frames")).cast("long").alias("end"))
+    j = a.join(found, "name", "left")
+    start, end = F.coalesce(F.col("first_frame") * F.col("size"), F.lit(0)).cast("long"), F.least(F.coalesce(F.col("end_frame") * F.col("size"), F.col("n_frames")), F.col("n_frames")).cast("long")
+    j = j.select("name", "rate", start.alias("start"), end.alias("end"))
     j = j.where(F.col("end") - F.col("start") >= (F.col("rate") * LEAST_SPEECH_SEC).cast("int"))
     wide, step = F.col("rate") * WINDOW_SEC, F.col("rate") * STEP_SEC
     starts = F.when(F.col("end") - F.col("start") <= wide, F.array("start")).otherwise(F.sequence(F.col("start"), F.col("end") - F.floor(wide / 2) - 1, step.cast("long")))
     w = j.withColumn("w_start", F.explode(starts)).withColumn("w_end", F.least(F.col("w_start") + wide, F.col("end")))
     # neighbouring intervals may overlap, so ties in the start go by the end
-    return w.select("name", "rate", F.col("w_start").alias("start"), F.col("w_end").alias("end"))
+    idx = F.row_number().over(W.partitionBy("name").orderBy("w_start", "w_end")) - 1
+    return w.select("name", idx.cast("long").alias("idx"), F.col("w_start").alias("start"), F.col("w_end").alias("end"))
 
 
 def voice_vectors(audio: DataFrame, windows: DataFrame, voice: Voice = spectrum_voice) -> DataFrame:
-    """(meeting_id, idx, start, end, embedding): windows without a voice vector (too short, or silent) are left out."""
-    packed = windows.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ws"))
+    """(meeting_id, idx, start, end, embedding): windows without a voice vector (too short, or silent) are left out.
 
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for name, rate, samples, ws in zip(f["name"], f["rate"], f["samples"], f["ws"], strict=True):
-                for i, w in enumerate(ws):
-                    part = np.asarray(samples[w["start"] : w["end"]])
-                    v = voice(part, int(rate)) if len(part) >= LEAST_CLIP_SEC * rate else np.zeros(1)
-                    if np.linalg.norm(v) > 0:
-                        rows.append((name, i, w["start"] / rate, w["end"] / rate, [float(x) for x in v]))
-            yield pd.DataFrame(rows, columns=["meeting_id", "idx", "start", "end", "embedding"])
+    Each window's samples are read by themselves, wherever the chunks of a recording end.
+    """
+
+    def each(row: dict, x: np.ndarray) -> pa.RecordBatch | None:
+        rate = row["rate"]
+        v = np.asarray(voice(x, rate), float) if len(x) >= LEAST_CLIP_SEC * rate else np.zeros(1)
+        if not np.linalg.norm(v) > 0:
+            return None
+        made = [pa.array([row["name"]]), pa.array([row["idx"]]), pa.array([row["first"] / rate]), pa.array([(row["first"] + row["n"]) / rate]), pa.array([v.astype(np.float32)], pa.list_(pa.float32()))]
+        return pa.RecordBatch.from_arrays(made, names=["meeting_id", "idx", "start", "end", "embedding"])
 
-    return audio.select("name", "rate", "samples").join(packed, "name").mapInPandas(task, "meeting_id string, idx long, start double, end double, embedding array<float>")
+    ranges = audio.select("name", "path", "rate", "channels", "data_at").join(windows, "name").select("*", F.col("start").alias("first"), (F.col("end") - F.col("start")).alias("n")).drop("start", "end")
+    return over_ranges(ranges, each, "meeting_id string, idx long, start double, end double, embedding array<float>")
 
 
 def smoothed(turns: DataFrame) -> DataFrame:
@@ -73,11 +78,13 @@ def smoothed(turns: DataFrame) -> DataFrame:
 
 
 def diarised(audio: DataFrame, voice: Voice = spectrum_voice, k: int | None = None) -> DataFrame:
-    """(meeting_id, turn_no, speaker, start, end) of decoded audio; a recording without a voice is one turn of Speaker 1.
+    """(meeting_id, turn_no, speaker, start, end) of recordings; one without a voice is one turn of Speaker 1.
 
-    An empty recording has no turn.
+    An empty recording has no turn. Windows and vectors are written to the shared
+    folder once, so no file is read again for what follows from them.
     """
-    vectors = voice_vectors(audio, speech_windows(audio), voice)
+    windows = written(speech_windows(audio), "speech-windows")
+    vectors = written(voice_vectors(audio, windows, voice), "voice-vectors")
     labels = cluster_meetings(vectors, k)
     labelled = vectors.select("meeting_id", "idx", "start", "end").join(labels, ["meeting_id", "idx"])
     turns = labelled.select("meeting_id", F.col("idx").alias("turn_no"), F.concat(F.lit("Speaker "), (F.col("speaker_id") + 1).cast("string")).alias("speaker"), "start", "end")
@@ -94,11 +101,13 @@ def external_turns(labelled: DataFrame, order: str = "turn_no") -> DataFrame:
 
 
 def with_fallback(audio: DataFrame, diarise: Callable[[DataFrame], DataFrame], voice: Voice = spectrum_voice, k: int | None = None) -> DataFrame:
-    """What another diariser gives for ``audio``; if it can't be had or gives nothing, the local one's turns."""
+    """What another diariser gives for ``audio``; if it can't be had or gives nothing, the local one's turns, and the reason is logged."""
+    reason: object = "no turns"
     try:
         got = external_turns(diarise(audio))
         if not got.isEmpty():
             return got
-    except Exception:  # whatever the other one raises
-        pass
+    except Exception as e:  # whatever the other one raises
+        reason = e
+    LOG.warning("the other diariser isn't used: %s", reason)
     return diarised(audio, voice, k)

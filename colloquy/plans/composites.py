@@ -18,8 +18,9 @@ from colloquy.plans import vector
 from colloquy.plans.registry import query
 from colloquy.plans.text import CLEAN, SENTS, TOPIC_SQL, TOPICS, WORDS, docs
 from colloquy.plans.time import MERGED, events_turns
+from colloquy.shipping import ship
 from colloquy.sources import media, store
-from colloquy.sources.tables import speaker_turns, table
+from colloquy.sources.tables import speaker_turns, spread, table
 
 NO_WAIT = (0.0, 0.0, 0.0)
 
@@ -122,59 +123,64 @@ def s10(spark, d):
     return store.read_cases(spark, folder)
 
 
-# ---- recordings: a nation's samples keep one loudness for 0.3 seconds, alternating in sign
+# ---- recordings: a supplier's samples keep one loudness for 0.3 seconds, alternating in sign; every twentieth is 40 seconds long
 
-LOUD = "((i // 4800 * 97 + n_nationkey * 31) % 600)"
-SAMPLES = f"x AS (SELECT n_nationkey, i, CASE WHEN i % 2 = 1 THEN {LOUD} ELSE -{LOUD} END AS x FROM nation, range(0, 24100) t(i) WHERE i < 4800 * (n_nationkey % 5 + 1) + n_nationkey)"
+SAMPLES = """x AS (SELECT k, i, CASE WHEN i % 2 = 1 THEN loud ELSE -loud END AS x FROM (SELECT *, (i // 4800 * 97 + k * 31) % 600 AS loud FROM
+  (SELECT s_suppkey AS k, unnest(range(0, CASE WHEN s_suppkey % 20 = 0 THEN 640000 ELSE 4800 * (s_suppkey % 5 + 1) + s_suppkey % 480 END)) AS i FROM supplier)))"""
+
+
+def made_recording(key: int) -> np.ndarray:
+    i = np.arange(640_000 if key % 20 == 0 else 4800 * (key % 5 + 1) + key % 480)
+    loud = (i // 4800 * 97 + key * 31) % 600
+    return np.where(i % 2 == 1, loud, -loud)
 
 
 def wavs(spark, d):
-    """(name, content) of a WAV file for each nation, and one file that isn't WAV; written to and read from a folder."""
+    """(path, name, length) of a WAV file for each supplier, and one file that isn't WAV; written to and listed from a folder."""
     folder = store.scratch(spark, "recordings")
-
-    def made(key: int) -> bytes:
-        i = np.arange(4800 * (key % 5 + 1) + key)
-        loud = (i // 4800 * 97 + key * 31) % 600
-        return media.encode_wav(np.where(i % 2 == 1, loud, -loud))
+    ship(spark)
 
     def task(batches):
         import pyarrow as pa
         from pyarrow import fs
 
         for b in batches:
-            for key in b.column("n_nationkey").to_pylist():
+            for key in b.column("k").to_pylist():
                 at, root = fs.FileSystem.from_uri(folder)
                 at.create_dir(root, recursive=True)
-                with at.open_output_stream(f"{root}/{'bad' if key < 0 else f'n{key}'}.wav") as f:
-                    f.write(b"no samples here" if key < 0 else made(key))
-            yield pa.RecordBatch.from_pydict({"n_nationkey": pa.array([], pa.int32())})
+                with at.open_output_stream(f"{root}/{'bad' if key < 0 else f's{key}'}.wav") as f:
+                    f.write(b"no samples here" if key < 0 else media.encode_wav(made_recording(key)))
+            yield pa.RecordBatch.from_pydict({"k": pa.array([], pa.int64())})
 
-    keys = table(spark, d, "nation").select("n_nationkey").unionByName(spark.range(1).select(F.lit(-1).alias("n_nationkey")))
-    keys.mapInArrow(task, "n_nationkey int").write.format("noop").mode("overwrite").save()
+    keys = table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("k")).unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("k")))
+    spread(keys).mapInArrow(task, "k long").write.format("noop").mode("overwrite").save()
     return media.wav_files(spark, folder)
 
 
 @query(
     "s7_f34_wav_decoding",
-    f"WITH {SAMPLES} SELECT 'n' || n_nationkey || '.wav' AS name, count(*) AS n_frames, round(count(*) / 16000, 9) AS duration, sum(x * (i % 3))::BIGINT AS mark FROM x GROUP BY n_nationkey UNION ALL SELECT 'bad.wav', 0, 0, 0",
+    f"WITH {SAMPLES} SELECT 's' || k || '.wav' AS name, count(*) AS n_frames, round(count(*) / 16000, 9) AS duration, sum(x * (i % 3))::BIGINT AS mark FROM x GROUP BY k UNION ALL SELECT 'bad.wav', 0, 0, 0",
 )
 def s7(spark, d):
-    mark = F.aggregate(F.transform("samples", lambda x, i: x.cast("long") * (i % 3)), F.lit(0).cast("long"), lambda s, x: s + x)
-    return media.decoded(wavs(spark, d)).select("name", "n_frames", F.round("duration", 9).alias("duration"), mark.alias("mark"))
+    """Headers and, chunk by chunk, all samples: their sum under weights that depend on the place."""
+    audio = media.recordings(wavs(spark, d))
+    mark = F.aggregate(F.transform("samples", lambda x, i: x.cast("long") * ((i + F.col("first")) % 3)), F.lit(0).cast("long"), lambda s, x: s + x)
+    marks = media.pcm_chunks(audio).select("name", mark.alias("mark")).groupBy("name").agg(F.sum("mark").alias("mark"))
+    return audio.join(marks, "name", "left").select("name", "n_frames", F.round("duration", 9).alias("duration"), F.coalesce("mark", F.lit(0).cast("long")).alias("mark"))
 
 
 @query(
     "w6_frame_energy",
-    f"WITH {SAMPLES}, n AS (SELECT n_nationkey, count(*) // 480 AS frames FROM x GROUP BY 1), e AS (SELECT n_nationkey, (i // 480)::INT AS frame, sqrt(sum(x * x) / 480) AS rms FROM x JOIN n USING (n_nationkey) WHERE i // 480 < frames GROUP BY ALL) SELECT 'n' || n_nationkey || '.wav' AS name, frame, round(rms, 6) AS rms, rms > 200 AS speech FROM e",
+    f"WITH {SAMPLES}, n AS (SELECT k, count(*) // 480 AS frames FROM x GROUP BY 1), e AS (SELECT k, i // 480 AS frame, sqrt(sum(x * x) / 480) AS rms FROM x JOIN n USING (k) WHERE i // 480 < frames GROUP BY ALL) SELECT 's' || k || '.wav' AS name, frame, round(rms, 6) AS rms, rms > 200 AS speech FROM e",
 )
 def w6(spark, d):
-    return media.frame_energies(media.decoded(wavs(spark, d))).select("name", "frame", F.round("rms", 6).alias("rms"), "speech")
+    return media.frame_energies(media.recordings(wavs(spark, d))).select("name", "frame", F.round("rms", 6).alias("rms"), "speech")
 
 
 @query("x8_local_diarisation")
 def x8(spark, d):
-    """Turns of the recordings; the voice encoder is the stand-in, so SQL has no twin (a test compares planted voices)."""
-    return diarisation.diarised(media.decoded(wavs(spark, d)))
+    """Turns of the recordings; the voice encoder is the stand-in, so SQL has no twin (tests compare planted voices and the sequential rules)."""
+    return diarisation.diarised(media.recordings(wavs(spark, d)))
 
 
 LABELLED = MERGED.replace("""epoch_us(ts) // 10000 AS "start", epoch_us(ts) // 10000 + round(greatest(value, 0) * 400)::BIGINT AS "end", 'Speaker ' || (user_id % 3 + 1) AS speaker FROM events)""", """(epoch_us(ts) // 10000) / 100.0::DOUBLE AS "start", (epoch_us(ts) // 10000 + round(greatest(value, 0) * 400)::BIGINT) / 100.0::DOUBLE AS "end", 'Speaker ' || (user_id % 3 + 1) AS label FROM events),

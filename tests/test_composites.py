@@ -6,11 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.operators import diarisation, indexing, models, records
+from colloquy.operators import indexing, models, records
 from colloquy.operators import documents as D
 from colloquy.operators import people as P
 from colloquy.operators import search as S
-from colloquy.sources import media, store
+from colloquy.sources import store
 
 MEETING = "meeting_id string, transcript string, summary string, decisions array<string>, tasks array<string>"
 
@@ -110,39 +110,6 @@ def test_insert_meetings(spark, tmp_path):
     assert not list((tmp_path / "_staging").iterdir())
 
 
-def planted(rng, spans, rate=16_000):
-    """Two voices (tones) in ``spans`` of (voice or None, seconds)."""
-    parts = []
-    for v, sec in spans:
-        t = np.arange(int(sec * rate)) / rate
-        parts.append(np.zeros(len(t)) if v is None else 6000 * np.sin(2 * np.pi * (300 if v == 0 else 5000) * t) + rng.normal(0, 20, len(t)))
-    return np.concatenate(parts).astype(np.int16)
-
-
-def test_local_diarisation_finds_planted_voices(spark):
-    rng = np.random.default_rng(1)
-    spans = [(0, 8), (None, 2), (1, 8), (None, 2), (0, 8)]
-    clips = {"two.wav": media.encode_wav(planted(rng, spans)), "silent.wav": media.encode_wav(np.zeros(48_000, np.int16)), "none.wav": media.encode_wav(np.zeros(0, np.int16)), "bad.wav": b"xx"}
-    files = spark.createDataFrame([(n, bytearray(c)) for n, c in clips.items()], "name string, content binary")
-    audio = media.decoded(files)
-    lengths = {r.name: (r.n_frames, r.duration) for r in audio.select("name", "n_frames", "duration").collect()}
-    assert lengths == {"two.wav": (448_000, 28.0), "silent.wav": (48_000, 3.0), "none.wav": (0, 0.0), "bad.wav": (0, 0.0)}
-    turns = {}
-    for r in sorted(diarisation.diarised(audio).collect(), key=lambda r: (r.meeting_id, r.start)):
-        turns.setdefault(r.meeting_id, []).append((r.speaker, r.start, r.end))
-    assert turns["silent.wav"] == [("Speaker 1", 0.0, 3.0)] and set(turns) == {"two.wav", "silent.wav"}
-    assert [t[0] for t in turns["two.wav"]] == ["Speaker 1", "Speaker 2", "Speaker 1"]
-    for (_, a, b), (c, d) in zip(turns["two.wav"], [(0, 8), (10, 18), (20, 28)], strict=True):
-        assert abs(a - c) < 0.6 and abs(b - d) < 0.6
-    fallen = diarisation.with_fallback(audio.where("name = 'silent.wav'"), lambda _: 1 / 0)
-    assert fallen.count() == 1
-
-
-def test_samples_are_normalised(spark):
-    files = spark.createDataFrame([("a.wav", bytearray(media.encode_wav(np.array([-32768, 0, 16384], np.int16))))], "name string, content binary")
-    assert media.decoded(files).select(media.normalised(F.col("samples")).alias("x")).first().x == [-1.0, 0.0, 0.5]
-
-
 def plain_chunks(text, most=300, overlap=50):
     est = lambda t: max(len(t) // 4, len(t.split()))
     text = (text or "").strip()
