@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colloquy.shipping import ship  # noqa: F401
+
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
@@ -128,28 +130,6 @@ def with_fields(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.Stru
     return T.StructType([*schema.fields, *[T.StructField(n, t) for n, t in fields]])
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give this package to the executors, once per application.
-
-    Executors needn't have it installed: Spark's own file server carries the
-    archive, so it also reaches executors that start later.
-    """
-    import os
-    import shutil
-
-    import colloquy
-
-    app = spark.sparkContext.applicationId
-    if app not in _SHIPPED:
-        home = os.path.dirname(os.path.abspath(colloquy.__file__))
-        made = shutil.make_archive(os.path.join(tempfile.mkdtemp(), f"colloquy_{uuid.uuid4().hex[:8]}"), "zip", os.path.dirname(home), "colloquy")
-        spark.sparkContext.addPyFile(made)
-        _SHIPPED.add(app)
-
-
 def filesystem(path: str):
     """(pyarrow file system, path within it) for a URI or an absolute path."""
     from pyarrow import fs
