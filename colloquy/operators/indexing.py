@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from colloquy.operators.documents import chunk_meetings, delete_meeting, upsert
 from colloquy.operators.models import BATCH, DELAYS, Embed, hashed_vectors, with_retries
+from colloquy.shipping import ship
+from colloquy.sources.store import written
+from colloquy.sources.vector_table import FIELDS as INDEX
+from colloquy.sources.vector_table import VectorTable
 
 CHUNK = "chunk_id string, meeting_id string, source_type string, chunk_index int, text string, content_hash string"
-INDEX = f"{CHUNK}, embedding array<double>"
 
 
 def fresh_chunks(chunks: DataFrame, index: DataFrame) -> DataFrame:
@@ -28,6 +31,8 @@ def embedded_by_meeting(fresh: DataFrame, embed: Embed, batch: int, delays) -> D
     (at most ``batch`` at once); a meeting may go on in the next Arrow batch.
     """
 
+    ship(fresh.sparkSession)
+
     def one(texts: list[str]) -> tuple[list, str | None]:
         vectors: list = [None] * len(texts)
         wanted = [i for i, t in enumerate(texts) if t and t.strip()]
@@ -50,23 +55,36 @@ def embedded_by_meeting(fresh: DataFrame, embed: Embed, batch: int, delays) -> D
     return dealt.mapInPandas(task, f"{INDEX}, error string")
 
 
-def index_meetings(meetings: DataFrame, index: DataFrame, embed: Embed = hashed_vectors, batch: int = BATCH, delays=DELAYS, chunks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(new index, result) after adding ``meetings`` (meeting_id, transcript, summary, decisions, tasks).
-
-    The result has a row for each meeting with chunks: indexed, skipped, error and
-    ``processed`` (whether anything was indexed). A chunk without a vector isn't
-    stored; a meeting with an error stores none of its new chunks. Cut the lineage
-    of the embedded rows (a written table) where the model must be asked once only.
-    """
-    chunks = fresh_chunks(chunk_meetings(meetings) if chunks is None else chunks, index)
-    got = embedded_by_meeting(chunks.where("NOT known"), embed, batch, delays)
+def fresh_rows(meetings: DataFrame, index: DataFrame, embed: Embed, batch: int, delays, chunks: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(new rows, result): chunks and vectors are written once, so storing, counting and errors read the same answers of the model."""
+    chunks = written(fresh_chunks(chunk_meetings(meetings) if chunks is None else chunks, index), "chunks")
+    got = written(embedded_by_meeting(chunks.where("NOT known"), embed, batch, delays), "embedded")
     failed = got.groupBy("meeting_id").agg(F.max("error").alias("error"))
     stored = got.join(failed.where("error IS NOT NULL").select("meeting_id"), "meeting_id", "left_anti").where("embedding IS NOT NULL")
     stored = stored.select([c.split()[0] for c in INDEX.split(", ")])
     counts = chunks.groupBy("meeting_id").agg(F.count_if("known").alias("skipped"))
     done = stored.groupBy("meeting_id").agg(F.count("*").alias("indexed"))
     result = counts.join(done, "meeting_id", "left").join(failed, "meeting_id", "left").withColumn("indexed", F.coalesce("indexed", F.lit(0).cast("long")))
-    return upsert(index.select(stored.columns), stored), result.select("meeting_id", "indexed", "skipped", "error", (F.col("indexed") > 0).alias("processed"))
+    return stored, result.select("meeting_id", "indexed", "skipped", "error", (F.col("indexed") > 0).alias("processed"))
+
+
+def index_meetings(meetings: DataFrame, index: DataFrame, embed: Embed = hashed_vectors, batch: int = BATCH, delays=DELAYS, chunks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new index, result) after adding ``meetings`` (meeting_id, transcript, summary, decisions, tasks).
+
+    The result has a row for each meeting with chunks: indexed, skipped, error and
+    ``processed`` (whether anything was indexed). A chunk without a vector isn't
+    stored; a meeting with an error stores none of its new chunks. The model is asked
+    once for each new chunk, when this is called.
+    """
+    stored, result = fresh_rows(meetings, index, embed, batch, delays, chunks)
+    return upsert(index.select(stored.columns), stored), result
+
+
+def index_into(kept: VectorTable, meetings: DataFrame, embed: Embed = hashed_vectors, batch: int = BATCH, delays=DELAYS, chunks: DataFrame | None = None) -> DataFrame:
+    """As ``index_meetings``, into a stored table; returns the result."""
+    stored, result = fresh_rows(meetings, kept.hashes(), embed, batch, delays, chunks)
+    kept.upsert(stored)
+    return result
 
 
 def reindex_meeting(meetings: DataFrame, index: DataFrame, meeting_id: str, embed: Embed = hashed_vectors, **how) -> tuple[DataFrame, DataFrame, int]:
@@ -74,3 +92,9 @@ def reindex_meeting(meetings: DataFrame, index: DataFrame, meeting_id: str, embe
     deleted = index.where(F.col("meeting_id") == meeting_id).count()
     new, result = index_meetings(meetings.where(F.col("meeting_id") == meeting_id), delete_meeting(index, meeting_id), embed, **how)
     return new, result, deleted
+
+
+def reindex_into(kept: VectorTable, meetings: DataFrame, meeting_id: str, embed: Embed = hashed_vectors, **how) -> tuple[DataFrame, int]:
+    """(result, rows deleted) of re-indexing one meeting of a stored table."""
+    deleted = kept.delete_meeting(meeting_id)
+    return index_into(kept, meetings.where(F.col("meeting_id") == meeting_id), embed, **how), deleted

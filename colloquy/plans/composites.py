@@ -21,6 +21,7 @@ from colloquy.plans.time import MERGED, events_turns
 from colloquy.shipping import ship
 from colloquy.sources import media, store
 from colloquy.sources.tables import speaker_turns, spread, table
+from colloquy.sources.vector_table import VectorTable
 
 NO_WAIT = (0.0, 0.0, 0.0)
 
@@ -224,9 +225,11 @@ def conversation_meetings(spark, d):
     return c.select(F.col("conv_id").cast("string").alias("meeting_id"), empty.alias("transcript"), empty.alias("summary"), "decisions", F.array().cast("array<string>").alias("tasks"))
 
 
-def a_third(spark, d):
-    """The index before: every third chunk."""
-    return models.embedded(D.chunk_meetings(conversation_meetings(spark, d)).where("chunk_index % 3 = 0"), delays=NO_WAIT)
+def a_third(spark, d) -> VectorTable:
+    """The index before: every third chunk, stored."""
+    kept = VectorTable(spark, store.scratch(spark, "vectors"), buckets=8)
+    kept.upsert(store.written(models.embedded(D.chunk_meetings(conversation_meetings(spark, d)).where("chunk_index % 3 = 0"), delays=NO_WAIT), "third"))
+    return kept
 
 
 INDEXED = """c AS (SELECT conv_id::VARCHAR AS meeting_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS chunk_index, text, sha256(text) AS h FROM conversations),
@@ -235,8 +238,9 @@ o AS (SELECT DISTINCT meeting_id, h FROM c WHERE chunk_index % 3 = 0 AND trim(te
 
 @query("x11_incremental_index", f"WITH {INDEXED} SELECT meeting_id, count(*) FILTER (NOT known) AS indexed, count(*) FILTER (known) AS skipped, count(*) FILTER (NOT known) > 0 AS processed, count(*) AS in_index FROM n GROUP BY 1")
 def x11_index(spark, d):
-    new, result = indexing.index_meetings(conversation_meetings(spark, d), a_third(spark, d), delays=NO_WAIT)
-    stored = new.where(F.size("embedding") == 16).groupBy("meeting_id").agg(F.count("*").alias("in_index"))
+    kept = a_third(spark, d)
+    result = indexing.index_into(kept, conversation_meetings(spark, d), delays=NO_WAIT)
+    stored = kept.rows().where(F.size("embedding") == 16).groupBy("meeting_id").agg(F.count("*").alias("in_index"))
     return result.join(stored, "meeting_id", "left").select("meeting_id", "indexed", "skipped", "processed", "in_index")
 
 
@@ -250,15 +254,34 @@ def refusing(texts: list[str]) -> list[list[float]]:
 @query("x12_index_errors", f"WITH {INDEXED} SELECT meeting_id, coalesce(bool_or(NOT known AND length(text) % 97 = 0), false) AS failed, CASE WHEN bool_or(NOT known AND length(text) % 97 = 0) THEN 0 ELSE count(*) FILTER (NOT known) END::BIGINT AS indexed FROM n GROUP BY 1")
 def x12(spark, d):
     """The error of one meeting leaves the others alone."""
-    _, result = indexing.index_meetings(conversation_meetings(spark, d), a_third(spark, d), refusing, batch=1000, delays=NO_WAIT)
+    result = indexing.index_into(a_third(spark, d), conversation_meetings(spark, d), refusing, batch=1000, delays=NO_WAIT)
     return result.select("meeting_id", F.coalesce(F.col("error").contains("refused"), F.lit(False)).alias("failed"), "indexed")
 
 
-@query("x13_reindex", f"WITH {INDEXED}, k AS (SELECT * FROM n WHERE meeting_id = '3' OR chunk_index % 3 = 0) SELECT meeting_id, chunk_index, round(('0x' || substr(h, 1, 2))::INT / 255, 9) AS e1 FROM k")
+@query("x13_reindex", f"WITH {INDEXED}, k AS (SELECT * FROM n WHERE meeting_id = '3' OR chunk_index % 3 = 0) SELECT meeting_id, chunk_index, round(('0x' || substr(h, 1, 2))::INT / 255, 9) AS e1, (SELECT count(*)::INT FROM n WHERE meeting_id = '3' AND chunk_index % 3 = 0) AS deleted FROM k")
 def x13(spark, d):
     """All vectors of meeting 3 go and are made anew; the others stay."""
-    new, _, _ = indexing.reindex_meeting(conversation_meetings(spark, d), a_third(spark, d), "3", delays=NO_WAIT)
-    return new.select("meeting_id", "chunk_index", F.round(F.col("embedding")[0], 9).alias("e1"))
+    kept = a_third(spark, d)
+    _, deleted = indexing.reindex_into(kept, conversation_meetings(spark, d), "3", delays=NO_WAIT)
+    return kept.rows().select("meeting_id", "chunk_index", F.round(F.col("embedding")[0], 9).alias("e1"), F.lit(deleted).alias("deleted"))
+
+
+@query(
+    "k2_k3_vector_table",
+    """SELECT 'm' || vec_id % 200 || '__summary__' || vec_id AS chunk_id, CASE WHEN vec_id % 7 = 0 THEN 'new' ELSE 'old' END AS text, round(embedding[1]::DOUBLE * CASE WHEN vec_id % 7 = 0 THEN 2 ELSE 1 END, 6) AS e1, (SELECT count(*)::INT FROM embeddings WHERE vec_id % 200 = 3) AS deleted FROM embeddings WHERE vec_id % 200 <> 3""",
+)
+def k2_k3(spark, d):
+    """A stored table of all vectors: upsert, upsert of every seventh again, delete of one meeting, rows of the last version."""
+    meeting = F.concat(F.lit("m"), (F.col("vec_id") % 200).cast("string"))
+    e = table(spark, d, "embeddings").select(
+        F.concat_ws("__", meeting, F.lit("summary"), F.col("vec_id").cast("string")).alias("chunk_id"), meeting.alias("meeting_id"), F.lit("summary").alias("source_type"), F.col("vec_id").cast("int").alias("chunk_index"),
+        F.lit("old").alias("text"), F.sha2(F.lit("old"), 256).alias("content_hash"), F.col("embedding").cast("array<double>").alias("embedding"),
+    )
+    kept = VectorTable(spark, store.scratch(spark, "vectors"), buckets=8)
+    kept.upsert(e)
+    kept.upsert(e.where("chunk_index % 7 = 0").withColumn("text", F.lit("new")).withColumn("embedding", F.transform("embedding", lambda x: x * 2)))
+    deleted = kept.delete_meeting("m3")
+    return kept.rows().select("chunk_id", "text", F.round(F.col("embedding")[0], 6).alias("e1"), F.lit(deleted).alias("deleted"))
 
 
 # ---- models

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.sources.commits import Log, delete
+
 CHILDREN = {"participants": "struct<name:string,is_unknown_assignee:boolean>", "action_items": "struct<task:string,assignee:string,deadline:string,priority:string,status:string>"}
 EVALUATION = (
     "recording string, model string, duration_sec double, ref_words int, gen_words int, substitutions int, deletions int, insertions int, "
@@ -33,20 +35,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _files(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
+def stored(spark: SparkSession, folder: str, table: str) -> DataFrame | None:
+    """A table of the finished inserts; None before the first."""
+    done = Log(spark, folder).latest()[1].get("batches", [])
+    return _batches(spark, folder, table, done) if done else None
 
-def _batches(spark: SparkSession, folder: str) -> list[str]:
-    fs, at = _files(spark, f"{folder}/meetings")
-    return sorted(s.getPath().getName().partition("=")[2] for s in fs.listStatus(at)) if fs.exists(at) else []
 
-
-def stored(spark: SparkSession, folder: str, table: str) -> DataFrame | None:
-    """A table of the finished inserts; a batch counts once its meetings are in place. None before the first."""
-    done = _batches(spark, folder)
-    return spark.read.option("basePath", f"{folder}/{table}").parquet(*[f"{folder}/{table}/batch={b}" for b in done]).drop("batch") if done else None
+def _batches(spark: SparkSession, folder: str, table: str, batches: list[str]) -> DataFrame:
+    return spark.read.option("basePath", f"{folder}/{table}").parquet(*[f"{folder}/{table}/batch={b}" for b in batches]).drop("batch")
 
 
 def insert_meetings(records: DataFrame, folder: str) -> DataFrame:
@@ -54,34 +50,43 @@ def insert_meetings(records: DataFrame, folder: str) -> DataFrame:
 
     ``records`` has id (null: a new one is made), transcript, summary, key_points,
     decisions, participants and action_items. An id that is there already, or twice
-    in ``records``, is an error and nothing is inserted: all three tables are written
-    aside and moved into place at the end, meetings last.
+    in ``records``, is an error and nothing is inserted. All three tables are written
+    under the insert's own name and count from the version on that names it. The ids
+    are compared with exactly the version that the new one follows: if another insert
+    came first, with its ids as well.
     """
-    spark, batch = records.sparkSession, uuid.uuid4().hex
-    aside = f"{folder}/_staging/{batch}"
+    spark, batch, log = records.sparkSession, uuid.uuid4().hex, Log(records.sparkSession, folder)
     rows = records.withColumn("id", F.coalesce(F.col("id").cast("string"), F.uuid())).withColumn("created_at", F.current_timestamp())
+    tables = (*CHILDREN, "meetings")
+    done = False
     try:
-        rows.write.parquet(f"{aside}/rows")
-        rows = spark.read.parquet(f"{aside}/rows")
-        there = stored(spark, folder, "meetings")
-        twice = rows.groupBy("id").count().where("count > 1").select("id")
-        clash = twice if there is None else twice.unionByName(rows.select("id").join(there.select("id"), "id", "left_semi"))
-        if found := clash.limit(3).collect():
-            raise ValueError(f"duplicate meeting id {', '.join(r['id'] for r in found)}")
+        rows.write.parquet(f"{folder}/_aside/batch={batch}")
+        rows = spark.read.parquet(f"{folder}/_aside/batch={batch}")
+        refuse(rows.groupBy("id").count().where("count > 1"))
         for name, kind in CHILDREN.items():
-            rows.select(F.col("id").alias("meeting_id"), F.explode(F.col(name).cast(f"array<{kind}>")).alias("c")).select("meeting_id", "c.*").write.parquet(f"{aside}/{name}")
-        rows.drop(*CHILDREN).write.parquet(f"{aside}/meetings")
-        for name in (*CHILDREN, "meetings"):
-            fs, to = _files(spark, f"{folder}/{name}/batch={batch}")
-            fs.mkdirs(to.getParent())
-            if not fs.rename(_files(spark, f"{aside}/{name}")[1], to):
-                raise OSError(f"{name} could not be moved into place")
+            rows.select(F.col("id").alias("meeting_id"), F.explode(F.col(name).cast(f"array<{kind}>")).alias("c")).select("meeting_id", "c.*").write.parquet(f"{folder}/{name}/batch={batch}")
+        rows.drop(*CHILDREN).write.parquet(f"{folder}/meetings/batch={batch}")
+        compared: list[str] = []
+        while not done:
+            number, state = log.latest()
+            there = state.get("batches", [])
+            if new := [b for b in there if b not in compared]:
+                refuse(rows.select("id").join(_batches(spark, folder, "meetings", new).select("id"), "id", "left_semi"))
+            compared = there
+            done = log.commit(number + 1, {"batches": [*there, batch]})
     finally:
-        fs, at = _files(spark, aside)
-        fs.delete(at, True)
+        delete(spark, f"{folder}/_aside/batch={batch}")
+        if not done:
+            for name in tables:
+                delete(spark, f"{folder}/{name}/batch={batch}")
     return spark.read.parquet(f"{folder}/meetings/batch={batch}").select("id")
 
 
+def refuse(clash: DataFrame) -> None:
+    if found := clash.limit(3).collect():
+        raise ValueError(f"duplicate meeting id {', '.join(r['id'] for r in found)}")
+
+
 def write_evaluation(rows: DataFrame, folder: str) -> None:
     """The evaluation's CSV, with a header."""
     rows.select([c.split()[0] for c in EVALUATION.split(", ")]).write.mode("overwrite").option("header", True).csv(folder)

@@ -107,7 +107,7 @@ def test_insert_meetings(spark, tmp_path):
             store.insert_meetings(df(*ids), folder)
     assert {r.id for r in store.stored(spark, folder, "meetings").collect()} == made
     assert store.stored(spark, folder, "participants").count() == 2 == store.stored(spark, folder, "action_items").count()
-    assert not list((tmp_path / "_staging").iterdir())
+    assert not list((tmp_path / "_aside").iterdir()) and len(list((tmp_path / "participants").iterdir())) == 1
 
 
 def plain_chunks(text, most=300, overlap=50):
