@@ -103,12 +103,8 @@ def packed_blocks(vectors: DataFrame, rows: int, name: str) -> DataFrame:
     return vectors.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("_b")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias(name)).drop("_b")
 
 
-def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, query_rows: int = 256, vector_rows: int = 2048) -> DataFrame:
-    """(q_id, vec_id, sim): the ``k`` best vectors of each query, ties to the smaller id.
-
-    Blocks of queries meet blocks of vectors as matrix products, so a task holds two
-    blocks; of each pair of blocks ``k`` rows a query are left for the last ranking.
-    """
+def best_pairs(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Map of rows (qs, vs), blocks of (vec_id, embedding): the ``k`` best vectors of each query of the block, by one matrix product."""
 
     def arrays(block: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
         ids, x = block.values.field("vec_id").to_numpy(), np.array(block.values.field("embedding").to_pylist(), float)
@@ -125,12 +121,26 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, query_rows:
                     yield pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array(v_ids[top]), pa.array(sims[at, top])], names=["q_id", "vec_id", "sim"])
                     sims[at, top] = -np.inf
 
+    return best
+
+
+def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, query_rows: int = 256, vector_rows: int = 2048) -> DataFrame:
+    """(q_id, vec_id, sim): the ``k`` best vectors of each query, ties to the smaller id.
+
+    Blocks of queries meet blocks of vectors as matrix products, so a task holds two
+    blocks; of each pair of blocks ``k`` rows a query are left for the last ranking.
+    """
     pairs = packed_blocks(queries, query_rows, "qs").crossJoin(packed_blocks(vectors, vector_rows, "vs"))
-    found = pairs.mapInArrow(best, "q_id long, vec_id long, sim double")
+    found = pairs.mapInArrow(best_pairs(k), "q_id long, vec_id long, sim double")
     rank = F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("sim"), "vec_id"))
     return found.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
 
 
+def fewer(rows: DataFrame, k: int) -> bool:
+    """Whether there are fewer than ``k`` rows; counts no further than that."""
+    return rows.limit(k).count() < k
+
+
 def context(found: DataFrame, most_chars: int = 800) -> DataFrame:
     """One row with the labelled excerpts in rank order."""
     rank = F.row_number().over(W.orderBy(F.desc("relevance"), "distance", "chunk_id"))

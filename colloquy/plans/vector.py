@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import vectors as V
 from colloquy.operators import clustering as C
+from colloquy.operators import inverted as I
 from colloquy.operators import search as S
 from colloquy.plans.registry import query
 from colloquy.sources.tables import table
@@ -102,31 +103,42 @@ def x5(spark, d):
     return S.prune_satellites(embeddings(spark, d), 55)
 
 
-@query(
-    "j9_vector_join",
-    "SELECT q.vec_id AS q_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS sim FROM embeddings q, embeddings e WHERE q.vec_id < 20 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, e.vec_id) <= 3",
-)
-def j9(spark, d):
-    """A stated set of queries against all vectors: one scan, the queries as one row."""
-    e = embeddings(spark, d)
-    q = e.where("vec_id < 20").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("qs"))
-    sims = F.transform("qs", lambda q: F.struct(q["vec_id"].alias("q_id"), F.round(V.cosine(F.col("embedding"), q["embedding"]), 6).alias("sim")))
-    rows = e.join(F.broadcast(q)).select("vec_id", F.explode(sims).alias("s")).select("s.q_id", "vec_id", "s.sim")
-    from pyspark.sql import Window as W
-
-    return rows.withColumn("_r", F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("sim"), "vec_id"))).where("_r <= 3").drop("_r")
+J9 = "SELECT q.vec_id AS q_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS sim FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, e.vec_id) <= {0}"
 
 
-@query(
-    "j9_vector_join_whole",
-    "SELECT q.vec_id AS q_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS sim FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, e.vec_id) <= 3",
-)
-def j9_whole(spark, d):
+@query("j9_vector_join", J9.format(3))
+def j9(spark, d):
     """Every row whose id is divisible by 50 against all vectors, in blocks."""
     e = embeddings(spark, d).select("vec_id", "embedding")
     return S.nearest_vectors(e.where("vec_id % 50 = 0"), e, 3)
 
 
+@query("j9_inverted_file_exact", J9.format(10))
+def j9_inverted_exact(spark, d):
+    """The same by an inverted file: the nearest cells, then all others that may hold one as near."""
+    e = embeddings(spark, d).select("vec_id", "embedding")
+    return I.built(e).nearest(e.where("vec_id % 50 = 0"), 10, exact=True)
+
+
+@query("j9_inverted_file")
+def j9_inverted(spark, d):
+    """The same in the nearest cells alone; a test holds the recall against the whole scan."""
+    e = embeddings(spark, d).select("vec_id", "embedding")
+    return I.built(e).nearest(e.where("vec_id % 50 = 0"), 10)
+
+
+FILTERED = SIM.replace("vec_id = 0", "vec_id = 7")
+
+
+@query("o1_inverted_file_filtered", f"SELECT vec_id, round(greatest(0, least(1, {FILTERED})), 6) AS relevance FROM embeddings WHERE label % 4 = 1 AND vec_id % 200 < 3 ORDER BY 1 - {FILTERED}, vec_id LIMIT 500")
+def o1_inverted(spark, d):
+    """One request with filters so narrow that all cells are looked at."""
+    e = as_index(spark, d)
+    q = list(e.where("vec_id = 7").first()["embedding"])
+    found = I.built(e).search(q, 500, (F.col("source_type") == "type1") & (F.col("meeting_id") < 3))
+    return found.select("vec_id", F.round("relevance", 6).alias("relevance"))
+
+
 @query("x3_x4_x7_cluster_pipeline")
 def x7(spark, d):
     w = embeddings(spark, d).select(F.concat(F.lit("m"), (F.col("vec_id") % 5).cast("string")).alias("meeting_id"), F.col("vec_id").alias("idx"), "embedding")
