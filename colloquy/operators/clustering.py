@@ -112,21 +112,39 @@ def prune(x: np.ndarray, label: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
+class Online:
+    """Centroids that vectors join one after the other: the best one if it is similar enough (and is pulled), else a new one."""
+
+    def __init__(self, at_least: float = 0.8, pull: float = 0.2, centroids: np.ndarray | None = None):
+        self.at_least, self.pull, self.count = at_least, pull, 0 if centroids is None else len(centroids)
+        self.held = np.zeros((0, 0)) if centroids is None else centroids.copy()
+
+    @property
+    def centroids(self) -> np.ndarray:
+        return self.held[: self.count]
+
+    def take(self, v: np.ndarray) -> int:
+        """The label of the next (unit) vector."""
+        sims = (self.centroids * v).sum(1) if self.count else np.zeros(0)
+        if self.count and sims.max() >= self.at_least:
+            k = int(sims.argmax())
+            c = (1 - self.pull) * self.held[k] + self.pull * v
+            self.held[k] = c / (np.linalg.norm(c) or 1)
+            return k
+        if self.count == len(self.held):  # room for twice as many
+            grown = np.zeros((max(4, 2 * self.count), len(v)))
+            if self.count:
+                grown[: self.count] = self.centroids
+            self.held = grown
+        self.held[self.count] = v
+        self.count += 1
+        return self.count - 1
+
+
 def sequential(x: np.ndarray, at_least: float = 0.8, pull: float = 0.2) -> np.ndarray:
-    """Join the best centroid if it is similar enough (and pull it), else begin a new one."""
-    cents: list[np.ndarray] = []
-    label = np.zeros(len(x), int)
-    for i, v in enumerate(x):
-        sims = [float(c @ v) for c in cents]
-        if sims and max(sims) >= at_least:
-            k = int(np.argmax(sims))
-            c = (1 - pull) * cents[k] + pull * v
-            cents[k] = c / (np.linalg.norm(c) or 1)
-        else:
-            k = len(cents)
-            cents.append(v)
-        label[i] = k
-    return label
+    """Labels of the rows, taken one after the other."""
+    online = Online(at_least, pull)
+    return np.array([online.take(v) for v in x], int)
 
 
 def by_appearance(label: np.ndarray) -> np.ndarray:

@@ -187,21 +187,15 @@ def f15(spark, d):
     return c.select(F.concat_ws("__", F.col("conv_id").cast("string"), F.lit("transcript"), F.col("turn").cast("string")).alias("chunk_id"), F.sha2("text", 256).alias("content_hash"))
 
 
-@query("f33_date_parsing", "SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS iso, TRY_CAST(o_orderpriority AS TIMESTAMP) AS bad FROM orders WHERE o_orderkey < 200")
-def f33(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey < 200")
-    return o.select(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), F.try_to_timestamp("o_orderpriority").alias("bad"))
-
-
 #: ISO strings of all orders: naive, of another zone, of UTC, days alone; and what isn't a date.
 ISO_STRINGS = {0: "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')", 1: "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+02:00'", 2: "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || 'Z'", 3: "strftime(o_orderdate, '%Y-%m-%d')", 4: "o_orderpriority"}
 
 
 @query(
-    "f33_date_parsing_whole",
+    "f33_date_parsing",
     f"SELECT o_orderkey AS id, CASE o_orderkey % 5 {' '.join(f'WHEN {k} THEN {v}' for k, v in ISO_STRINGS.items())} END AS iso, CASE o_orderkey % 5 WHEN 1 THEN o_orderdate - INTERVAL 2 HOUR WHEN 3 THEN date_trunc('day', o_orderdate) WHEN 4 THEN NULL ELSE o_orderdate END AS parsed, o_orderkey % 5 = 4 AS bad FROM orders",
 )
-def f33_whole(spark, d):
+def f33(spark, d):
     """Strings of all orders are parsed; what has no zone is UTC."""
     k = F.col("o_orderkey") % 5
     day, time = F.date_format("o_orderdate", "yyyy-MM-dd"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
@@ -226,14 +220,36 @@ def sessions(spark, d):
     return E.sessions(table(spark, d, "events"), "30 minutes")
 
 
-@query("x_stream_tumbling_live", TUMBLING)
+#: Windows that the watermark has passed when all events are in.
+CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
+
+
+def live(spark, d):
+    """The events, in order, as a stream of four batches."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return E.staged(e, scratch(spark, "events"))
+
+
+@query("x_stream_tumbling_live", f"SELECT * FROM ({TUMBLING}) WHERE w_start + INTERVAL 1 HOUR <= {CLOSED}")
 def tumbling_live(spark, d):
-    """The same windows, read as a stream."""
-    out = E.settled(E.windowed(E.event_stream(spark, d), "1 hour"), scratch(spark, "stream"))
-    return out.withColumn("total", F.round("total", 4))
+    """The same windows, read as a stream and written once each."""
+    return E.appended(E.windowed(live(spark, d), "1 hour"), scratch(spark, "stream")).rows.withColumn("total", F.round("total", 4))
 
 
-@query("x_stream_sessions_live", SESSIONS)
+@query("x_stream_sessions_live", f"SELECT * FROM ({SESSIONS}) WHERE s_end <= {CLOSED}")
 def sessions_live(spark, d):
-    """The same sessions, read as a stream."""
-    return E.settled(E.sessions(E.event_stream(spark, d), "30 minutes"), scratch(spark, "stream"))
+    """The same sessions, read as a stream and written once each."""
+    return E.appended(E.sessions(live(spark, d), "30 minutes"), scratch(spark, "stream")).rows
+
+
+SLIDING = "SELECT w_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, unnest(range(time_bucket(INTERVAL '15 minutes', ts) - INTERVAL 45 MINUTE, ts + INTERVAL 1 MICROSECOND, INTERVAL 15 MINUTE)) AS w_start FROM events) GROUP BY 1, 2"
+
+
+@query("x_stream_sliding", SLIDING)
+def sliding(spark, d):
+    return E.windowed(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "1 hour", "15 minutes").withColumn("total", F.round("total", 4))
+
+
+@query("x_stream_sliding_live", f"SELECT * FROM ({SLIDING}) WHERE w_start + INTERVAL 1 HOUR <= {CLOSED}")
+def sliding_live(spark, d):
+    return E.appended(E.windowed(live(spark, d), "1 hour", "15 minutes"), scratch(spark, "stream")).rows.withColumn("total", F.round("total", 4))

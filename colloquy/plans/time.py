@@ -65,22 +65,24 @@ def w3(spark, d):
     return U.group_adjacent(segments(spark, d).withColumn("speaker", F.when(F.col("seg_no") % 5 < 2, "x").otherwise(F.col("speaker"))))
 
 
-FRAMES = "f AS (SELECT l_orderkey % 50 AS clip_id, (l_partkey % 997)::BIGINT AS frame, 997::BIGINT AS n_frames FROM lineitem WHERE l_quantity < 6 GROUP BY ALL)"
+#: Every line is a frame: a clip is 100 orders of 20 frames each, so clips grow with the table.
+FRAMES = "f AS (SELECT l_orderkey // 100 AS clip_id, ((l_orderkey % 100) * 20 + l_linenumber * 2)::BIGINT AS frame, 2000::BIGINT AS n_frames FROM lineitem GROUP BY ALL)"
 
 
-def speech_frames(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity < 6")
-    return li.select((F.col("l_orderkey") % 50).alias("clip_id"), (F.col("l_partkey") % 997).alias("frame"), F.lit(997).cast("long").alias("n_frames")).distinct()
+def all_speech_frames(spark, d):
+    order = F.col("l_orderkey")
+    frame = (order % 100 * 20 + F.col("l_linenumber") * 2).cast("long")
+    return table(spark, d, "lineitem").select(F.floor(order / 100).alias("clip_id"), frame.alias("frame"), F.lit(2000).cast("long").alias("n_frames")).distinct()
 
 
 VAD = f"""WITH {FRAMES}, g AS (SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY clip_id ORDER BY frame) <= 10 THEN 0 ELSE 1 END AS nw FROM f),
 i AS (SELECT *, sum(nw) OVER (PARTITION BY clip_id ORDER BY frame ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM g),
-v AS (SELECT clip_id, island, greatest(0, min(frame) - 10) AS first_frame, least(max(frame) + 10, 997) AS end_frame FROM i GROUP BY ALL)"""
+v AS (SELECT clip_id, island, greatest(0, min(frame) - 10) AS first_frame, least(max(frame) + 10, 2000) AS end_frame FROM i GROUP BY ALL)"""
 
 
 @query("w4_speech_islands", VAD + " SELECT * FROM v")
 def w4(spark, d):
-    return U.speech_islands(speech_frames(spark, d), 10)
+    return U.speech_islands(all_speech_frames(spark, d), 10)
 
 
 @query(
@@ -89,32 +91,6 @@ def w4(spark, d):
 SELECT clip_id, island, w_start, least(w_start + 20, end_frame) AS w_end FROM w""",
 )
 def w5(spark, d):
-    v = U.speech_islands(speech_frames(spark, d), 10).withColumnsRenamed({"first_frame": "start", "end_frame": "end"})
-    return U.sliding_windows(v, 20, 10).select("clip_id", "island", "w_start", "w_end")
-
-
-#: Every line is a frame: a clip is 100 orders of 20 frames each, so clips grow with the table.
-ALL_FRAMES = "f AS (SELECT l_orderkey // 100 AS clip_id, ((l_orderkey % 100) * 20 + l_linenumber * 2)::BIGINT AS frame, 2000::BIGINT AS n_frames FROM lineitem GROUP BY ALL)"
-ALL_VAD = VAD.replace(FRAMES, ALL_FRAMES).replace("997", "2000")
-
-
-def all_speech_frames(spark, d):
-    order = F.col("l_orderkey")
-    frame = (order % 100 * 20 + F.col("l_linenumber") * 2).cast("long")
-    return table(spark, d, "lineitem").select(F.floor(order / 100).alias("clip_id"), frame.alias("frame"), F.lit(2000).cast("long").alias("n_frames")).distinct()
-
-
-@query("w4_speech_islands_whole", ALL_VAD + " SELECT * FROM v")
-def w4_whole(spark, d):
-    return U.speech_islands(all_speech_frames(spark, d), 10)
-
-
-@query(
-    "w5_sliding_windows_whole",
-    ALL_VAD + """, w AS (SELECT clip_id, island, end_frame, unnest(CASE WHEN end_frame - first_frame <= 20 THEN [first_frame] ELSE range(first_frame, end_frame - 10, 10) END) AS w_start FROM v)
-SELECT clip_id, island, w_start, least(w_start + 20, end_frame) AS w_end FROM w""",
-)
-def w5_whole(spark, d):
     v = U.speech_islands(all_speech_frames(spark, d), 10).withColumnsRenamed({"first_frame": "start", "end_frame": "end"})
     return U.sliding_windows(v, 20, 10).select("clip_id", "island", "w_start", "w_end")
 
@@ -150,12 +126,6 @@ nr AS (SELECT r.meeting_id, r.seg_no, t.speaker, least(abs(r."start" - t."end"),
 QUALIFY row_number() OVER (PARTITION BY r.meeting_id, r.seg_no ORDER BY least(abs(r."start" - t."end"), abs(r."end" - t."start")), t.turn_no) = 1)"""
 
 
-@query("j3_nearest_speaker", NEAR.replace("NOT EXISTS (SELECT 1 FROM dom d WHERE d.meeting_id = s.meeting_id AND d.seg_no = s.seg_no)", "s.seg_no % 4 = 3") + " SELECT * FROM nr")
-def j3(spark, d):
-    s = segments(spark, d)
-    return U.nearest_speaker(s.where("seg_no % 4 = 3"), turns_of(s))
-
-
 #: Turns of half of the segments, so that there are segments without an overlap.
 SPARSE_NEAR = NEAR.replace("WHERE seg_no % 4 <> 3)", "WHERE seg_no % 4 < 2)")
 
@@ -164,8 +134,8 @@ def sparse_turns(seg):
     return turns_of(seg).where("turn_no % 4 < 2")
 
 
-@query("j3_nearest_speaker_whole", SPARSE_NEAR + " SELECT * FROM nr")
-def j3_whole(spark, d):
+@query("j3_nearest_speaker", SPARSE_NEAR + " SELECT * FROM nr")
+def j3(spark, d):
     """All segments without an overlap."""
     s = segments(spark, d)
     t = sparse_turns(s)

@@ -10,7 +10,10 @@ from colloquy.operators import clustering as C
 from colloquy.operators import inverted as I
 from colloquy.operators import search as S
 from colloquy.plans.registry import query
+from colloquy.sources.store import scratch
 from colloquy.sources.tables import table
+from colloquy.streaming import events as E
+from colloquy.streaming.speakers import clustered
 
 QV = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
 SIM = f"list_cosine_similarity(embedding::DOUBLE[], {QV})"
@@ -139,21 +142,38 @@ def o1_inverted(spark, d):
     return found.select("vec_id", F.round("relevance", 6).alias("relevance"))
 
 
+def meeting_windows(spark, d, rows: int):
+    """The vectors as windows of meetings of ``rows`` each, so meetings grow in number with the table."""
+    v = F.col("vec_id")
+    return embeddings(spark, d).select(F.floor(v / rows).cast("string").alias("meeting_id"), v.alias("idx"), F.timestamp_seconds(v + 1_700_000_000).alias("ts"), "embedding")
+
+
 @query("x3_x4_x7_cluster_pipeline")
 def x7(spark, d):
-    w = embeddings(spark, d).select(F.concat(F.lit("m"), (F.col("vec_id") % 5).cast("string")).alias("meeting_id"), F.col("vec_id").alias("idx"), "embedding")
-    return C.cluster_meetings(w)
+    return C.cluster_meetings(meeting_windows(spark, d, 100).select("meeting_id", "idx", "embedding"))
 
 
 @query("x6_sequential_clustering")
 def x6(spark, d):
-    w = embeddings(spark, d).select((F.col("vec_id") % 5).alias("meeting_id"), F.col("vec_id").alias("idx"), "embedding")
-
     def one(pdf):
         pdf = pdf.sort_values("idx")
-        return pdf[["meeting_id", "idx"]].assign(speaker_id=C.sequential(C.units(np.array(pdf["embedding"].tolist()))))
+        return pdf[["meeting_id", "idx"]].assign(speaker_id=C.sequential(C.units(np.array(pdf["embedding"].tolist(), float)), ONLINE))
+
+    return meeting_windows(spark, d, 100).drop("ts").groupBy("meeting_id").applyInPandas(one, "meeting_id string, idx long, speaker_id int")
+
+
+#: Random vectors are far apart: with the default threshold each would be a speaker.
+ONLINE = 0.15
+
 
-    return w.groupBy("meeting_id").applyInPandas(one, "meeting_id long, idx long, speaker_id int")
+@query("x6_stream_clustering")
+def x6_stream(spark, d):
+    """The same as a stream of four batches; a window long after all others moves the watermark past them. A test holds it against x6."""
+    w = meeting_windows(spark, d, 100).withColumn("embedding", V.unit(F.col("embedding")))
+    last = w.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"), F.lit("").alias("meeting_id"), F.lit(-1).cast("long").alias("idx"), F.lit(None).cast("array<double>").alias("embedding"))
+    stream = E.staged(w.unionByName(last.select(w.columns)).where("ts IS NOT NULL"), scratch(spark, "voice-windows"))
+    out = clustered(stream.where("embedding IS NOT NULL OR idx = -1").withColumn("embedding", F.coalesce("embedding", F.array().cast("array<double>"))), ONLINE)
+    return E.appended(out, scratch(spark, "speakers")).rows.where("idx >= 0")
 
 
 @query("p13_usable_vectors", "SELECT vec_id FROM embeddings WHERE list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0")

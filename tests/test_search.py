@@ -21,5 +21,5 @@ def test_small_blocks_equal_brute_force(spark):
 
 
 def test_every_fiftieth_vector_is_a_query(spark):
-    asked = {r.q_id for r in registry.QUERIES["j9_vector_join_whole"](spark, SF).collect()}
+    asked = {r.q_id for r in registry.QUERIES["j9_vector_join"](spark, SF).collect()}
     assert asked == {r.vec_id for r in table(spark, SF, "embeddings").where("vec_id % 50 = 0").collect()}
