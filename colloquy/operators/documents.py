@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -135,8 +134,12 @@ def not_indexed(chunks: DataFrame, index: DataFrame) -> DataFrame:
     return chunks.join(index.select("meeting_id", "content_hash").distinct(), ["meeting_id", "content_hash"], "left_anti")
 
 
-def upsert(index: DataFrame, fresh: DataFrame, key: str = "chunk_id") -> DataFrame:
-    return index.join(fresh.select(key), key, "left_anti").unionByName(fresh)
+def upsert(index: DataFrame, fresh: DataFrame, key: str = "chunk_id", order: str | None = None) -> DataFrame:
+    """``index`` with the ``fresh`` rows in place of those of their keys; of fresh rows with one key the last by ``order`` stays, else that of the greatest hash."""
+    rest = F.xxhash64(*[c for c, t in fresh.dtypes if not t.startswith("map")])
+    rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc(order) if order else F.desc(rest), F.desc(rest)))
+    once = fresh.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    return index.join(once.select(key), key, "left_anti").unionByName(once)
 
 
 def delete_meeting(index: DataFrame, meeting_id: str) -> DataFrame:
@@ -279,50 +282,72 @@ def summary(docs: DataFrame, topics: dict[str, list[str]] = MEETING_TOPICS, key:
     )
 
 
-def edit_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
-    """(substitutions, deletions, insertions) of a shortest word edit script.
+#: Cells of a diagonal that are computed together.
+EDIT_CELLS = 1 << 19
 
-    Cells of one antidiagonal depend on the two before it alone, so each is one numpy
-    step and memory is a few rows. Of equally short scripts the one that keeps or
-    replaces is preferred, then the one that deletes, then the one that inserts.
+
+def edit_counts(refs: pa.ListArray, hyps: pa.ListArray) -> np.ndarray:
+    """(pairs, 3) substitutions, deletions and insertions of a shortest word edit script of each pair.
+
+    Pairs of like length are one program: the cells of one antidiagonal depend on the
+    two before it alone, so all pairs' diagonals are one numpy step. What is padded
+    lies beyond a pair's last cell and is never looked at. Of equally short scripts the
+    one that keeps or replaces is preferred, then the one that deletes, then the one that inserts.
     """
-    n, m = len(ref), len(hyp)
-    names = {w: i for i, w in enumerate(dict.fromkeys([*ref, *hyp]))}
-    a, b = np.array([names[w] for w in ref], int), np.array([names[w] for w in hyp], int)
-    far = np.iinfo(np.int64).max // 2
+    n, m = (x.value_lengths().to_numpy().astype(np.int64) for x in (refs, hyps))
+    codes = pa.chunked_array([refs.flatten(), hyps.flatten()]).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.cumsum(n) - n, n.sum() + np.cumsum(m) - m
+    out, order = np.zeros((len(n), 3), np.int64), np.lexsort((m, n))
+    at = 0
+    while at < len(order):
+        high = n[order[at:]] + 1  # ascending: the last of a slice is its widest
+        fits = np.flatnonzero(high * np.arange(1, len(high) + 1) > EDIT_CELLS)
+        end = at + max(1, fits[0] if len(fits) else len(high))
+        some = order[at:end]
+        padded = [np.where(np.arange(max(1, k[some].max())) < k[some, None], codes[np.minimum(s[some, None] + np.arange(max(1, k[some].max())), len(codes) - 1)] if len(codes) else 0, -1) for k, s in zip((n, m), starts, strict=True)]
+        out[some] = edit_diagonals(*padded, n[some], m[some])
+        at = end
+    return out
+
+
+def edit_diagonals(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Edit counts of rows of word numbers ``a`` and ``b``, padded beyond the lengths ``n`` and ``m``."""
+    pairs, wide, tall = len(n), int(n.max()), int(m.max())
+    far = np.iinfo(np.int32).max // 2
     # rows: cost, substitutions, deletions, insertions; column i: the cell of i reference words on the diagonal
-    before, last = np.full((4, n + 1), far), np.full((4, n + 1), far)
-    last[:, 0] = 0
-    for d in range(1, n + m + 1):
-        now = np.full((4, n + 1), far)
-        low, high = max(0, d - m), min(n, d)
-        i = np.arange(low, high + 1)
-        if low == 0:  # no reference word: all inserted
-            now[:, 0] = (d, 0, 0, d)
-        if high == d:  # no word of the other: all deleted
-            now[:, d] = (d, 0, d, 0)
-        i = i[(i > 0) & (i < d)]
-        if len(i):
-            differ = (a[i - 1] != b[d - i - 1]).astype(np.int64)
-            keep, gone, new = before[:, i - 1].copy(), last[:, i - 1].copy(), last[:, i].copy()
-            keep[0] += differ
-            keep[1] += differ
+    before, last = np.full((4, pairs, wide + 1), far, np.int32), np.full((4, pairs, wide + 1), far, np.int32)
+    last[:, :, 0] = 0
+    out = np.zeros((pairs, 3), np.int64)
+    total = n + m
+    for d in range(1, wide + tall + 1):
+        now = np.full((4, pairs, wide + 1), far, np.int32)
+        if d <= tall:  # no reference word: all inserted
+            now[:, :, 0] = np.array([d, 0, 0, d])[:, None]
+        if d <= wide:  # no word of the other: all deleted
+            now[:, :, d] = np.array([d, 0, d, 0])[:, None]
+        low, high = max(1, d - tall), min(wide, d - 1)
+        if low <= high:
+            i = np.arange(low, high + 1)
+            differ = (a[:, i - 1] != b[:, d - i - 1]).astype(np.int32)
+            keep, gone, new = before[:, :, low - 1 : high].copy(), last[:, :, low - 1 : high].copy(), last[:, :, low : high + 1].copy()
+            keep[:2] += differ
             gone[[0, 2]] += 1
             new[[0, 3]] += 1
-            best = np.where(keep[0] <= np.minimum(gone[0], new[0]), keep, np.where(gone[0] <= new[0], gone, new))
-            now[:, i] = best
+            now[:, :, low : high + 1] = np.where(keep[0] <= np.minimum(gone[0], new[0]), keep, np.where(gone[0] <= new[0], gone, new))
+        ended = np.flatnonzero(total == d)
+        out[ended] = now[1:, ended, n[ended]].T
         before, last = last, now
-    return tuple(int(x) for x in last[1:, n])
+    return out
 
 
 def edit_struct(ref: Column, hyp: Column) -> Column:
     """(s, d, i) for two arrays of words, in Arrow batches."""
 
-    def task(refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
-        rows = [edit_counts(list(r), list(h)) for r, h in zip(refs, hyps, strict=True)]
-        return pd.DataFrame(rows, columns=["s", "d", "i"])
+    def task(refs: pa.Array, hyps: pa.Array) -> pa.Array:
+        found = edit_counts(refs, hyps).astype(np.int32)
+        return pa.StructArray.from_arrays([pa.array(found[:, k]) for k in range(3)], names=["s", "d", "i"])
 
-    return F.pandas_udf(task, "s int, d int, i int")(ref, hyp)
+    return F.arrow_udf(task, "s int, d int, i int")(ref, hyp)
 
 
 def word_error_rate(pairs: DataFrame, ref: str = "reference", hyp: str = "hypothesis", passes: float = 90.0, normal: bool = True) -> DataFrame:
@@ -332,7 +357,7 @@ def word_error_rate(pairs: DataFrame, ref: str = "reference", hyp: str = "hypoth
     """
     fold = T.transcript_normal if normal else F.lower
     r, h = (T.words(fold(F.coalesce(F.col(c), F.lit("")))) for c in (ref, hyp))
-    p = pairs.withColumn("_r", r).withColumn("_h", h).withColumn("ref_words", F.size("_r")).withColumn("hyp_words", F.size("_h"))
+    p = spread(pairs).withColumn("_r", r).withColumn("_h", h).withColumn("ref_words", F.size("_r")).withColumn("hyp_words", F.size("_h"))
     p = p.withColumn("_e", edit_struct(F.col("_r"), F.col("_h")))
     p = p.withColumn("substitutions", F.col("_e.s")).withColumn("deletions", F.col("_e.d")).withColumn("insertions", F.col("_e.i")).withColumn("edits", F.col("_e.s") + F.col("_e.d") + F.col("_e.i"))
     wer = F.when((F.col("ref_words") == 0) & (F.col("hyp_words") == 0), 0.0).when(F.col("ref_words") == 0, 1.0).otherwise(F.col("edits") / F.col("ref_words"))
@@ -356,3 +381,8 @@ def evaluation(runs: DataFrame, model: str = "base") -> DataFrame:
         ok(F.col("wer"), 1.0).alias("wer"), ok(F.col("accuracy"), 0.0).alias("accuracy_pct"), verdict.alias("pass_fail"),
         F.when(F.col("_bad"), F.coalesce("error", F.lit("no transcript"))).otherwise("").alias("notes"),
     )
+
+
+def rollup(evaluated: DataFrame) -> DataFrame:
+    """Runs, passed runs and the mean accuracy of all runs of an evaluation."""
+    return evaluated.agg(F.count("*").alias("n"), F.count_if(F.col("pass_fail") == "PASS").alias("n_passed"), F.round(F.avg("accuracy_pct"), 3).alias("mean_accuracy"))

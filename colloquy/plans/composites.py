@@ -72,13 +72,22 @@ def part_pairs(spark, d):
     return p.join(b, "p_partkey").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"), F.concat("p_name", F.lit(" "), "p_type").alias("reference"), said.alias("hypothesis"))
 
 
+#: A cell holds its counts in one number: cost, substitutions, deletions, insertions, three digits each. Cells are filled row by row.
+EDITS = f"""{PART_PAIRS.replace('wp AS', 'wp AS MATERIALIZED')},
+cell AS (SELECT id, r, h, 0 AS x, [0::BIGINT] AS c FROM wp UNION ALL
+  SELECT id, r, h, x + 1, list_append(c, CASE WHEN i = 0 THEN ins WHEN j = 0 THEN del WHEN keep // 1000000000 <= least(del // 1000000000, ins // 1000000000) THEN keep WHEN del // 1000000000 <= ins // 1000000000 THEN del ELSE ins END)
+  FROM (SELECT *, c[x + 1] + 1000000001 AS ins, CASE WHEN i > 0 THEN c[x + 1 - len(h)] + 1000001000 END AS del, CASE WHEN i > 0 AND j > 0 THEN c[x - len(h)] + CASE WHEN r[i] = h[j] THEN 0 ELSE 1001000000 END END AS keep
+    FROM (SELECT *, ((x + 1) // (len(h) + 1))::INT AS i, ((x + 1) % (len(h) + 1))::INT AS j FROM cell WHERE x + 1 < (len(r) + 1) * (len(h) + 1)))),
+done AS (SELECT id, c[-1] AS e FROM cell WHERE x + 1 = (len(r) + 1) * (len(h) + 1))"""
+
+
 @query(
     "f21_word_errors_of_parts",
-    f"WITH {PART_PAIRS} SELECT id, len(r)::INT AS ref_words, len(h)::INT AS hyp_words, edits::INT AS edits, (len(r) - len(h))::INT AS net, round_even(w, 4) AS wer, round_even(greatest(0, (1 - w) * 100), 2) AS accuracy, (1 - w) * 100 >= 90 AS passed FROM we",
+    f"WITH RECURSIVE {EDITS} SELECT id, len(r)::INT AS ref_words, len(h)::INT AS hyp_words, edits::INT AS edits, (e // 1000000 % 1000)::INT AS substitutions, (e // 1000 % 1000)::INT AS deletions, (e % 1000)::INT AS insertions, round_even(w, 4) AS wer, round_even(greatest(0, (1 - w) * 100), 2) AS accuracy, (1 - w) * 100 >= 90 AS passed FROM we JOIN done USING (id)",
 )
 def f21_parts(spark, d):
-    """Substitutions, deletions and insertions aren't unique; their sum and deletions less insertions are."""
-    return D.word_error_rate(part_pairs(spark, d)).select("id", "ref_words", "hyp_words", "edits", (F.col("deletions") - F.col("insertions")).alias("net"), "wer", "accuracy", "passed")
+    """All three counts, by the rule of ties that ``edit_counts`` states."""
+    return D.word_error_rate(part_pairs(spark, d)).select("id", "ref_words", "hyp_words", "edits", "substitutions", "deletions", "insertions", "wer", "accuracy", "passed")
 
 
 @query(
@@ -97,11 +106,25 @@ CASE WHEN size % 7 = 0 THEN 'ERROR' WHEN (1 - w) * 100 >= 90 THEN 'PASS' ELSE 'F
 )
 def x20_csv(spark, d):
     """Evaluation rows, failed runs among them, written as CSV with a header and read back."""
+    return evaluated(spark, d).select("recording", "wer", "accuracy_pct", "pass_fail", F.coalesce("notes", F.lit("")).alias("notes"), "ref_words")
+
+
+@query(
+    "x20_a11_evaluation_rollup",
+    f"""WITH {PART_PAIRS}, v AS (SELECT CASE WHEN size % 7 = 0 THEN 'ERROR' WHEN (1 - w) * 100 >= 90 THEN 'PASS' ELSE 'FAIL' END AS pass_fail, CASE WHEN size % 7 = 0 THEN 0.0 ELSE round_even(greatest(0, (1 - w) * 100), 2) END AS accuracy FROM we)
+SELECT count(*) AS n, count(*) FILTER (pass_fail = 'PASS') AS n_passed, round(avg(accuracy), 3) AS mean_accuracy FROM v""",
+)
+def x20_rollup(spark, d):
+    """Runs, passed runs and mean accuracy of the evaluation's CSV, failed runs counted in."""
+    return D.rollup(evaluated(spark, d))
+
+
+def evaluated(spark, d):
     failed = F.col("size") % 7 == 0
     runs = part_pairs(spark, d).select(F.concat(F.lit("rec"), F.col("id").cast("string")).alias("recording"), (F.col("price") / 10).alias("duration_sec"), "reference", F.when(~failed, F.col("hypothesis")).alias("hypothesis"), F.when(failed, "no audio").alias("error"))
     folder = store.scratch(spark, "evaluation")
     store.write_evaluation(D.evaluation(runs), folder)
-    return store.read_evaluation(spark, folder).select("recording", "wer", "accuracy_pct", "pass_fail", F.coalesce("notes", F.lit("")).alias("notes"), "ref_words")
+    return store.read_evaluation(spark, folder)
 
 
 @query("k5_s14_transcript_files", "SELECT 'conv' || conv_id || '_20240101_transcript.txt' AS name, sha256(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS body_hash FROM conversations GROUP BY conv_id")

@@ -206,9 +206,3 @@ PAIRS = [
 )
 def f21(spark, d):
     return D.word_error_rate(spark.createDataFrame(PAIRS, "id int, reference string, hypothesis string")).select("id", "edits", "wer", "accuracy", "passed")
-
-
-@query("x20_a11_evaluation_rollup", "SELECT 8::BIGINT AS n, 2::BIGINT AS n_passed, 55.416::DOUBLE AS mean_accuracy")
-def x20(spark, d):
-    w = D.word_error_rate(spark.createDataFrame(PAIRS, "id int, reference string, hypothesis string"))
-    return w.agg(F.count("*").alias("n"), F.count_if("passed").alias("n_passed"), F.round(F.avg("accuracy"), 3).alias("mean_accuracy"))

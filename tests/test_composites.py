@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,7 +159,7 @@ def test_embedding_chunks_equal_the_sequential_rule(spark):
     assert max(len(r.c) for r in got) > 5
 
 
-def test_word_edits_equal_brute_force():
+def test_word_edits_equal_brute_force(monkeypatch):
     rng = np.random.default_rng(2)
 
     def distance(a, b):
@@ -169,11 +170,35 @@ def test_word_edits_equal_brute_force():
                 last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
         return row[-1]
 
-    for _ in range(300):
-        a, b = (["abcd"[i] for i in rng.integers(0, 4, rng.integers(0, 12))] for _ in "ab")
-        s, d, i = D.edit_counts(a, b)
-        assert s + d + i == distance(a, b) and d - i == len(a) - len(b) and min(s, d, i) >= 0
-    assert D.edit_counts(list("abc"), list("axc")) == (1, 0, 0) and D.edit_counts([], list("ab")) == (0, 0, 2) and D.edit_counts(list("ab"), []) == (0, 2, 0)
+    def script(a, b):
+        """One pair, cell by cell, with the rule of ties."""
+        cells = {(0, 0): (0, 0, 0, 0)}
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                ways = []
+                if i and j:
+                    c, s, d, n = cells[i - 1, j - 1]
+                    ways.append((c, s, d, n) if a[i - 1] == b[j - 1] else (c + 1, s + 1, d, n))
+                if i:
+                    c, s, d, n = cells[i - 1, j]
+                    ways.append((c + 1, s, d + 1, n))
+                if j:
+                    c, s, d, n = cells[i, j - 1]
+                    ways.append((c + 1, s, d, n + 1))
+                if ways:
+                    cells[i, j] = min(ways, key=lambda w: w[0])  # the first of equals
+        return cells[len(a), len(b)][1:]
+
+    pairs = [tuple(["abcd"[i] for i in rng.integers(0, 4, rng.integers(0, 12))] for _ in "ab") for _ in range(300)]
+    pairs += [([], []), (list("abc"), list("axc")), ([], list("ab")), (list("ab"), []), (["x"] * 300, ["y"] * 5), (["é", "日本"] * 40, ["日本"] * 60)]
+    lists = [pa.array([p[k] for p in pairs], pa.list_(pa.string())) for k in (0, 1)]
+    for cells in (1, 50, 1 << 19):
+        monkeypatch.setattr(D, "EDIT_CELLS", cells)
+        got = D.edit_counts(*lists)
+        for (a, b), found in zip(pairs, got.tolist(), strict=True):
+            assert tuple(found) == script(a, b) and sum(found) == distance(a, b)
+    assert D.edit_counts(lists[0].slice(3, 0), lists[1].slice(3, 0)).shape == (0, 3)
+    assert D.edit_counts(lists[0].slice(5, 9), lists[1].slice(5, 9)).tolist() == got[5:14].tolist()
 
 
 def test_speakers_words_out_of_a_transcript(spark):
