@@ -26,19 +26,24 @@ RECORD = (
 )
 
 
+def stripped(text: Column) -> Column:
+    """Without the white space of any kind around it."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def normal_name(name: Column) -> Column:
-    bare = F.regexp_replace(F.trim(name), "^[:\"',\\-]+|[:\"',\\-]+$", "")
-    bare = F.trim(F.regexp_replace(bare, rf"(?i)\s*\((?:{BADGES})\)", ""))
-    speaker = F.regexp_extract(bare, r"(?i)^Speaker\s+(\d+|[A-Z]):?", 1)
+    bare = F.regexp_replace(stripped(name), "^[:\"',\\-]+|[:\"',\\-]+$", "")
+    bare = stripped(F.regexp_replace(bare, rf"(?iU)\s*\((?:{BADGES})\)", ""))
+    speaker = F.regexp_extract(bare, r"(?iU)^Speaker\s+(\d+|[A-Z]):?", 1)
 
     def cased(w: Column) -> Column:
         short = (F.length(w) == 1) | ((F.length(w) == 2) & w.endswith("."))
         acronym = (F.upper(w) == w) & (F.lower(w) != w) & (F.length(w) <= 3)
         return F.when(short, F.upper(w)).when(acronym, w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2)))))
 
-    joined = F.array_join(F.transform(F.filter(F.split(bare, r"\s+"), lambda w: w != ""), cased), " ")
+    joined = F.array_join(F.transform(F.filter(F.split(bare, r"(?U)\s+"), lambda w: w != ""), cased), " ")
     known = F.when(speaker != "", F.concat(F.lit("Speaker "), speaker)).when(joined == "", "Unknown").otherwise(joined)
-    return F.when(F.trim(F.coalesce(name, F.lit(""))) == "", "Unknown").otherwise(known)
+    return F.when(stripped(F.coalesce(name, F.lit(""))) == "", "Unknown").otherwise(known)
 
 
 def distinct_names(names: DataFrame, by: str = "meeting_id") -> DataFrame:
@@ -68,6 +73,25 @@ def reconcile(names: DataFrame, assignees: DataFrame, by: str = "meeting_id") ->
     return j.withColumn("every", full).select(by, F.posexplode("every").alias("pos", "name"), F.size("known").alias("n")).select(by, "name", (F.col("pos") >= F.col("n")).alias("is_unknown_assignee"))
 
 
+def looked_up_roles(names: DataFrame, roles: DataFrame) -> DataFrame:
+    """``names`` (name, ...) with ``role``: that of the name, else that of the name without colons around it, else the default.
+
+    ``roles`` (name, role) has each name once.
+    """
+    r = roles.select(F.col("name").alias("_as_is"), F.col("role").alias("_role"))
+    bare = roles.select(F.col("name").alias("_bare"), F.col("role").alias("_bare_role"))
+    j = names.join(r, F.col("name") == F.col("_as_is"), "left").join(bare, F.regexp_replace("name", "^:+|:+$", "") == F.col("_bare"), "left")
+    return j.withColumn("role", F.coalesce("_role", "_bare_role", F.lit(NO_ROLE))).drop("_as_is", "_role", "_bare", "_bare_role")
+
+
+def everybody(spoke: DataFrame, listed: DataFrame, by: str = "meeting_id") -> DataFrame:
+    """(by, names): those who ``spoke`` (by, pos, name) in order, then those ``listed`` (by, pos, name) who didn't, each once."""
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda s: s["name"])
+    j = spoke.groupBy(by).agg(in_order.alias("_a")).join(listed.groupBy(by).agg(in_order.alias("_b")), by, "full")
+    none = F.array().cast("array<string>")
+    return j.select(by, F.array_union(F.coalesce("_a", none), F.coalesce("_b", none)).alias("names"))
+
+
 def role_of(spoken: Column) -> Column:
     """Role by the first keyword set with a substring in what the speaker said."""
     low = F.lower(spoken)

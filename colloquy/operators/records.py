@@ -85,3 +85,13 @@ def spoken_by(transcript: Column, speaker: Column) -> Column:
     name = F.regexp_replace(speaker, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
     rule = F.concat(F.lit(r"(?is)(?:^|\n)\s*"), name, F.lit(r"\s*:\s*(.+?)(?=(?:\n\s*\S+\s*:)|\z)"))
     return F.lower(F.array_join(F.regexp_extract_all(transcript, rule, 1), " "))
+
+
+def decoded_list(column: Column) -> Column:
+    """The strings of a JSON array column; null, blank and what isn't an array are an empty list."""
+    return F.coalesce(F.from_json(F.nullif(F.trim(column), F.lit("")), "array<string>"), F.array().cast("array<string>"))
+
+
+def encoded_list(strings: Column) -> Column:
+    """The JSON array of a list of strings; null is an empty one."""
+    return F.to_json(F.coalesce(strings, F.array().cast("array<string>")))

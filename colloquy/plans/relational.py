@@ -6,10 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colloquy.operators import documents as D
-from colloquy.operators import people as P
 from colloquy.plans.registry import query
 from colloquy.sources.store import scratch
-from colloquy.sources.tables import recording_pairs, table
+from colloquy.sources.tables import table
 from colloquy.streaming import events as E
 
 CHILDREN = """
@@ -53,14 +52,6 @@ def s6(spark, d):
     return table(spark, d, "lineitem").where("l_orderkey = 7").select(F.col("l_orderkey").alias("meeting_id"), F.col("l_linenumber").alias("item_no"), F.col("l_quantity").alias("quantity"))
 
 
-NAMES = [("a.wav",), ("a.txt",), ("b.MP3",), ("b.txt",), ("c.wav",), (".d.wav",), (".d.txt",), ("e.txt",)]
-
-
-@query("s8_j11_recording_pairs", "SELECT * FROM (VALUES ('a', 'a.wav', 'a.txt'), ('b', 'b.MP3', 'b.txt')) t(stem, recording, reference)")
-def s8(spark, d):
-    return recording_pairs(spark.createDataFrame(NAMES, "name string"), [".wav", ".mp3"], [".txt"])
-
-
 @query("s11_indexed_hashes", "SELECT DISTINCT sha256(text) AS content_hash FROM documents WHERE lang = 'fr'")
 def s11(spark, d):
     return table(spark, d, "documents").where("lang = 'fr'").select(F.sha2("text", 256).alias("content_hash")).distinct()
@@ -72,23 +63,6 @@ def s12(spark, d):
     return n.withColumn("total", F.sum("n").over(W.partitionBy(F.lit(0))))
 
 
-FILES = [
-    ("a.mp4", 2048, '{"streams":[{"codec_type":"video"},{"codec_type":"audio"}]}'), ("b.WAV", 1024, '{"streams":[{"codec_type":"audio"}]}'),
-    ("c", 2048, "{}"), ("d.exe", 2048, "{}"), ("e.mp3", 10, "{}"), ("f.mp3", 525336576, "{}"), ("g.mkv", 4096, '{"streams":[]}'),
-    ("h.mov", 4096, '{"streams":[{"codec_type":"video"}]}'), ("i.mov", 524288000, '{"streams":[{"codec_type":"audio"}]}'), ("j.ogg", 4096, "not json"),
-]
-
-
-@query(
-    "p1_s13_media_checks",
-    "SELECT * FROM (VALUES ('a.mp4', 'ok'), ('b.WAV', 'ok'), ('c', 'no suffix'), ('d.exe', 'unsupported suffix'), ('e.mp3', 'too small'), ('f.mp3', 'too large'),"
-    " ('g.mkv', 'no streams'), ('h.mov', 'no audio'), ('i.mov', 'ok'), ('j.ogg', 'no streams')) t(name, problem)",
-)
-def p1(spark, d):
-    f = spark.createDataFrame(FILES, "name string, size long, probe string")
-    return f.select("name", F.coalesce(P.file_problem(F.col("name"), F.col("size"), F.col("probe")), F.lit("ok")).alias("problem"))
-
-
 @query("p9_metadata_filters", "SELECT doc_id FROM documents WHERE lang = 'en' AND source = 'src3'")
 def p9(spark, d):
     return table(spark, d, "documents").where((F.col("lang") == "en") & (F.col("source") == "src3")).select("doc_id")
@@ -102,23 +76,11 @@ def p11(spark, d):
 
 @query(
     "j5_result_lookup",
-    "SELECT l_orderkey, l_linenumber, o_orderdate AS created_at FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity > 49",
+    "SELECT l_orderkey, l_linenumber, o_orderdate AS created_at FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey",
 )
 def j5(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").alias("created_at"))
-    return table(spark, d, "lineitem").where("l_quantity > 49").join(o, "l_orderkey", "left").select("l_orderkey", "l_linenumber", "created_at")
-
-
-ROLE_NAMES = [("Ann:",), ("Ben",), ("Cy",)]
-
-
-@query("j12_role_lookup", "SELECT * FROM (VALUES ('Ann:', 'Lead'), ('Ben', 'PM'), ('Cy', 'Team Member / Coworker')) t(name, role)")
-def j12(spark, d):
-    roles = spark.createDataFrame([("Ann", "Lead"), ("Ben", "PM")], "k string, role string")
-    n = spark.createDataFrame(ROLE_NAMES, "name string")
-    bare = roles.select(F.col("k").alias("k2"), F.col("role").alias("role2"))
-    j = n.join(roles, n.name == roles.k, "left").join(bare, F.replace(n.name, F.lit(":"), F.lit("")) == F.col("k2"), "left")
-    return j.select("name", F.coalesce("role", "role2", F.lit(P.NO_ROLE)).alias("role"))
+    return table(spark, d, "lineitem").join(o, "l_orderkey", "left").select("l_orderkey", "l_linenumber", "created_at")
 
 
 @query("a10_child_counts", "SELECT o_orderkey AS id, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
@@ -164,9 +126,11 @@ def k2(spark, d):
     return D.upsert(ids.withColumn("version", F.lit(0)), ids.where("doc_id < 100").withColumn("version", F.lit(1)), "doc_id")
 
 
-@query("k3_delete_meeting", "SELECT l_orderkey AS meeting_id, l_linenumber FROM lineitem WHERE l_orderkey <> 3")
+@query("k3_delete_meeting", "SELECT l_orderkey AS meeting_id, l_linenumber, (SELECT count(*) FROM lineitem WHERE l_orderkey = 3) AS deleted FROM lineitem WHERE l_orderkey <> 3")
 def k3(spark, d):
-    return D.delete_meeting(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("meeting_id"), "l_linenumber"), 3)
+    """What is left, beside the number of rows that went (``k2_k3_vector_table`` does it to a stored table)."""
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("meeting_id"), "l_linenumber")
+    return D.delete_meeting(rows, 3).join(F.broadcast(rows.where("meeting_id = 3").agg(F.count("*").alias("deleted"))))
 
 
 @query("k7_item_table", "SELECT rpad(p_name, (SELECT max(length(p_name)) FROM part)::INT, ' ') || ' | ' || p_brand AS line FROM part")

@@ -22,12 +22,6 @@ SWORDS = rf"list_filter({LETTERS.format('sentence')}, lambda w: length(w) > 2 AN
 # Keyword sets with words of the test corpus, so that topics have members.
 TOPICS = {"First": ["the", "that", "this"], "Second": ["and", "for", "with"], "Third": ["que", "les", "der", "las"]}
 
-LINES = [
-    (0, "Hello everyone, how are you doing today?"), (1, "ok"), (2, "We will prepare the budget report by Friday"), (3, "Can you hear me?"),
-    (4, "the client review is due on Monday morning."), (5, "Thanks"), (6, "She must send the design within 3 days."), (7, "will do"), (8, "Good progress was made on the database"),
-]
-
-
 def docs(spark, d):
     return table(spark, d, "documents").select("doc_id", "text")
 
@@ -48,16 +42,6 @@ def p2(spark, d):
     return docs(spark, d).select("doc_id", F.when(F.trim(t) == "", "blank").when(T.n_words(t) < 3, "too short").when(T.tokens_by_words(t) > 2000, "too long").otherwise("ok").alias("verdict"))
 
 
-@query(
-    "p5_p8_sentence_predicates",
-    "SELECT * FROM (VALUES (0, true, false, false, false), (1, false, false, false, false), (2, false, true, true, true), (3, true, false, false, false), (4, false, true, true, true),"
-    " (5, true, false, false, false), (6, false, true, true, true), (7, false, false, false, false), (8, false, true, false, false)) t(id, small_talk, substantive, action, deadline)",
-)
-def p5(spark, d):
-    s = F.col("s")
-    return spark.createDataFrame(LINES, "id int, s string").select("id", T.is_small_talk(s).alias("small_talk"), T.is_substantive(s).alias("substantive"), T.is_action(s).alias("action"), T.has_deadline(s).alias("deadline"))
-
-
 @query("f7_f8_sentences", f"WITH {SENTS} SELECT doc_id, pos, {CLEAN.format('sentence')} AS clean FROM sents")
 def f7(spark, d):
     return D.sentence_rows(docs(spark, d), substantive=False).select("doc_id", "pos", T.clean_sentence(F.col("sentence")).alias("clean"))
@@ -194,15 +178,20 @@ def x11(spark, d):
     return D.index_counts(c, c.where("doc_id < 500"))
 
 
-PAIRS = [
-    (1, "the quick brown fox jumps over dogs", "The quick, brown fox jumps over dogs!"), (2, "one two three four five", "one two six four five"), (3, "one two three four five six", "one two three four five"),
-    (4, "one two three four five", "one two three four five six"), (6, "", "some words"), (7, "", ""), (8, "three little words", ""), (9, "a b c d e f g h i", "z y x w v u t s r"),
-]
+#: Empty texts on either side, equal ones, and ones that differ in a word or two.
+EDGES = "SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_name || ', ' || p_type END AS r, CASE WHEN p_partkey % 3 = 0 THEN ' ' WHEN p_partkey % 7 = 0 THEN p_name ELSE upper(p_name) || ' ' || p_type || '!' END AS h FROM part"
 
 
 @query(
     "f21_f22_word_error_rate",
-    "SELECT * FROM (VALUES (1, 0, 0.0::DOUBLE, 100.0::DOUBLE, true), (2, 1, 0.2, 80.0, false), (3, 1, 0.1667, 83.33, false), (4, 1, 0.2, 80.0, false), (6, 2, 1.0, 0.0, false), (7, 0, 0.0, 100.0, true), (8, 3, 1.0, 0.0, false), (9, 9, 1.0, 0.0, false)) t(id, edits, wer, accuracy, passed)",
+    f"""WITH e AS ({EDGES}), w AS (SELECT id, CASE WHEN trim(r) = '' THEN 0 ELSE 3 END AS rn, CASE WHEN trim(h) = '' THEN 0 WHEN id % 7 = 0 THEN 2 ELSE 3 END AS hn FROM e),
+x AS (SELECT *, abs(rn - hn) AS edits, CASE WHEN rn = 0 AND hn = 0 THEN 0 WHEN rn = 0 THEN 1 ELSE abs(rn - hn) / rn END AS w FROM w)
+SELECT id, edits::INT AS edits, round_even(w, 4) AS wer, round_even(greatest(0, (1 - w) * 100), 2) AS accuracy, (1 - w) * 100 >= 90 AS passed FROM x""",
 )
 def f21(spark, d):
-    return D.word_error_rate(spark.createDataFrame(PAIRS, "id int, reference string, hypothesis string")).select("id", "edits", "wer", "accuracy", "passed")
+    """The edges of the word error rate: nothing on either side or on one, and equality but for case and marks."""
+    k, name, kind = F.col("p_partkey"), F.col("p_name"), F.col("p_type")
+    ref = F.when(k % 5 == 0, "").otherwise(F.concat(name, F.lit(", "), kind))
+    hyp = F.when(k % 3 == 0, " ").when(k % 7 == 0, name).otherwise(F.concat(F.upper(name), F.lit(" "), kind, F.lit("!")))
+    pairs = table(spark, d, "part").select(k.alias("id"), ref.alias("reference"), hyp.alias("hypothesis"))
+    return D.word_error_rate(pairs).select("id", "edits", "wer", "accuracy", "passed")

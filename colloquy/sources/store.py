@@ -96,8 +96,8 @@ def read_evaluation(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.option("header", True).schema(EVALUATION).csv(folder)
 
 
-def write_transcripts(rows: DataFrame, folder: str, stamp: str) -> None:
-    """A file ``{stem}_{stamp}_transcript.txt`` for each row (stem, body), written by the executors.
+def write_files(rows: DataFrame, folder: str) -> None:
+    """A file of each row (name, content: binary), written by the executors.
 
     Each is written aside and renamed, so that a repeated task leaves no half file.
     """
@@ -106,16 +106,20 @@ def write_transcripts(rows: DataFrame, folder: str, stamp: str) -> None:
         from pyarrow import fs
 
         for b in batches:
-            for stem, body in zip(b.column("stem").to_pylist(), b.column("body").to_pylist(), strict=True):
+            for name, content in zip(b.column("name").to_pylist(), b.column("content").to_pylist(), strict=True):
                 at, root = fs.FileSystem.from_uri(folder)
                 at.create_dir(root, recursive=True)
-                path = f"{root}/{stem}_{stamp}_transcript.txt"
-                with at.open_output_stream(aside := f"{path}.{uuid.uuid4().hex}.part") as f:
-                    f.write((body or "").encode())
-                at.move(aside, path)
+                with at.open_output_stream(aside := f"{root}/.{uuid.uuid4().hex}.part") as f:
+                    f.write(content or b"")
+                at.move(aside, f"{root}/{name}")
             yield from ()
 
-    rows.select(F.col("stem").cast("string").alias("stem"), "body").mapInArrow(task, "stem string").write.format("noop").mode("overwrite").save()
+    rows.select(F.col("name").cast("string").alias("name"), "content").mapInArrow(task, "name string").write.format("noop").mode("overwrite").save()
+
+
+def write_transcripts(rows: DataFrame, folder: str, stamp: str) -> None:
+    """A file ``{stem}_{stamp}_transcript.txt`` for each row (stem, body)."""
+    write_files(rows.select(F.concat(F.col("stem").cast("string"), F.lit(f"_{stamp}_transcript.txt")).alias("name"), F.encode("body", "UTF-8").alias("content")), folder)
 
 
 def read_transcripts(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
