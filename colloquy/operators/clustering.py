@@ -1,14 +1,25 @@
-"""Speaker clustering per meeting (grouped pandas, numpy only).
+"""Speaker clustering per meeting, by average linkage whatever the number of windows.
 
-A meeting's windows are one group, clustered by average linkage whatever their
-number. The mean distance of two clusters of unit vectors follows from their sums
-and sizes, so memory grows with the windows; time grows with their square.
+The mean distance of two clusters of unit vectors follows from their sums and sizes,
+so memory grows with the windows; time grows with their square. A meeting of up to
+``LARGE`` windows is one group in one task (grouped pandas); a larger one is linked in
+rounds over blocks (``linkage``), and its centroids alone come together for merging.
 """
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from colloquy.functions import vectors as V
+from colloquy.operators.linkage import linked
+from colloquy.operators.turns import relabel
+from colloquy.shipping import ship
+from colloquy.sources.store import written
+
+#: Windows of a meeting that one task clusters.
+LARGE = 20_000
 
 
 def units(x: np.ndarray) -> np.ndarray:
@@ -164,11 +175,66 @@ def cluster(x: np.ndarray, k: int | None = None, threshold: float = 0.8, merge:
     return by_appearance(label)
 
 
-def cluster_meetings(windows: DataFrame, k: int | None = None) -> DataFrame:
-    """(meeting_id, idx, speaker_id) for windows (meeting_id, idx, embedding)."""
+def merge_totals(totals: np.ndarray, at_least: float) -> np.ndarray:
+    """As ``merge_centroids``, of clusters in the order of their labels that are given by their sums: the place of the one that each joins."""
+    totals, into = totals.copy(), np.arange(len(totals))
+    c, alive, i = units(totals), np.ones(len(totals), bool), 0
+    while i < len(totals):
+        close = (c @ c[i] >= at_least) & alive
+        close[i] = False
+        if not alive[i] or not close.any():
+            i += 1
+            continue
+        i, j = sorted((i, int(close.argmax())))
+        into[into == j] = i
+        totals[i] += totals[j]
+        alive[j], c[i] = False, units(totals[i : i + 1])[0]
+    return into
+
+
+def cluster_large(windows: DataFrame, threshold: float = 0.8, merge: float = 0.88, least: int = 3) -> DataFrame:
+    """(meeting_id, idx, speaker_id) as ``cluster`` gives them without ``k``, for meetings of any size."""
+    x = windows.select("meeting_id", F.col("idx").cast("long").alias("idx"), V.unit(F.col("embedding").cast("array<double>")).alias("unit"))
+    x = written(x, "unit-windows")
+    members, clusters = linked(x, max(0.05, 1 - threshold))
+
+    def judged(pdf):
+        """Merged clusters of one meeting, and whether a cluster's windows stay in it."""
+        pdf = pdf.sort_values("cid")
+        total, size = np.array(pdf["total"].tolist()), pdf["size"].to_numpy()
+        into = merge_totals(total, merge)
+        n = np.bincount(into, size, len(into))
+        stays = n >= least if (n >= least).any() else np.arange(len(n)) == n.argmax()
+        summed = np.zeros_like(total)
+        np.add.at(summed, into, total)
+        cid = pdf["cid"].to_numpy()
+        return pdf[["meeting_id", "cid"]].assign(label=cid[into], stays=stays[into], centroid=[list(c) for c in units(summed[into])])
+
+    out = written(clusters.groupBy("meeting_id").applyInPandas(judged, "meeting_id string, cid long, label long, stays boolean, centroid array<double>"), "merged-clusters")
+    placed = members.join(out.select("meeting_id", "cid", "label", "stays"), ["meeting_id", "cid"])
+    major = out.where("stays AND cid = label").groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct(F.col("label").alias("l"), "centroid"))).alias("cs"))
+    best = F.array_max(F.transform("cs", lambda c: F.struct(V.dot(F.col("unit"), c["centroid"]).alias("sim"), (-c["l"]).alias("neg"))))
+    moved = placed.where("NOT stays").join(x, ["meeting_id", "idx"]).join(major, "meeting_id").select("meeting_id", "idx", (-best["neg"]).alias("label"))
+    every = placed.where("stays").select("meeting_id", "idx", "label").unionByName(moved)
+    return relabel(every, "label", "idx").select("meeting_id", "idx", F.col("label").cast("int").alias("speaker_id"))
+
+
+def cluster_meetings(windows: DataFrame, k: int | None = None, large: int = LARGE) -> DataFrame:
+    """(meeting_id, idx, speaker_id) for windows (meeting_id, idx, embedding).
+
+    With an exact number ``k`` of speakers a meeting is one group whatever its size.
+    """
+    ship(windows.sparkSession)
 
     def one(pdf):
         pdf = pdf.sort_values("idx")
         return pdf[["meeting_id", "idx"]].assign(speaker_id=cluster(np.array(pdf["embedding"].tolist()), k))
 
-    return windows.select("meeting_id", "idx", "embedding").groupBy("meeting_id").applyInPandas(one, "meeting_id string, idx long, speaker_id int")
+    w = windows.select(F.col("meeting_id").cast("string").alias("meeting_id"), "idx", "embedding")
+    grouped = lambda some: some.groupBy("meeting_id").applyInPandas(one, "meeting_id string, idx long, speaker_id int")
+    if k is not None:
+        return grouped(w)
+    many = written(w.groupBy("meeting_id").count().where(F.col("count") > large).select("meeting_id"), "large-meetings")
+    if many.isEmpty():
+        return grouped(w)
+    return grouped(w.join(many, "meeting_id", "left_anti")).unionByName(cluster_large(w.join(many, "meeting_id", "left_semi")))

@@ -79,3 +79,45 @@ def test_sequential_equals_plain_loops():
             cents.append(v)
         want.append(k)
     assert C.sequential(x).tolist() == want
+
+
+def partition(labels):
+    """Sets of places with one label."""
+    return {frozenset(np.flatnonzero(np.asarray(labels) == k).tolist()) for k in set(labels)}
+
+
+def test_rounds_of_mutual_neighbours_equal_greedy_linkage(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from colloquy.operators import linkage as L
+
+    monkeypatch.setattr(L, "BLOCK", 32)  # several blocks
+    rng = np.random.default_rng(9)
+    meetings = {"a": windows(rng, 150, 4, 0.4), "b": windows(rng, 90, 2, 0.2), "c": windows(rng, 1, 1, 0.1), "d": np.repeat(windows(rng, 5, 5, 0.1), 12, axis=0)}
+    df = spark.createDataFrame([(m, i, v.tolist()) for m, x in meetings.items() for i, v in enumerate(x)], "meeting_id string, idx long, unit array<double>")
+    for limit in (0.05, 0.3):
+        members, clusters = L.linked(df, limit)
+        got = {}
+        for r in members.collect():
+            got.setdefault(r.meeting_id, {})[r.idx] = r.cid
+        sizes = {(r.meeting_id, r.cid): r["size"] for r in clusters.collect()}
+        for m, x in meetings.items():
+            found = [got[m][i] for i in range(len(x))]
+            assert partition(found) == partition(C.average_linkage(x, limit).tolist()), (m, limit)
+            assert all(min(p) == found[min(p)] and sizes[m, min(p)] == len(p) for p in partition(found))
+        assert clusters.agg(F.sum("size")).first()[0] == df.count()
+
+
+def test_large_and_small_meetings_are_clustered_by_the_same_rules(spark, monkeypatch):
+    from colloquy.operators import linkage as L
+
+    monkeypatch.setattr(L, "BLOCK", 64)
+    rng = np.random.default_rng(4)
+    meetings = {"big": windows(rng, 180, 4, 0.15), "odd": windows(rng, 120, 30, 0.5), "small": windows(rng, 20, 2, 0.1)}
+    meetings["big"][[3, 70]] = C.units(rng.normal(size=(2, 16)))  # alone, so pruned to a voice
+    df = spark.createDataFrame([(m, i, v.tolist()) for m, x in meetings.items() for i, v in enumerate(x)], "meeting_id string, idx long, embedding array<double>")
+    got = {}
+    for r in C.cluster_meetings(df, large=100).collect():
+        got.setdefault(r.meeting_id, {})[r.idx] = r.speaker_id
+    for m, x in meetings.items():
+        assert [got[m][i] for i in range(len(x))] == C.cluster(x).tolist(), m
