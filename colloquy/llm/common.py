@@ -84,6 +84,14 @@ def salted(key: Column, ways: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(ways)).cast("int")
 
 
+def dealt_salt(ways: int) -> Column:
+    """Salt in 0..ways-1 by the row's place in its partition: rows that are equal in everything get different ones.
+
+    For rows read from a table, whose places stay the same when a task is repeated.
+    """
+    return F.pmod(F.monotonically_increasing_id(), F.lit(ways)).cast("int")
+
+
 def all_salts(ways: int) -> Column:
     """One row for each salt, for the small side of a salted join."""
     return F.explode(F.array(*[F.lit(i) for i in range(ways)]))

@@ -23,7 +23,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import all_salts, dropped, fresh_path, salted, table, text_or_empty, written
+from colloquy.llm.common import all_salts, dealt_salt, dropped, fresh_path, table, text_or_empty, written
+from colloquy.sources.commits import Log, names
 
 SALTS = 16
 #: Digests (of 40 bytes) for which a bucket is made.
@@ -47,9 +48,16 @@ class DigestIndex:
     """Digests seen so far, with the id of the row that stays for each."""
 
     def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int = 4):
-        self.spark, self.buckets = spark, buckets
-        self.name = name or f"digest_index_{uuid.uuid4().hex}"
+        """An index in the folder ``path``, known to this session as the table ``name``.
+
+        The folder's log says where the rows are and how many buckets they have, so an
+        index that is there already needs no more than its path.
+        """
+        self.spark, self.name = spark, name or f"digest_index_{uuid.uuid4().hex}"
         self.path = path or fresh_path(spark, "digest-index")
+        self.log = Log(spark, self.path)
+        self.version, state = self.log.latest()
+        self.buckets, self.data = state.get("buckets", buckets), state.get("data")
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
@@ -59,28 +67,45 @@ class DigestIndex:
         return self.spark.table(self.name)
 
     def attach(self) -> None:
-        """Register the index that another session has written at ``path`` with as many ``buckets``."""
+        """Register the index as its log's latest version has it."""
+        self.version, state = self.log.latest()
+        self.buckets, self.data = state["buckets"], state["data"]
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")  # the table is external: files stay
         self.spark.sql(
             f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.data}'"
         )
 
+    def _committed(self, data: str, buckets: int) -> None:
+        if not self.log.commit(self.version + 1, {"data": data, "buckets": buckets}):
+            raise RuntimeError("another session has changed the index; attach it anew")
+        self.version, self.data, self.buckets = self.version + 1, data, buckets
+
+    def _write(self, fresh: DataFrame, name: str, data: str, buckets: int) -> None:
+        dealt = fresh.select("digest", "keep_id").repartition(buckets, "digest")
+        dealt.write.format("parquet").option("path", data).mode("append").bucketBy(buckets, "digest").sortBy("digest").saveAsTable(name)
+
     def append(self, fresh: DataFrame) -> None:
         """One sorted file for each bucket of this batch."""
-        dealt = fresh.select("digest", "keep_id").repartition(self.buckets, "digest")
-        dealt.write.format("parquet").option("path", self.path).mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
+        data = self.data or f"{self.path}/rows-{uuid.uuid4().hex}"
+        self._write(fresh, self.name, data, self.buckets)
+        if self.data is None:
+            self._committed(data, self.buckets)
 
     def compact(self) -> None:
-        """One sorted file for each bucket, in a new folder; the old one goes after the table has been registered anew."""
-        old = self.path
-        rows = self.spark.read.schema("digest BINARY, keep_id BIGINT").parquet(old)
-        self.buckets, self.path = buckets_for(rows.count()), f"{old.rsplit('.', 1)[0]}.{uuid.uuid4().hex[:8]}"
-        made = f"{self.name}_{uuid.uuid4().hex[:8]}"
-        DigestIndex(self.spark, made, self.path, self.buckets).append(rows)
-        self.spark.sql(f"DROP TABLE {made}")  # the table is external: its files stay
-        self.spark.sql(f"DROP TABLE {self.name}")
+        """One sorted file for each bucket, in a new folder that the next version names; the old one stays for its readers (``vacuum``)."""
+        rows = self.spark.read.schema("digest BINARY, keep_id BIGINT").parquet(self.data)
+        buckets, data, made = buckets_for(rows.count()), f"{self.path}/rows-{uuid.uuid4().hex}", f"{self.name}_{uuid.uuid4().hex[:8]}"
+        self._write(rows, made, data, buckets)
+        self.spark.sql(f"DROP TABLE {made}")
+        self._committed(data, buckets)
         self.attach()
-        dropped(self.spark, old)
+
+    def vacuum(self) -> None:
+        """Drop the rows of older versions, when no session reads them any more."""
+        for name in names(self.spark, self.path):
+            if name.startswith("rows-") and f"{self.path}/{name}" != self.data:
+                dropped(self.spark, f"{self.path}/{name}")
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
@@ -111,7 +136,7 @@ class DigestIndex:
         settled = written(settled.select("digest", "keep_id", "group_size"), "digest-settled")
         # only repeated digests come back, each under all salts; a row without one stays by itself
         right = settled.select("*", F.lit(True).alias("met"), all_salts(SALTS).alias("salt"))
-        out = seen.withColumn("salt", salted(F.col("doc_id"), SALTS)).join(right, ["digest", "salt"], "left")
+        out = seen.withColumn("salt", dealt_salt(SALTS)).join(right, ["digest", "salt"], "left")
         keep = F.when(F.col("met"), F.col("keep_id")).otherwise(F.col("doc_id"))
         out = out.withColumn("keep_id", keep).withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
         return out.select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import all_salts, filesystem, fresh_path, salted, ship, written
+from colloquy.llm.common import all_salts, dealt_salt, filesystem, fresh_path, ship, written
 
 #: Ways in which the rows of one payload are dealt out before they meet their group's decision.
 SALTS = 16
@@ -65,7 +65,7 @@ def decided(pages: DataFrame, min_bytes: int, id_col: str = "page_id", url_col:
     p = p.withColumn("digest", F.sha1(F.col("html"))).withColumn("big", F.octet_length("html") >= min_bytes)
     groups = p.where("big").groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
     groups = groups.select("digest", "first_id", F.lit(True).alias("big"), all_salts(SALTS).alias("salt"))
-    p = p.withColumn("salt", salted(F.col("page_id"), SALTS)).join(groups, ["digest", "big", "salt"], "left")
+    p = p.withColumn("salt", dealt_salt(SALTS)).join(groups, ["digest", "big", "salt"], "left")
     revisit: Column = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return p.select("page_id", "url", "html", F.when(revisit, F.col("first_id")).alias("refers_to"))
 
