@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,10 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables that this process has written and not dropped.
+_KEPT: list[str] = []
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -44,9 +49,21 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, what)
     df.write.option("compression", "zstd").parquet(path)
+    _KEPT.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def alone(make: Callable[[], DataFrame], what: str, no_more: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
+    """(what ``make`` gives, written; its path): the tables written on the way, and those ``no_more`` needed, are dropped."""
+    before = set(_KEPT)
+    out = written(make(), what)
+    path = _KEPT[-1]
+    for old in [p for p in _KEPT if p not in before and p != path] + list(no_more):
+        dropped(out.sparkSession, old)
+        _KEPT.remove(old)
+    return out, path
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Delete a folder or file on the shared storage."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -66,3 +66,13 @@ def test_every_stage_on_null_ids_clashing_columns_and_no_rows(spark, tmp_path):
         assert now.columns == ["doc_id", "ids", "decoded"]
         assert now.count() == 0 if none else now.where("doc_id IS NULL").count() > 10
         assert none or not [r for r in now.collect() if "lanterns" in r.decoded]
+
+
+def test_a_run_leaves_its_result_alone(spark, tmp_path, monkeypatch):
+    from colloquy.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}/shared")
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert [p.name.split("-")[:2] for p in (tmp_path / "shared").iterdir()] == [["stage", "sentencepiece"]]
+    assert out.columns == ["doc_id", "ids", "decoded"] and 100 < out.count() < 200
+    assert [p for p in common._KEPT if "/shared/" in p] == [f"file://{next((tmp_path / 'shared').iterdir())}"]
