@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import decontamination, language_id, line_dedup, ngram_join, sentencepiece_rounds
-from colloquy.llm.common import fewer_than, table, unused, written
+from colloquy.llm.common import alone, fewer_than, table, unused, written
 
 #: A document whose best language leads by less than this is in no language for sure: of held-out
 #: texts below it (6 of 10,000 at sf0.1: fragments of a word or two, mixed texts) 4 were named rightly.
@@ -79,7 +79,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; what the stages wrote on the way is dropped when the next one's rows are there."""
+    docs, path = table(spark, sf_dir, "documents"), ()
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, made = alone(lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), f"stage-{name}", path)
+        path = (made,)
     return docs
