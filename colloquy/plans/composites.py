@@ -139,12 +139,13 @@ def k5(spark, d):
     return store.read_transcripts(spark, folder).select("name", T.content_hash(F.col("text")).alias("body_hash"))
 
 
-@query("s10_test_cases", "SELECT n_name AS reference, lower(n_name) AS hypothesis FROM nation")
+@query("s10_test_cases", "SELECT p_name || ' ' || p_partkey AS reference, lower(p_brand) || chr(10) || '\"' || p_type AS hypothesis FROM part")
 def s10(spark, d):
-    """Test cases as one JSON array over several lines, read back."""
+    """Test cases as files of one JSON array each, over several lines and of a hundred cases, read back."""
     folder = store.scratch(spark, "cases")
-    case = F.to_json(F.struct(F.col("n_name").alias("reference"), F.lower("n_name").alias("hypothesis")))
-    table(spark, d, "nation").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(case), ",\n"), F.lit("\n]")).alias("value")).coalesce(1).write.text(folder)
+    case = F.to_json(F.struct(F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("reference"), F.concat(F.lower("p_brand"), F.lit('\n"'), "p_type").alias("hypothesis")))
+    files = table(spark, d, "part").groupBy(F.floor(F.col("p_partkey") / 100).alias("k")).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(case), ",\n"), F.lit("\n]")).alias("body"))
+    store.write_files(files.select(F.concat(F.lit("cases"), F.col("k").cast("string"), F.lit(".json")).alias("name"), F.encode("body", "UTF-8").alias("content")), folder)
     return store.read_cases(spark, folder)
 
 
