@@ -1,7 +1,7 @@
 """Time core: turn merging, absorption, speech islands, alignment and speaker statistics.
 
-Sequential rules are window formulations over chunks of a meeting (``scans``), so one
-very long meeting is many tasks.
+Sequential rules are window formulations; with a ``width`` they go over chunks of a
+meeting (``scans``), so that one very long meeting is many tasks.
 """
 
 from __future__ import annotations
@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from colloquy.functions.text import n_words
 from colloquy.operators.scans import BEFORE, CHUNK, SO_FAR, Chunks
 
-#: Width of a chunk: gaps of the turn merge; numbers of turns, items or frames.
-CHUNK_GAPS, CHUNK_ROWS = 10_000, 100_000
 
 
 def word_axis(turns: DataFrame, key: str = "conv_id", order: str = "turn", speaker: str = "role") -> DataFrame:
@@ -28,10 +26,10 @@ def merge_turns(turns: DataFrame, gap, start: str = "start", end: str = "end", w
     """Join a speaker's turns that follow each other with at most ``gap`` between.
 
     A run of one speaker is found first; within it a turn begins anew if it starts
-    more than ``gap`` after the running largest end. A meeting is folded in chunks of
-    ``width`` on the axis (``CHUNK_GAPS`` gaps if not given).
+    more than ``gap`` after the running largest end. With a ``width`` a meeting is
+    folded in chunks of that much of the axis.
     """
-    c = Chunks("meeting_id", [start, end, "turn_no"], width or CHUNK_GAPS * gap or None)
+    c = Chunks("meeting_id", [start, end, "turn_no"], width)
     t = c.cut(turns).withColumn("_prev", F.lag(F.struct("speaker")).over(c.window()))
     changed = F.col("_prev").isNotNull() & ~F.col("speaker").eqNullSafe(F.col("_prev.speaker"))
     t = t.withColumn("_run", F.sum(F.when(changed, 1).otherwise(0)).over(c.window().rowsBetween(*SO_FAR)))
@@ -56,7 +54,7 @@ def merge_turns(turns: DataFrame, gap, start: str = "start", end: str = "end", w
     return out.select("meeting_id", "turn_no", "speaker", "start", "end", "n_turns")
 
 
-def absorb_micro_turns(turns: DataFrame, shorter_than, width: int | None = CHUNK_ROWS) -> DataFrame:
+def absorb_micro_turns(turns: DataFrame, shorter_than, width: int | None = None) -> DataFrame:
     """Swallow short turns between two turns of one speaker, together with the second.
 
     Of consecutive candidates the odd ones absorb (the absorbed successor can't), so
@@ -89,7 +87,7 @@ def absorb_micro_turns(turns: DataFrame, shorter_than, width: int | None = CHUNK
     ).withColumnRenamed("_kept", "turn_no")
 
 
-def group_adjacent(items: DataFrame, order: str = "seg_no", width: int | None = CHUNK_ROWS) -> DataFrame:
+def group_adjacent(items: DataFrame, order: str = "seg_no", width: int | None = None) -> DataFrame:
     """One row for each run of items of one speaker; texts in order, joined by a space. Chunks are ``width`` of ``order`` wide."""
     c = Chunks("meeting_id", [order], width)
     who = F.struct("speaker")
@@ -105,7 +103,7 @@ def group_adjacent(items: DataFrame, order: str = "seg_no", width: int | None =
     )
 
 
-def speech_islands(frames: DataFrame, pad: int, least: int = 0, by: str = "clip_id", width: int | None = CHUNK_ROWS) -> DataFrame:
+def speech_islands(frames: DataFrame, pad: int, least: int = 0, by: str = "clip_id", width: int | None = None) -> DataFrame:
     """Hysteresis over speech frames (clip_id, frame, n_frames): silence of ``pad`` frames ends an interval.
 
     The start is moved back by ``pad``; a clip's last interval may end early. Chunks
@@ -155,7 +153,7 @@ def dominant_speaker(pairs: DataFrame) -> DataFrame:
     return by.withColumn("_r", rank).where("_r = 1").drop("_r")
 
 
-def nearest_speaker(segments: DataFrame, turns: DataFrame, width: int | None = 1000) -> DataFrame:
+def nearest_speaker(segments: DataFrame, turns: DataFrame, width: int | None = None) -> DataFrame:
     """For segments: the turn whose edge is nearest; ties go to the first turn.
 
     An edge of a turn meets the other edge of the segment, so the nearest is one of

@@ -42,19 +42,25 @@ def w1(spark, d):
     return U.merge_turns(events_turns(spark, d), 8000)
 
 
-@query(
-    "w2_micro_turns",
-    f"""WITH {MERGED}, c2 AS (SELECT *, coalesce("end" - "start" < 3000 AND lag(speaker) OVER w = lead(speaker) OVER w, false) AS cand FROM merged WINDOW w AS (PARTITION BY meeting_id ORDER BY turn_no)),
+MICRO = f"""WITH {MERGED}, c2 AS (SELECT *, coalesce("end" - "start" < 3000 AND lag(speaker) OVER w = lead(speaker) OVER w, false) AS cand FROM merged WINDOW w AS (PARTITION BY meeting_id ORDER BY turn_no)),
 r2 AS (SELECT *, sum(CASE WHEN cand THEN 0 ELSE 1 END) OVER (PARTITION BY meeting_id ORDER BY turn_no ROWS UNBOUNDED PRECEDING) AS run FROM c2),
 a2 AS (SELECT *, cand AND row_number() OVER (PARTITION BY meeting_id, run, cand ORDER BY turn_no) % 2 = 1 AS absorbs FROM r2),
 g2 AS (SELECT *, absorbs OR coalesce(lag(absorbs) OVER (PARTITION BY meeting_id ORDER BY turn_no), false) AS gone FROM a2),
 k2 AS (SELECT *, sum(CASE WHEN gone THEN 0 ELSE 1 END) OVER (PARTITION BY meeting_id ORDER BY turn_no ROWS UNBOUNDED PRECEDING)::BIGINT AS kept FROM g2)
-SELECT meeting_id, kept AS turn_no, arg_min(speaker, k2.turn_no) AS speaker, arg_min("start", k2.turn_no) AS "start", arg_max("end", k2.turn_no) AS "end" FROM k2 GROUP BY meeting_id, kept""",
-)
+SELECT meeting_id, kept AS turn_no, arg_min(speaker, k2.turn_no) AS speaker, arg_min("start", k2.turn_no) AS "start", arg_max("end", k2.turn_no) AS "end" FROM k2 GROUP BY meeting_id, kept"""
+
+
+@query("w2_micro_turns", MICRO)
 def w2(spark, d):
     return U.absorb_micro_turns(U.merge_turns(events_turns(spark, d), 8000), 3000)
 
 
+@query("w1_w2_in_chunks", MICRO)
+def w2_chunks(spark, d):
+    """The same for meetings of any length: chunks of an hour, then of 50 turns, that hand on their state."""
+    return U.absorb_micro_turns(U.merge_turns(events_turns(spark, d), 8000, width=360_000), 3000, width=50)
+
+
 @query(
     "w3_adjacent_groups",
     f"""WITH {SEG}, c AS (SELECT *, CASE WHEN seg_no % 5 < 2 THEN 'x' ELSE speaker END AS sp FROM seg), b AS (SELECT *, CASE WHEN sp = lag(sp) OVER w THEN 0 ELSE 1 END AS ch FROM c WINDOW w AS (PARTITION BY meeting_id ORDER BY seg_no)),
