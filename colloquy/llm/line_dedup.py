@@ -35,10 +35,16 @@ from colloquy.llm.common import all_salts, components, fewer_than, salted, table
 SALTS = 16
 EDITS = 2
 MIN_CHARS = 20
-#: Lines of one key that are compared in one row with those of another block.
-BLOCK = 32
-#: Lines of one key beyond which a second shared segment is asked for.
+#: Lines of one key beyond which another shared segment is asked for.
 LARGE = 128
+#: Lines of one key that are compared in one row with those of another block.
+BLOCK = 128
+#: Characters of what is left of the lines of a large key up to which edited forms link them.
+SHORT = 20
+#: Times the rows of the first round of large keys up to which their lines are split again.
+GROWTH = 4
+#: Characters that text hasn't: two that the lines don't use stand for a segment that was taken out, and for any one character.
+NO_TEXT = [chr(i) for i in range(0xFDD0, 0xFDF0)]
 #: Rows (of 8 to 16 bytes) up to which a table of keys or ids is broadcast; beyond it both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -118,12 +124,12 @@ def line_keys(edits: int, min_chars: int, scope: Column | None = None) -> Column
     return F.array(*keys)
 
 
-def without_segment(edits: int) -> Column:
-    """What is left of ``line`` without the segment of the key at ``place``."""
+def without_segment(edits: int, mark: str) -> Column:
+    """What is left of ``line`` with ``mark`` for the segment of the key at ``place``."""
     left = None
     for k, (d, r, s) in enumerate(places(edits)):
         start, n = segment(F.col("len") - d, r, edits)
-        rest = F.concat(F.substring("line", F.lit(1), start + s - 1), F.substr("line", start + s + n))
+        rest = F.concat(F.substring("line", F.lit(1), start + s - 1), F.lit(mark), F.substr("line", start + s + n))
         left = F.when(F.col("place") == k, rest) if left is None else left.when(F.col("place") == k, rest)
     return left
 
@@ -179,8 +185,8 @@ def forest(block: Column, edits: int) -> Column:
 
 
 def key_rows(hashed: DataFrame, edits: int) -> DataFrame:
-    """(id, key, place, indexed) of the rows (id, keys)."""
-    keys = hashed.select("id", F.posexplode("keys").alias("place", "key")).where("key IS NOT NULL")
+    """(id, within, key, place, indexed) of the rows (id, within, keys)."""
+    keys = hashed.select("id", "within", F.posexplode("keys").alias("place", "key")).where("key IS NOT NULL")
     return keys.withColumn("indexed", F.col("place") <= edits)
 
 
@@ -207,8 +213,7 @@ def bucket_links(keys: DataFrame, buckets: DataFrame, lines: DataFrame, edits: i
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id")).distinct(), "line-ids")
     used = lines.select("id", "line").join(sent_along(ids), "id", "left_semi")
     used = written(used.select("id", sketch(F.col("line")).alias("sketch"), "line"), "line-texts")
-    both = pairs.join(used.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(used.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    found = both.where(near(F.col("x"), F.col("y"), edits)).select("a", "b")
+    found = verified(pairs, used, edits)
     block = F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int")
     dealt = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", "id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(used, "id")
@@ -217,21 +222,109 @@ def bucket_links(keys: DataFrame, buckets: DataFrame, lines: DataFrame, edits: i
     return found.unionByName(rooted)
 
 
+def same_start(x: Column, y: Column) -> Column:
+    """Characters that two texts begin with alike, by halving."""
+    state = F.struct(F.lit(0).alias("low"), F.least(F.char_length(x), F.char_length(y)).alias("high"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.ceil((s["low"] + s["high"]) / 2).cast("int")
+        same = F.substring(x, F.lit(1), mid) == F.substring(y, F.lit(1), mid)
+        return F.when(same, F.struct(mid.alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), (mid - 1).alias("high")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), state, lambda s, i: F.when(s["low"] < s["high"], halve(s, i)).otherwise(s), lambda s: s["low"])
+
+
+def without_shared_ends(rests: DataFrame) -> DataFrame:
+    """(id, key, line, len, longest): ``rests`` (id, key, line) without what all of a key begin and end with; edit distances stay.
+
+    Texts between the least and the greatest of a set begin as these two do.
+    """
+    back = F.reverse("line")
+    ends = rests.groupBy("key").agg(
+        F.min("line").alias("low"), F.max("line").alias("high"), F.min(back).alias("back_low"), F.max(back).alias("back_high"),
+        F.min(F.char_length("line")).alias("least"), F.max(F.char_length("line")).alias("longest"),
+    )
+    ends = ends.select("key", same_start(F.col("low"), F.col("high")).alias("head"), same_start(F.col("back_low"), F.col("back_high")).alias("tail"), "least", "longest")
+    ends = ends.withColumn("tail", F.least(F.col("tail"), F.col("least") - F.col("head"))).withColumn("longest", F.col("longest") - F.col("head") - F.col("tail"))
+    cut = rests.join(sent_along(written(ends, "line-ends")), "key")
+    line = F.substring("line", F.col("head") + 1, F.char_length("line") - F.col("head") - F.col("tail"))
+    return cut.select("id", "key", line.alias("line"), "longest").withColumn("len", F.char_length("line"))
+
+
+def edited_forms(mark: str, anything: str) -> Column:
+    """Array of (form, hub): forms of ``line`` that only texts within two edits of a hub have; marks are never edited.
+
+    Two replaced characters, or up to one deleted: all texts of the form are within
+    two edits of each other. One replaced and one deleted, or two deleted: the longer
+    texts are within two edits of the shorter ones that have the form with the
+    deletions left out, and those are the hubs.
+    """
+    line = F.col("line")
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.col("len"), F.lit(1))), lambda i: (i <= F.col("len")) & (F.substring(line, i, F.lit(1)) != mark))
+    put = lambda text, i: F.overlay(text, F.lit(anything), i, F.lit(1))
+    cut = lambda text, i: F.overlay(text, F.lit(""), i, F.lit(1))
+    twice = lambda one, other, which: F.flatten(F.transform(places, lambda i: F.transform(F.filter(places, lambda j: which(i, j)), lambda j: other(one(line, i), j))))
+    form = lambda kind, hub: lambda x: F.struct(F.xxhash64("key", F.lit(kind), x).alias("form"), F.lit(hub).alias("hub"))
+    once = lambda one: F.transform(places, lambda i: one(line, i))
+    before = lambda i, j: j < i
+    forms = [
+        F.transform(twice(put, put, before), form(0, True)), F.transform(once(put), form(1, True)), F.transform(once(cut), form(2, True)), F.array(form(2, True)(line)),
+        F.transform(twice(put, cut, lambda i, j: i != j), form(3, False)), F.transform(once(put), form(3, True)),
+        F.transform(twice(cut, cut, before), form(4, False)), F.array(form(4, True)(line)),
+    ]
+    return F.array_distinct(F.concat(*forms))
+
+
+def links_by_form(rests: DataFrame, mark: str, anything: str) -> DataFrame:
+    """(a, b): a line and the least hub of each of its forms, for ``rests`` (id, key, line, len)."""
+    forms = written(rests.select("id", F.explode(edited_forms(mark, anything)).alias("f")).select("id", "f.form", "f.hub"), "line-forms")
+    hubs = forms.groupBy("form").agg(F.min(F.when(F.col("hub"), F.col("id"))).alias("hub_id"), F.min("id").alias("low"), F.max("id").alias("high"))
+    hubs = hubs.where("low <> high AND hub_id IS NOT NULL").select("form", "hub_id")
+    return forms.join(hubs, "form").where("id <> hub_id").select(F.least("id", "hub_id").alias("a"), F.greatest("id", "hub_id").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """The ``pairs`` (a, b) that are within the threshold."""
+    both = pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+    return both.where(near(F.col("x"), F.col("y"), edits)).select("a", "b")
+
+
+def not_in(lines: DataFrame) -> tuple[str, str]:
+    """Two characters that no line has."""
+    used = lines.agg(*[F.max(F.contains("line", F.lit(c))).alias(str(i)) for i, c in enumerate(NO_TEXT)]).first()
+    free = [c for c, there in zip(NO_TEXT, used, strict=True) if not there]
+    if len(free) < 2:
+        raise ValueError("lines use all characters that are none")
+    return free[0], free[1]
+
+
 def linked_lines(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """(a, b): links between different lines (id, line, len), as many as connect what is linked."""
     long_lines = lines.where(F.col("len") >= min_chars)
-    # written as one array a line: the hashes are read twice below, and cost more to compute than to read
-    keys = key_rows(written(long_lines.select("id", line_keys(edits, min_chars).alias("keys")), "line-keys"), edits)
-    buckets = buckets_of(keys)
-    out = bucket_links(keys, buckets.where(F.col("n") <= LARGE), long_lines, edits)
-    large = buckets.where(F.col("n") > LARGE).select("key")
-    if large.isEmpty():
-        return out
-    wide = written(keys.join(sent_along(large), "key").select("id", "key", "place"), "line-wide")
-    rests = long_lines.select("id", "line", "len").join(wide, "id").select("id", "key", without_segment(edits).alias("line"))
-    rests = rests.distinct().withColumn("len", F.char_length("line"))
-    second = key_rows(written(rests.select("id", line_keys(edits, 0, F.col("key")).alias("keys")), "line-rest-keys"), edits)
-    return out.unionByName(bucket_links(second, buckets_of(second), long_lines, edits))
+    rests, scope, out, stand_ins = long_lines.select("id", F.lit(0).cast("long").alias("within"), "line", "len"), None, None, None
+    n_first = n_rests = 0
+    while True:
+        # written as one array a line: the hashes are read twice below, and cost more to compute than to read
+        keys = key_rows(written(rests.select("id", "within", line_keys(edits, 0 if scope else min_chars, scope and F.col(scope)).alias("keys")), "line-keys"), edits)
+        buckets = buckets_of(keys)
+        # forms are made for two edits, and lines that repeat themselves have ever more keys: there, blocks are compared, however many
+        most = LARGE if scope is None or edits == EDITS and n_rests <= GROWTH * n_first else 1 << 62
+        found = bucket_links(keys, buckets.where(F.col("n") <= most), long_lines, edits)
+        out = found if out is None else out.unionByName(found)
+        large = buckets.where(F.col("n") > most).select("key")
+        if large.isEmpty():
+            return out
+        stand_ins = stand_ins or not_in(long_lines)
+        wide = written(keys.join(sent_along(large), "key").select("id", "within", "key", "place"), "line-wide")
+        left = rests.join(wide, ["id", "within"]).select("id", "key", without_segment(edits, stand_ins[0]).alias("line")).distinct()
+        left = written(without_shared_ends(written(left, "line-left")), "line-rests")
+        n_rests = left.count()
+        n_first = n_first or n_rests
+        short = F.lit(edits == EDITS) & (F.col("longest") <= SHORT)
+        out = out.unionByName(verified(written(links_by_form(left.where(short), *stand_ins), "line-formed"), long_lines, edits))
+        rests, scope = left.where(~short).select("id", F.col("key").alias("within"), "line", "len"), "within"
+        if rests.isEmpty():
+            return out
 
 
 def classes_of_rows(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:

@@ -286,3 +286,41 @@ def test_batches_of_one_index_equal_one_batch(spark):
         want = {hashlib.sha256(t.encode()).hexdigest(): (low[t], n) for t, n in size.items()}
         assert {(bytes(r.digest).hex(), r.keep_id, r.group_size) for r in got} == {(h, *x) for h, x in want.items()}
         assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
+
+
+def test_many_lines_of_one_template(spark, monkeypatch):
+    """Lines that differ in a number and in letters, in more than one place, among few enough to compare all."""
+    monkeypatch.setattr(line_dedup, "LARGE", 8)
+    rng = random.Random(8)
+    made = {f"{a}the meeting of room {b}{'' if rng.random() < 0.8 else chr(0xFDD0)} is moved to {c} o'clock" for a in ("", "x", "\U0001f600") for b in range(0, 40000, 4001) for c in ("five", "six")}
+    made |= {"aaaaaaaa" * 3 + "".join(rng.choice("aab") for _ in range(rng.randrange(1, 8))) for _ in range(20)}
+    lines = sorted(made)
+    root = list(range(len(lines)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for j in range(len(lines)):
+        for i in range(j):
+            if find(i) != find(j) and distance(lines[i], lines[j]) <= 2:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = {r.doc_id: r.class_doc for r in line_dedup.line_classes(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in range(len(lines))}
+
+
+def test_rows_of_a_template_grow_with_its_lines(spark, monkeypatch):
+    """Twice the lines of one template, about twice the pairs that are verified."""
+    made = []
+    verified = line_dedup.verified
+    monkeypatch.setattr(line_dedup, "LARGE", 16)
+    monkeypatch.setattr(line_dedup, "verified", lambda pairs, lines, edits: made.append(pairs.count()) or verified(pairs, lines, edits))
+    sizes = []
+    for n in (250, 500):
+        made.clear()
+        lines = [(i, f"the meeting of room {i:05} is moved to five o'clock") for i in range(n)]
+        assert line_dedup.line_classes(spark.createDataFrame(lines, "doc_id long, text string")).count() == n
+        sizes.append(sum(made))
+    assert 0 < sizes[1] < 3 * sizes[0]
