@@ -14,6 +14,7 @@ import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,24 +74,25 @@ def hashed_vectors(texts: list[str], size: int = 16) -> list[list[float]]:
 def embedded(rows: DataFrame, embed: Embed = hashed_vectors, text: str = "text", skip: str | None = None, batch: int = BATCH, delays: Sequence[float] = DELAYS) -> DataFrame:
     """Adds ``embedding``: null where the text is blank or the column ``skip`` is true, never at another place.
 
-    At most ``batch`` texts go to the model at once.
+    At most ``batch`` texts go to the model at once, and a task's Python holds no more vectors.
     """
     out = f"{', '.join(f'`{n}` {t}' for n, t in rows.dtypes)}, embedding array<double>"
 
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            wanted = f[text].fillna("").str.strip() != ""
-            if skip is not None:
-                wanted &= ~f[skip].fillna(False).astype(bool)
-            texts, found = f.loc[wanted, text].tolist(), []
-            for i in range(0, len(texts), batch):
-                part = texts[i : i + batch]
-                found += list(with_retries([lambda part=part: embed(part)], delays=delays))
-            vectors = pd.Series([None] * len(f), index=f.index, dtype=object)
-            vectors[wanted] = pd.Series(found + [None] * (len(texts) - len(found)), index=f.index[wanted], dtype=object)
-            yield f.assign(embedding=vectors)
-
-    return rows.mapInPandas(task, out)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch):
+                b = whole.slice(at, batch)
+                texts = b.column(text).to_pylist()
+                skipped = b.column(skip).to_pylist() if skip is not None else [False] * len(texts)
+                wanted = [i for i, t in enumerate(texts) if t is not None and t.strip() != "" and not skipped[i]]
+                vectors = [None] * len(texts)
+                if wanted:
+                    part = [texts[i] for i in wanted]
+                    for i, v in zip(wanted, with_retries([lambda part=part: embed(part)], delays=delays), strict=False):
+                        vectors[i] = v
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vectors, pa.list_(pa.float64()))], names=[*b.schema.names, "embedding"])
+
+    return rows.mapInArrow(task, out)
 
 
 def _generated(df: DataFrame, prompt, generate: Generate, name: str, delays: Sequence[float]) -> DataFrame:
