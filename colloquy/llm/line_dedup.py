@@ -42,7 +42,7 @@ BLOCK = 128
 #: Characters of what is left of the lines of a large key up to which edited forms link them.
 SHORT = 20
 #: Times the rows of the first round of large keys up to which their lines are split again.
-GROWTH = 4
+GROWTH = 64
 #: Characters that text hasn't: two that the lines don't use stand for a segment that was taken out, and for any one character.
 NO_TEXT = [chr(i) for i in range(0xFDD0, 0xFDF0)]
 #: Rows (of 8 to 16 bytes) up to which a table of keys or ids is broadcast; beyond it both sides are shuffled.
