@@ -29,8 +29,9 @@ def relevance(distance: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.when(n == 0, doubles(a)).otherwise(F.transform(doubles(a), lambda x: x / n))
+    """``a`` of length 1. The length is a lambda's variable, as it would be computed for each component otherwise."""
+    of = lambda n: F.when(n == 0, doubles(a)).otherwise(F.transform(doubles(a), lambda x: x / n))
+    return F.element_at(F.transform(F.array(norm(a)), of), 1)
 
 
 def literal(values: list[float]) -> Column:

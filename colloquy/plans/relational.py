@@ -188,22 +188,22 @@ def sessions(spark, d):
 CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 
 
-def live(spark, d):
-    """The events, in order, as a stream of four batches."""
+def live(spark, d, through):
+    """What ``through`` makes of the events as a stream: they come in four parts, in order."""
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return E.staged(e, scratch(spark, "events"))
+    return E.fed(e, through, scratch(spark, "stream")).rows
 
 
 @query("x_stream_tumbling_live", f"SELECT * FROM ({TUMBLING}) WHERE w_start + INTERVAL 1 HOUR <= {CLOSED}")
 def tumbling_live(spark, d):
     """The same windows, read as a stream and written once each."""
-    return E.appended(E.windowed(live(spark, d), "1 hour"), scratch(spark, "stream")).rows.withColumn("total", F.round("total", 4))
+    return live(spark, d, lambda e: E.windowed(e, "1 hour")).withColumn("total", F.round("total", 4))
 
 
 @query("x_stream_sessions_live", f"SELECT * FROM ({SESSIONS}) WHERE s_end <= {CLOSED}")
 def sessions_live(spark, d):
     """The same sessions, read as a stream and written once each."""
-    return E.appended(E.sessions(live(spark, d), "30 minutes"), scratch(spark, "stream")).rows
+    return live(spark, d, lambda e: E.sessions(e, "30 minutes"))
 
 
 SLIDING = "SELECT w_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, unnest(range(time_bucket(INTERVAL '15 minutes', ts) - INTERVAL 45 MINUTE, ts + INTERVAL 1 MICROSECOND, INTERVAL 15 MINUTE)) AS w_start FROM events) GROUP BY 1, 2"
@@ -216,4 +216,4 @@ def sliding(spark, d):
 
 @query("x_stream_sliding_live", f"SELECT * FROM ({SLIDING}) WHERE w_start + INTERVAL 1 HOUR <= {CLOSED}")
 def sliding_live(spark, d):
-    return E.appended(E.windowed(live(spark, d), "1 hour", "15 minutes"), scratch(spark, "stream")).rows.withColumn("total", F.round("total", 4))
+    return live(spark, d, lambda e: E.windowed(e, "1 hour", "15 minutes")).withColumn("total", F.round("total", 4))

@@ -11,7 +11,7 @@ from colloquy.operators import inverted as I
 from colloquy.operators import search as S
 from colloquy.plans.registry import query
 from colloquy.sources.store import scratch
-from colloquy.sources.tables import table
+from colloquy.sources.tables import spread, table
 from colloquy.streaming import events as E
 from colloquy.streaming.speakers import clustered
 
@@ -169,11 +169,11 @@ ONLINE = 0.15
 @query("x6_stream_clustering")
 def x6_stream(spark, d):
     """The same as a stream of four batches; a window long after all others moves the watermark past them. A test holds it against x6."""
-    w = meeting_windows(spark, d, 100).withColumn("embedding", V.unit(F.col("embedding")))
+    w = spread(meeting_windows(spark, d, 100)).withColumn("embedding", V.unit(F.col("embedding")))
     last = w.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"), F.lit("").alias("meeting_id"), F.lit(-1).cast("long").alias("idx"), F.lit(None).cast("array<double>").alias("embedding"))
-    stream = E.staged(w.unionByName(last.select(w.columns)).where("ts IS NOT NULL"), scratch(spark, "voice-windows"))
-    out = clustered(stream.where("embedding IS NOT NULL OR idx = -1").withColumn("embedding", F.coalesce("embedding", F.array().cast("array<double>"))), ONLINE)
-    return E.appended(out, scratch(spark, "speakers")).rows.where("idx >= 0")
+    rows = w.unionByName(last.select(w.columns)).where("ts IS NOT NULL")
+    kept = lambda stream: stream.where("embedding IS NOT NULL OR idx = -1").withColumn("embedding", F.coalesce("embedding", F.array().cast("array<double>")))
+    return E.fed(rows, lambda stream: clustered(kept(stream), ONLINE), scratch(spark, "speakers")).rows.where("idx >= 0")
 
 
 @query("p13_usable_vectors", "SELECT vec_id FROM embeddings WHERE list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0")

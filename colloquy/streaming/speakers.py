@@ -38,8 +38,8 @@ class Speakers(StatefulProcessor):
         for frame in rows:
             got = [(int(ms), int(i), np.asarray(v, np.float64).tobytes()) for ms, i, v in zip(frame["ms"], frame["idx"], frame["embedding"], strict=True)]
             self.waiting.appendList(got)
-            for ms in {g[0] for g in got}:
-                self.handle.registerTimer(ms)
+            # one timer for all that wait: when it is due, the next one is set
+            self.handle.registerTimer(min(g[0] for g in got))
             last = max(last, *[g[0] for g in got])
         self.last.update((last,))
         self.handle.registerTimer(last + self.idle_ms)
@@ -56,6 +56,7 @@ class Speakers(StatefulProcessor):
             self.centroids.update((len(online.centroids), online.centroids.tobytes()))
             if len(due) < len(waiting):
                 self.waiting.put(waiting[len(due) :])
+                self.handle.registerTimer(waiting[len(due)][0])
             else:
                 self.waiting.clear()
             yield pd.DataFrame({"meeting_id": key[0], "idx": [i for _, i, _ in due], "speaker_id": np.array(labels, np.int32)})

@@ -3,12 +3,15 @@
 import datetime
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from colloquy.functions import vectors as V
 from colloquy.operators import clustering as C
 from colloquy.plans import registry
 from colloquy.streaming import events as E
+from colloquy.streaming import speakers
 from colloquy.streaming.speakers import clustered
 
 SF = "/root/testdata/sf0.001"
@@ -106,3 +109,65 @@ def test_staged_batches_are_in_order(spark, tmp_path):
     highs = [spark.read.parquet(str(f)).agg(F.min("ts"), F.max("ts")).first() for f in files]
     assert all(a[1] < b[0] for a, b in zip(highs, highs[1:], strict=False))
     assert E.staged(rows.limit(0), str(tmp_path / "none")).isStreaming
+
+
+def test_parts_are_written_by_many_tasks_and_taken_whole(spark, tmp_path):
+    # a third of the rows has one instant, so that parts differ in size
+    rows = events(spark, [(60 if m % 3 else m, "a", m) for m in range(960)] + [(3000, "a", 0)]).repartition(6)
+    run = E.fed(rows, lambda e: E.windowed(e, "1 hour"), str(tmp_path / "f"))
+    assert len(list((tmp_path / "f" / "in").glob("*.parquet"))) > 8  # four of them if one task wrote a part
+    want = E.windowed(rows.where("ts < '2024-01-02 12:00:00'"), "1 hour").collect()
+    assert sorted(map(tuple, run.rows.collect())) == sorted(map(tuple, want)) and len(want) == 16
+    assert run.late() == 0 and sum(b[1] for b in run.batches) == 961
+
+
+def test_a_meeting_waits_for_one_timer(voices):
+    class Handle:
+        def __init__(self):
+            self.timers = set()
+
+        def registerTimer(self, ms):  # noqa: N802
+            self.timers.add(ms)
+
+    class State:
+        def __init__(self):
+            self.held = None
+
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+        update = put = lambda self, v: setattr(self, "held", v)
+        appendList = lambda self, v: setattr(self, "held", [*(self.held or []), *v])  # noqa: E731, N815
+        clear = lambda self: setattr(self, "held", None)
+
+    class Now:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.ms
+
+    own, handle = [v for v in voices if v[0] == "m0"], Handle()
+    it = speakers.Speakers(0.8, 0.2, 600_000)
+    it.handle, it.waiting, it.centroids, it.last = handle, State(), State(), State()
+    got, calls = {}, 0
+    for now, low in ((0, 0), (20_000, 30), (40_000, 60), (300_000, 90), (2_000_000, 90)):
+        part = own[low : low + 30]
+        if part:
+            frame = pd.DataFrame({"ms": [s * 1000 for _, _, s, _ in part], "idx": [i for _, i, _, _ in part], "embedding": [v for *_, v in part]})
+            assert list(it.handleInputRows(("m0",), iter([frame]), None)) == []
+        while due := [t for t in sorted(handle.timers) if t <= now]:
+            handle.timers.discard(due[0])
+            calls += 1
+            for out in it.handleExpiredTimer(("m0",), Now(now), None):
+                got |= dict(zip(out["idx"], out["speaker_id"], strict=True))
+        assert set(got) == {i for _, i, s, _ in own[: low + 30] if s * 1000 <= now}
+    assert [got[i] for _, i, _, _ in own] == list(C.sequential(np.array([v for *_, v in own])))
+    assert calls <= 10  # one for each of 90 windows before
+    assert it.last.held is it.waiting.held is it.centroids.held is None
+
+
+def test_the_length_of_a_vector_is_computed_once(spark):
+    v = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<float>").select(V.unit(F.col("v")).alias("u"))
+    assert [r.u for r in v.collect()] == [[0.6, 0.8], [0.0, 0.0], None]
+    plan = v._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1  # not in the function that each component goes through
