@@ -1,5 +1,8 @@
 """The summary composite on short texts."""
 
+from pyspark.sql import functions as F
+
+from colloquy.functions import text as T
 from colloquy.operators import documents as D
 
 TOPICS = {"Money": ["budget", "cost"], "People": ["team", "hiring"]}
@@ -21,3 +24,22 @@ def test_composite_leaves_small_talk_out(spark):
     assert [(g.topic, g.points) for g in got[3].topic_groups] == [("Money", ["The cost was quite high."]), ("General Discussion & Collaboration", ["Everything went very well yesterday."])]
     for i in (2, 4):
         assert got[i].overview is None and got[i].topic_groups == got[i].action_items == got[i].deadlines == [] and (got[i].n_words, got[i].n_sentences, got[i].read_min) == (0, 0, 0)
+
+
+def test_a_sentences_words_are_split_once(spark):
+    docs = spark.createDataFrame([(1, "Hello there")], "doc_id long, text string")
+    plan = D.summary(docs, TOPICS)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1  # for scores and topics
+
+
+def test_small_talk_is_looked_for_at_one_word_boundary():
+    assert T.SMALL_TALK.count(r"\b") == T.ACTION.count(r"\b") == 2  # not one for each phrase
+
+
+def test_sentences_and_their_least_words(spark):
+    texts = ["  One two. \r\n three \n four! five six \n \n. x ", " \n ", "", None, "a b c", " a b c d"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: (r.s, r.four) for r in df.select("i", T.sentences(F.col("t")).alias("s"), T.has_words(F.col("t"), 4).alias("four")).collect()}
+    assert got[0] == (["One two.", "three", "four!", "five six", ".", "x"], True)
+    assert [got[i] for i in range(1, 6)] == [([], False), ([], False), (None, None), (["a b c"], False), (["a b c d"], True)]
+    assert all(got[i][1] == r.n for i, r in enumerate(df.orderBy("i").select((T.n_words(F.col("t")) >= 4).alias("n")).collect()) if texts[i] is not None)
