@@ -9,7 +9,9 @@ distance; of a key that several lines share, blocks of lines are compared inside
 expression, which returns one edge for each line and not the pairs. A key that more
 than ``LARGE`` lines share doesn't say enough: what is left of these lines without
 the shared segment is within the threshold too, so it is split again, and only
-lines that share a second segment there are compared.
+lines that share a second segment there are compared. That is asked for only where
+comparing the lines of such keys would take more than ``LARGE`` / 2 comparisons for
+each line of the input.
 
 A line's class is its connected component of links; the first line of a class (by
 document id, then place) is kept, all others go. Lines shorter than ``min_chars``
@@ -27,6 +29,8 @@ doesn't count.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -298,33 +302,64 @@ def not_in(lines: DataFrame) -> tuple[str, str]:
     return free[0], free[1]
 
 
+def compared_up_to(buckets: DataFrame, budget: int) -> tuple[int, int, bool]:
+    """(lines of a key up to which its lines are compared, what is left of ``budget``, whether larger keys remain).
+
+    Up to ``LARGE`` lines are always compared; of larger keys the smaller ones first, while the squares of their lines fit the budget.
+    """
+    steps = buckets.where(F.col("n") > LARGE).groupBy(F.floor(F.log2("n")).alias("step")).agg(F.max("n").alias("most"), F.sum(F.col("n") * F.col("n")).alias("work"))
+    most, steps = LARGE, sorted(steps.collect())
+    for i, s in enumerate(steps):
+        if s.work > budget:
+            return most, budget, True
+        most, budget = s.most, budget - s.work
+    return most, budget, False
+
+
+def union_of(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 def linked_lines(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """(a, b): links between different lines (id, line, len), as many as connect what is linked."""
+    """(a, b): links between different lines (id, line, len), as many as connect what is linked.
+
+    The rounds only find out which lines share which keys; lines are compared once, after the last round.
+    """
     long_lines = lines.where(F.col("len") >= min_chars)
-    rests, scope, out, stand_ins = long_lines.select("id", F.lit(0).cast("long").alias("within"), "line", "len"), None, None, None
+    rests, scope, stand_ins = long_lines.select("id", F.lit(0).cast("long").alias("within"), "line", "len"), None, None
+    budget = long_lines.count() * LARGE // 2
+    all_keys, all_buckets, all_short = [], [], []
     n_first = n_rests = 0
     while True:
         # written as one array a line: the hashes are read twice below, and cost more to compute than to read
         keys = key_rows(written(rests.select("id", "within", line_keys(edits, 0 if scope else min_chars, scope and F.col(scope)).alias("keys")), "line-keys"), edits)
         buckets = buckets_of(keys)
         # forms are made for two edits, and lines that repeat themselves have ever more keys: there, blocks are compared, however many
-        most = LARGE if scope is None or edits == EDITS and n_rests <= GROWTH * n_first else 1 << 62
-        found = bucket_links(keys, buckets.where(F.col("n") <= most), long_lines, edits)
-        out = found if out is None else out.unionByName(found)
-        large = buckets.where(F.col("n") > most).select("key")
-        if large.isEmpty():
-            return out
+        if scope is None or edits == EDITS and n_rests <= GROWTH * n_first:
+            most, budget, larger = compared_up_to(buckets, budget)
+        else:
+            most, larger = 1 << 62, False
+        all_keys.append(keys)
+        all_buckets.append(buckets.where(F.col("n") <= most))
+        if not larger:
+            break
         stand_ins = stand_ins or not_in(long_lines)
+        large = buckets.where(F.col("n") > most).select("key")
         wide = written(keys.join(sent_along(large), "key").select("id", "within", "key", "place"), "line-wide")
         left = rests.join(wide, ["id", "within"]).select("id", "key", without_segment(edits, stand_ins[0]).alias("line")).distinct()
         left = written(without_shared_ends(written(left, "line-left")), "line-rests")
-        n_rests = left.count()
-        n_first = n_first or n_rests
         short = F.lit(edits == EDITS) & (F.col("longest") <= SHORT)
-        out = out.unionByName(verified(written(links_by_form(left.where(short), *stand_ins), "line-formed"), long_lines, edits))
+        n_rests, n_short = left.agg(F.count("*"), F.count_if(short)).first()
+        n_first = n_first or n_rests
+        if n_short:
+            all_short.append(left.where(short))
+        if n_short == n_rests:
+            break
         rests, scope = left.where(~short).select("id", F.col("key").alias("within"), "line", "len"), "within"
-        if rests.isEmpty():
-            return out
+    out = bucket_links(union_of(all_keys), union_of(all_buckets), long_lines, edits)
+    if all_short:
+        out = out.unionByName(verified(written(links_by_form(union_of(all_short), *stand_ins), "line-formed"), long_lines, edits))
+    return out
 
 
 def classes_of_rows(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:

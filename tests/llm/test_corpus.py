@@ -324,3 +324,18 @@ def test_rows_of_a_template_grow_with_its_lines(spark, monkeypatch):
         assert line_dedup.line_classes(spark.createDataFrame(lines, "doc_id long, text string")).count() == n
         sizes.append(sum(made))
     assert 0 < sizes[1] < 3 * sizes[0]
+
+
+def test_few_lines_of_large_keys_are_compared_at_once(spark, monkeypatch):
+    """Lines of large keys are split again only where comparing them would take more than a share of all lines."""
+    rounds, buckets_of = [], line_dedup.buckets_of
+    monkeypatch.setattr(line_dedup, "LARGE", 16)
+    monkeypatch.setattr(line_dedup, "buckets_of", lambda keys: rounds.append(1) or buckets_of(keys))
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    words = [word() for _ in range(40)]
+    copies = [" ".join([*words[:k], word(), *words[k + 1 :]]) for k in range(40)]
+    lines = [" ".join(words), " ".join(words)[:-1] + "z", *copies, copies[5] + "y", *[" ".join(word() for _ in range(5)) for _ in range(2500)]]
+    got = {r.doc_id: r.class_doc for r in line_dedup.line_classes(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert got == {i: {1: 0, 42: 7}.get(i, i) for i in range(len(lines))}
+    assert len(rounds) == 1
