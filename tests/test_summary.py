@@ -1,9 +1,13 @@
 """The summary composite on short texts."""
 
+import threading
+
+import pytest
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
 from colloquy.operators import documents as D
+from colloquy.plans import registry
 
 TOPICS = {"Money": ["budget", "cost"], "People": ["team", "hiring"]}
 
@@ -43,3 +47,26 @@ def test_sentences_and_their_least_words(spark):
     assert got[0] == (["One two.", "three", "four!", "five six", ".", "x"], True)
     assert [got[i] for i in range(1, 6)] == [([], False), ([], False), (None, None), (["a b c"], False), (["a b c d"], True)]
     assert all(got[i][1] == r.n for i, r in enumerate(df.orderBy("i").select((T.n_words(F.col("t")) >= 4).alias("n")).collect()) if texts[i] is not None)
+
+
+def test_topic_groups_clean_a_sentence_at_one_place_and_score_none(spark):
+    plan = registry.QUERIES["x19_f11_topic_groups"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1 and "MapInArrow" not in plan
+
+
+@pytest.mark.parametrize("form", ["rows", "summary"])
+def test_topic_groups_of_a_long_text(spark, form):
+    """Linear in the sentences: a square of 6,000 would take minutes."""
+    said = ["the team has number {}.", "number {} is a cost.", "number {} has no topic here."]
+    docs = spark.createDataFrame([(1, " ".join(said[i % 3].format(i) for i in range(6000))), (2, None), (3, "number one has no topic. the team has one cost")], "doc_id long, text string")
+    if form == "rows":
+        df = D.grouped_points(docs, TOPICS)
+    else:
+        g = D.summary(docs, TOPICS).select("doc_id", F.posexplode("topic_groups").alias("place", "g"))
+        df = g.select("doc_id", "place", "g.topic", F.posexplode("g.points").alias("rank", "point"))
+    stop = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    got = sorted(tuple(r) for r in df.collect())
+    stop.cancel()
+    long = [(1, 0, "People", k, f"The team has number {3 * k}.") for k in range(3)] + [(1, 1, "Money", k, f"Number {3 * k + 1} is a cost.") for k in range(3)]
+    assert got == [*long, (3, 0, "Money", 0, "The team has one cost."), (3, 1, D.OTHERS, 0, "Number one has no topic.")]
